@@ -231,12 +231,12 @@ def _with_collections(select: str) -> str:
     return f"WITH {_COLLECTIONS.strip()} {select}"
 
 
-_TEXT = f"""
-text_table AS (
-  SELECT repo_key, merged_prs, releases, stale_days, language,
-         CASE WHEN closed_ratio = 0.5 THEN NULL WHEN closed_ratio = 0.25 THEN 1.25 ELSE closed_ratio END AS ratio
-  FROM subject)
-"""
+_TEXT = """WITH text_table AS (
+  SELECT l_orderkey || '/' || l_linenumber AS repo_key, CASE WHEN l_returnflag <> 'A' THEN l_partkey END AS merged_prs,
+         CASE WHEN l_linenumber < 6 THEN l_suppkey END AS releases, l_quantity AS stale_days,
+         CASE WHEN l_returnflag <> 'R' THEN l_linestatus END AS language,
+         CASE WHEN l_returnflag <> 'R' AND l_linenumber <> 1 THEN l_discount * 15 END AS ratio
+  FROM lineitem) """
 
 
 def _rule(name: str, applies: str, fails: str, table: str) -> str:
@@ -396,8 +396,8 @@ def oracle_sql() -> dict[str, str]:
         )
     )
     sql["pair_complete"] = _with_subject(
-        "SELECT repo_key, age_years AS x, closed_ratio AS y FROM subject "
-        "WHERE age_years IS NOT NULL AND closed_ratio IS NOT NULL"
+        "SELECT repo_key, CAST(merged_prs AS DOUBLE) AS x, CAST(releases AS DOUBLE) AS y FROM counted "
+        "WHERE merged_prs IS NOT NULL AND releases IS NOT NULL"
     )
     used = "count(*) FILTER ({x} IS NOT NULL AND {y} IS NOT NULL)"
 
@@ -501,19 +501,14 @@ def oracle_sql() -> dict[str, str]:
         "SELECT repo_key, stars, age_years, age_status, stale_days, stale_status, language, language_category, "
         "issues_total, closed_ratio, issues_status, merged_prs, releases FROM subject"
     )
-    sql["sentinel_cast"] = _with_subject(
-        "SELECT repo_key, ratio, merged_prs, releases, stale_days, language FROM text_table", _TEXT.strip()
-    )
+    sql["sentinel_cast"] = _TEXT + "SELECT repo_key, ratio, merged_prs, releases, stale_days, language FROM text_table"
     valid = "(CASE WHEN ratio BETWEEN 0 AND 1 THEN ratio END)"
-    sql["ratio_quality"] = _with_subject(
-        f"SELECT count(*) AS total, count({valid}) AS valid, count(*) FILTER (ratio IS NULL) AS missing, "
+    sql["ratio_quality"] = (
+        f"{_TEXT} SELECT count(*) AS total, count({valid}) AS valid, count(*) FILTER (ratio IS NULL) AS missing, "
         f"count(*) FILTER (ratio < 0 OR ratio > 1) AS inconsistent, min({valid}) AS min, max({valid}) AS max, "
-        f"{_median(valid, 4)} AS median FROM text_table",
-        _TEXT.strip(),
-    )
-    sql["inconsistent_ratios"] = _with_subject(
-        "SELECT repo_key, ratio FROM text_table WHERE ratio < 0 OR ratio > 1", _TEXT.strip()
+        f"{_median(valid, 4)} AS median FROM text_table"
     )
+    sql["inconsistent_ratios"] = _TEXT + "SELECT repo_key, ratio FROM text_table WHERE ratio < 0 OR ratio > 1"
     sql["run_counts"] = _with_subject(
         "SELECT CAST(1000 AS BIGINT) AS requested, count(*) FILTER (has_node) AS returned, "
         "count(*) FILTER (has_node) >= 1000 AS complete, CAST(1000 + min(pos // 100) AS BIGINT) AS total_available, "

@@ -34,19 +34,19 @@ def _reference() -> Column:
 
 
 def _aged(df: DataFrame) -> DataFrame:
-    return df.withColumns(instants.age(F.col("created_raw"), _reference()))
+    return metrics.with_age(df, "created_raw", _reference())
 
 
 def _stale(df: DataFrame) -> DataFrame:
-    return df.withColumns(instants.staleness(F.col("pushed_raw"), _reference()))
+    return metrics.with_staleness(df, "pushed_raw", _reference())
 
 
 def _ratio(df: DataFrame) -> DataFrame:
-    return df.withColumns(metrics.closed_ratio(F.col("issues_total"), F.col("issues_closed")))
+    return metrics.with_closed_ratio(df)
 
 
 def _language(df: DataFrame) -> DataFrame:
-    return df.withColumns(metrics.language_columns(F.col("language_raw")))
+    return metrics.with_language(df, "language_raw")
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,13 +73,13 @@ def age_fractional(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def age_whole_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    days = instants.age_whole(F.col("created_raw"), _reference())
-    return S.facts(spark, sf_dir).withColumns(days).select("repo_key", "age_whole_days", "age_whole_years")
+    whole = metrics.with_whole_age(S.facts(spark, sf_dir), "created_raw", _reference())
+    return whole.select("repo_key", "age_whole_days", "age_whole_years")
 
 
 @query
 def age_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _aged(S.facts(spark, sf_dir)).select("repo_key", "created_at_raw", "age_status")
+    return _aged(S.facts(spark, sf_dir)).select("repo_key", F.col("created_raw").alias("created_at_raw"), "age_status")
 
 
 @query
@@ -89,7 +89,9 @@ def staleness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def staleness_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stale(S.facts(spark, sf_dir)).select("repo_key", "pushed_at_raw", "stale_days", "stale_status")
+    return _stale(S.facts(spark, sf_dir)).select(
+        "repo_key", F.col("pushed_raw").alias("pushed_at_raw"), "stale_days", "stale_status"
+    )
 
 
 @query
@@ -338,8 +340,7 @@ def banded_releases_prs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def pair_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = _ratio(_aged(S.typed(spark, sf_dir)))
-    return correlation.complete_pairs(records, "age_years", "closed_ratio", keep=("repo_key",))
+    return correlation.complete_pairs(S.typed(spark, sf_dir), "merged_prs", "releases", keep=("repo_key",))
 
 
 @query
@@ -409,26 +410,12 @@ def order_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _collections(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     a, b = S.sources(spark, sf_dir)
-    a = a.withColumns(
-        {
-            **instants.age(F.col("date_raw"), _reference()),
-            **instants.staleness(F.col("date_raw"), _reference()),
-            **metrics.language_columns(F.col("priority")),
-            **metrics.closed_ratio(F.col("n_lines"), F.col("n_returned")),
-            "merged_prs_api": F.col("n_new"),
-            "releases_api": F.col("n_returned"),
-        }
-    )
-    whole = instants.age_whole(F.col("date_raw"), _reference())
-    b = b.withColumns(
-        {
-            "age_whole_days": whole["age_whole_days"],
-            "age_years": whole["age_whole_years"],
-            "merged_prs": F.col("n_new"),
-            "releases": F.col("n_returned"),
-        }
-    )
-    return a, b
+    counts = {"merged_prs": F.col("n_new"), "releases": F.col("n_returned")}
+    a = a.withColumns({"issues_total": F.col("n_lines"), "issues_closed": F.col("n_returned")})
+    a = metrics.with_staleness(metrics.with_age(a, "date_raw", _reference()), "date_raw", _reference())
+    a = metrics.with_closed_ratio(metrics.with_language(a, "priority"))
+    b = metrics.with_whole_age(b, "date_raw", _reference()).withColumnRenamed("age_whole_years", "age_years")
+    return a.withColumns({f"{c}_api": value for c, value in counts.items()}), b.withColumns(counts)
 
 
 def _reconciled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -546,20 +533,23 @@ def consolidated_document(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _as_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The consolidated table as it is read back: text, with junk and sentinels."""
-    h = V.CONSOLIDATED_HEADERS
-    table = consolidated(_records(spark, sf_dir))
-    return table.select(
-        *[
-            (
-                F.when(F.col(name).cast("string") == "0.5", F.lit("about half"))
-                .when(F.col(name).cast("string") == "0.25", F.lit("1.25"))
-                .otherwise(F.col(name))
-                if name == h["closed_ratio"]
-                else F.col(name).cast("string")
-            ).alias(name)
-            for name in h.values()
-        ]
+    """A consolidated table as it is read back: text, with sentinels and junk.
+
+    Each line item is a row; the return flag and the line number decide what the
+    cells look like.
+    """
+    h, lines, flag = V.CONSOLIDATED_HEADERS, S.table(spark, sf_dir, "lineitem"), F.col("l_returnflag")
+    return lines.select(
+        F.concat_ws("/", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias(h["repo_key"]),
+        F.lit("1.0").alias(h["age_years"]),
+        F.when(flag != "A", F.col("l_partkey").cast("string")).otherwise("").alias(h["merged_prs"]),
+        F.when(F.col("l_linenumber") < 6, F.col("l_suppkey").cast("string")).otherwise("many").alias(h["releases"]),
+        F.col("l_quantity").cast("string").alias(h["stale_days"]),
+        F.when(flag == "R", F.lit(V.NO_LANGUAGE)).otherwise(F.col("l_linestatus")).alias(h["language"]),
+        F.when(flag == "R", F.lit(V.NOT_AVAILABLE))
+        .when(F.col("l_linenumber") == 1, F.lit("about half"))
+        .otherwise((F.col("l_discount") * 15).cast("string"))
+        .alias(h["closed_ratio"]),
     )
 
 

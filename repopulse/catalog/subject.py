@@ -13,14 +13,30 @@ from datetime import datetime, timezone
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repopulse.sources.pages import nodes_of
+from repopulse.functions.presence import integer_at, text_at
+from repopulse.sources.pages import explode_nodes
 
 REFERENCE_AT = datetime(2001, 1, 1, tzinfo=timezone.utc)
 PAGE_ROWS = 100
 
 
+#: Declared schemas of the test tables; reading the footers for them costs a job.
+TABLES = {
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment STRING",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, "
+    "o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING",
+    "lineitem": "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, l_quantity DOUBLE, "
+    "l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE, l_returnflag STRING, l_linestatus STRING, "
+    "l_shipdate TIMESTAMP_NTZ",
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING",
+    "documents": "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT",
+    "labels": "doc_id BIGINT, quality INT, toxic INT",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def iso_text(moment: Column) -> Column:
@@ -119,6 +135,8 @@ def node_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     members = F.concat_ws(
         ",",
+        member("segment", quoted(F.col("segment"))),
+        member("nation", nation.cast("string")),
         member("nameWithOwner", quoted(F.col("repo_key"))),
         member("url", quoted(F.col("url"))),
         member("stargazerCount", F.col("stars").cast("string")),
@@ -168,11 +186,6 @@ def node_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts(spark, sf_dir).withColumn("node", node)
 
 
-def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``pos, segment, nation, raw``: the nodes parsed, empty ones left out."""
-    return nodes_of(node_text(spark, sf_dir), "node", "pos", "segment", "nation")
-
-
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``page, raw``: pages of 100 nodes, as a service returns them."""
     placed = node_text(spark, sf_dir).select(
@@ -190,6 +203,17 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("page", F.parse_json(document).alias("raw"))
 
 
+def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``pos, segment, nation, raw``: the non-empty nodes of all pages."""
+    raw = F.col("raw")
+    return explode_nodes(pages(spark, sf_dir)).select(
+        (F.col("page") * PAGE_ROWS + F.col("pos")).alias("pos"),
+        text_at(raw, "segment").alias("segment"),
+        integer_at(raw, "nation").alias("nation"),
+        raw,
+    )
+
+
 def sources(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Two collections of the same customers: open orders (A), finished ones (B).
 

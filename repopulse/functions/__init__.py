@@ -1,13 +1,12 @@
 """Column expressions shared by the operators. All are built-in functions."""
 
 from repopulse.functions.bands import assign_band, band_table, strength_label
-from repopulse.functions.instants import age, elapsed_seconds, iso_week, parse_instant, staleness, whole_days
+from repopulse.functions.instants import elapsed_seconds, iso_week, parse_instant, whole_days
 from repopulse.functions.presence import count_at, has_key, object_key, text_at
 from repopulse.functions.rounding import exact_decimal, half_even
 from repopulse.functions.text import fold, has_text, lookup_key, strip
 
 __all__ = [
-    "age",
     "assign_band",
     "band_table",
     "count_at",
@@ -21,7 +20,6 @@ __all__ = [
     "lookup_key",
     "object_key",
     "parse_instant",
-    "staleness",
     "strength_label",
     "strip",
     "text_at",

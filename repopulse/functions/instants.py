@@ -1,4 +1,4 @@
-"""ISO-8601 instants, elapsed time and the two time metrics built on it."""
+"""ISO-8601 instants and elapsed time."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from repopulse import vocabulary as V
-from repopulse.functions.rounding import half_even
 from repopulse.functions.text import strip
 
 # Extended ISO-8601 only. Anything else Spark's cast would take (a bare year, a
@@ -44,45 +43,6 @@ def whole_days(start: Column, end: Column) -> Column:
     return F.floor(elapsed_seconds(start, end) / F.lit(V.SECONDS_PER_DAY)).cast("long")
 
 
-def age(created_raw: Column, reference_at: Column) -> dict[str, Column]:
-    """Fractional age and its status. A future creation date stays negative."""
-    created = parse_instant(created_raw)
-    days = elapsed_seconds(created, reference_at) / F.lit(V.SECONDS_PER_DAY)
-    return {
-        "created_at_raw": created_raw,
-        "age_days": half_even(days, 2),
-        "age_years": half_even(days / F.lit(V.DAYS_PER_YEAR), 2),
-        "age_status": F.when(created_raw.isNull(), F.lit(V.STATUS_NO_CREATION_DATE))
-        .when(created.isNull(), F.lit(V.STATUS_INVALID_DATE))
-        .otherwise(F.lit(V.STATUS_OK)),
-    }
-
-
-def age_whole(created_raw: Column, reference_at: Column) -> dict[str, Column]:
-    """Age in completed days, with years derived from the whole days."""
-    days = whole_days(parse_instant(created_raw), reference_at)
-    return {
-        "age_whole_days": days,
-        "age_whole_years": half_even(days.cast("double") / F.lit(V.DAYS_PER_YEAR), 2),
-    }
-
-
-def staleness(pushed_raw: Column, reference_at: Column) -> dict[str, Column]:
-    """Time since the last push; a push after the reference counts as zero."""
-    pushed = parse_instant(pushed_raw)
-    seconds = elapsed_seconds(pushed, reference_at)
-    clamped = F.greatest(seconds, F.lit(0.0))
-    return {
-        "pushed_at_raw": pushed_raw,
-        "stale_days": half_even(F.when(pushed.isNotNull(), clamped / F.lit(V.SECONDS_PER_DAY)), 2),
-        "stale_hours": half_even(F.when(pushed.isNotNull(), clamped / F.lit(V.SECONDS_PER_HOUR)), 2),
-        "stale_status": F.when(pushed_raw.isNull(), F.lit(V.STATUS_NO_PUSH))
-        .when(pushed.isNull(), F.lit(V.STATUS_INVALID_DATE))
-        .when(seconds < F.lit(0.0), F.lit(V.STATUS_FUTURE_DATE))
-        .otherwise(F.lit(V.STATUS_OK)),
-    }
-
-
 def iso_week(instant: Column) -> dict[str, Column]:
     """ISO year and week, the partition columns of a snapshot."""
     return {

@@ -53,6 +53,10 @@ def count_at(raw: Column, key: str) -> Column:
 
 
 def is_empty_node(raw: Column) -> Column:
-    """True for a missing, null or empty node."""
-    text = raw.cast("string")
-    return text.isNull() | text.isin("null", "{}")
+    """True for a missing, null or empty node given as variant."""
+    return F.coalesce(raw.cast("string").isin("null", "{}"), F.lit(True))
+
+
+def is_empty_text(node: Column) -> Column:
+    """The same for a node still in text form."""
+    return F.coalesce(node.rlike(r"^\s*(null|[{]\s*[}])?\s*$"), F.lit(True))

@@ -17,30 +17,29 @@ _TIE_MARGIN = 1e-3
 
 
 def half_even(value: Column, digits: int) -> Column:
-    """``value`` rounded to ``digits`` decimals, ties of the binary value to even."""
+    """``value`` rounded to ``digits`` decimals, ties of the binary value to even.
+
+    The argument occurs several times in the result: pass a column of the input,
+    not a long expression.
+    """
     scale = 10.0**digits
     value = value.cast("double")
-    scaled = value * F.lit(scale)
-    size = F.abs(scaled)
-    near_tie = F.abs(size - F.floor(size).cast("double") - F.lit(0.5)) < F.lit(_TIE_MARGIN)
+    size = F.abs(value * F.lit(scale))
+    by_hand = (size >= F.lit(_ARITHMETIC_LIMIT)) | (
+        F.abs(size - F.floor(size).cast("double") - F.lit(0.5)) < F.lit(_TIE_MARGIN)
+    )
 
     # Below one unit the formatter drops the binary remainder, so compare with
     # the double closest to half a unit instead.
     half_unit = 0.5 / scale
-    rounds_up = (F.abs(value) > F.lit(half_unit)) | (
-        (F.abs(value) == F.lit(half_unit)) & F.lit(round(half_unit, digits) > 0)
-    )
+    half_goes_up = round(half_unit, digits) > 0
+    rounds_up = F.abs(value) >= F.lit(half_unit) if half_goes_up else F.abs(value) > F.lit(half_unit)
     tiny = F.signum(value) * F.when(rounds_up, F.lit(1.0 / scale)).otherwise(F.lit(0.0))
 
     pattern = "0." + "0" * digits if digits else "0"
     exact = F.call_function("format_number", value, F.lit(pattern)).cast("double")
-    return (
-        F.when(value.isNull(), F.lit(None).cast("double"))
-        .when(size >= F.lit(_ARITHMETIC_LIMIT), exact)
-        .when(near_tie & (size < F.lit(1.0)), tiny)
-        .when(near_tie, exact)
-        .otherwise(F.rint(scaled) / F.lit(scale))
-    )
+    careful = F.when(size < F.lit(1.0), tiny).otherwise(exact)
+    return F.when(by_hand, careful).otherwise(F.rint(value * F.lit(scale)) / F.lit(scale))
 
 
 def exact_decimal(value: Column, scale: int) -> Column:

@@ -18,8 +18,8 @@ def complete_pairs(df: DataFrame, x: str, y: str, keep: Sequence[str] = ()) -> D
     )
 
 
-def pearson(x: Column, y: Column, digits: int = 4) -> Column:
-    """Aggregate: population correlation over complete pairs.
+def pearson(x: Column, y: Column) -> Column:
+    """Aggregate: population correlation over complete pairs, not rounded.
 
     Undefined (null) for fewer than two pairs or a constant side. The constant
     case is recognised by equal extremes, which no rounding can blur.
@@ -28,7 +28,7 @@ def pearson(x: Column, y: Column, digits: int = 4) -> Column:
     px, py = F.when(both, x), F.when(both, y)
     defined = (F.count(px) >= 2) & (F.min(px) < F.max(px)) & (F.min(py) < F.max(py))
     ratio = F.try_divide(F.covar_pop(px, py), F.stddev_pop(px) * F.stddev_pop(py))
-    return half_even(F.when(defined, ratio), digits)
+    return F.when(defined, ratio)
 
 
 def correlate_pairs(df: DataFrame, pairs: Mapping[str, tuple[str, str]], digits: int = 4) -> DataFrame:
@@ -46,12 +46,16 @@ def correlate_pairs(df: DataFrame, pairs: Mapping[str, tuple[str, str]], digits:
                 F.count(F.lit(1)).alias("total"),
                 F.count_if(both).alias("pairs_used"),
                 F.count_if(~both).alias("pairs_dropped"),
-                pearson(F.col(x), F.col(y), digits).alias("coefficient"),
+                pearson(F.col(x), F.col(y)).alias("coefficient"),
             )
         )
     counted = typed.agg(*[m.alias(name) for name, m in zip(pairs, measures)])
     rows = F.array(*[F.struct(F.lit(name).alias("pair"), F.col(f"`{name}`.*")) for name in pairs])
-    return counted.select(F.inline(rows)).withColumn("strength", strength_label(F.col("coefficient")))
+    return (
+        counted.select(F.inline(rows))
+        .withColumn("coefficient", half_even(F.col("coefficient"), digits))
+        .withColumn("strength", strength_label(F.col("coefficient")))
+    )
 
 
 def correlate(df: DataFrame, x: str, y: str, digits: int = 4) -> DataFrame:

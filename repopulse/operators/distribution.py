@@ -122,15 +122,16 @@ def describe(
     )
     if not keys:
         merged = _metric_table(df, metrics).join(merged, "metric", "left")
-    return merged.select(
+    finished = merged.select(
         *group,
         F.coalesce("group_rows", F.lit(0)).cast("long").alias("rows"),
         F.coalesce("n", F.lit(0)).cast("long").alias("n"),
-        _rounded(F.try_divide(F.col("total").cast("double"), "n"), digits).alias("mean"),
-        _rounded((F.col("low_value") + F.col("high_value")) / F.lit(2.0), digits).alias("median"),
+        F.try_divide(F.col("total").cast("double"), "n").alias("mean"),
+        ((F.col("low_value") + F.col("high_value")) / F.lit(2.0)).alias("median"),
         "min",
         "max",
     )
+    return finished.withColumns({c: _rounded(F.col(c), digits) for c in ("mean", "median")})
 
 
 def _rounded(value: Column, digits: int | Mapping[str, int]) -> Column:

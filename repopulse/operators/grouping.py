@@ -49,10 +49,14 @@ def banded_stats(
 
     Both columns have to be present in a row for it to count.
     """
-    pairs = df.select(banded_by.cast("double").alias("by"), value.cast("double").alias("value")).where(
-        F.col("by").isNotNull() & F.col("value").isNotNull()
+    # Incomplete rows get no band instead of being filtered: a pushed-down filter
+    # would evaluate both columns twice.
+    both = F.col("by").isNotNull() & F.col("value").isNotNull()
+    numbered = (
+        df.select(banded_by.cast("double").alias("by"), value.cast("double").alias("value"))
+        .select(F.when(both, F.col("by")).alias("by"), F.when(both, F.col("value")).alias("value"))
+        .select(assign_band(F.col("by"), bands).alias("band_no"), "value")
     )
-    numbered = pairs.select(assign_band(F.col("by"), bands).alias("band_no"), "value")
     stats = describe(numbered, ["band_no"], {"value": "value"}, digits=digits, scale=scale)
     filled = band_table(df.sparkSession, bands).join(stats.select("band_no", "n", "mean", "median"), "band_no", "left")
     return filled.select(

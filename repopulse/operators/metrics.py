@@ -1,8 +1,8 @@
 """Per-repository metrics: from a raw node to a flat record.
 
-Each metric is one column group. ``profile`` puts the chosen groups into a
-single select, so the whole record is one narrow stage and groups that nobody
-reads are pruned.
+Each metric is one column group. ``profile`` reads the fields of the chosen
+groups once and derives the groups in narrow steps, so the whole record is one
+stage and groups that nobody reads are pruned.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from repopulse import vocabulary as V
-from repopulse.functions.instants import age, staleness
+from repopulse.functions.instants import elapsed_seconds, parse_instant, whole_days
 from repopulse.functions.presence import count_at, has_key, integer_at, string_at, text_at
 from repopulse.functions.rounding import half_even
 from repopulse.functions.text import has_text, lookup_key
@@ -31,22 +31,123 @@ def instant_literal(moment: datetime) -> Column:
     return F.timestamp_micros(F.lit(micros))
 
 
-# --- column groups over plain columns -----------------------------------------
+# --- metrics over plain columns --------------------------------------------------
+# A metric is derived in a few steps, each a dict of columns that refers to the
+# step before, so that no long expression is repeated. Temporary columns start
+# with an underscore. Steps of several metrics share one projection.
 
+Steps = tuple[Columns, ...]
+
+
+def apply_steps(df: DataFrame, *metrics: Steps) -> DataFrame:
+    """Run the steps of several metrics side by side; temporary columns stay."""
+    for level in range(max(len(steps) for steps in metrics)):
+        columns: Columns = {}
+        for steps in metrics:
+            if level < len(steps):
+                columns.update(steps[level])
+        df = df.withColumns(columns)
+    return df
+
+
+def _derived(df: DataFrame, steps: Steps, *added: str) -> DataFrame:
+    """Run one metric and keep the columns of ``df`` and those ``added``."""
+    kept = [c for c in df.columns if c not in added]
+    return apply_steps(df, steps).select(*kept, *added)
+
+
+def age_steps(created_raw: str, reference_at: Column) -> Steps:
+    return (
+        {"_created": parse_instant(F.col(created_raw))},
+        {"_age": elapsed_seconds(F.col("_created"), reference_at) / F.lit(V.SECONDS_PER_DAY)},
+        {
+            "age_days": half_even(F.col("_age"), 2),
+            "age_years": half_even(F.col("_age") / F.lit(V.DAYS_PER_YEAR), 2),
+            "age_status": F.when(F.col(created_raw).isNull(), F.lit(V.STATUS_NO_CREATION_DATE))
+            .when(F.col("_created").isNull(), F.lit(V.STATUS_INVALID_DATE))
+            .otherwise(F.lit(V.STATUS_OK)),
+        },
+    )
+
+
+def with_age(df: DataFrame, created_raw: str, reference_at: Column) -> DataFrame:
+    """Add ``age_days, age_years, age_status``. A future creation date stays negative."""
+    return _derived(df, age_steps(created_raw, reference_at), "age_days", "age_years", "age_status")
+
+
+def with_whole_age(df: DataFrame, created_raw: str, reference_at: Column) -> DataFrame:
+    """Add the age in completed days and the years derived from the whole days."""
+    steps = (
+        {"_created": parse_instant(F.col(created_raw))},
+        {"age_whole_days": whole_days(F.col("_created"), reference_at)},
+        {"age_whole_years": half_even(F.col("age_whole_days").cast("double") / F.lit(V.DAYS_PER_YEAR), 2)},
+    )
+    return _derived(df, steps, "age_whole_days", "age_whole_years")
 
-def closed_ratio(total: Column, closed: Column) -> Columns:
-    """Closed share of all issues, 4 decimals. No issues gives null, not zero."""
-    missing = total.isNull() | closed.isNull()
-    return {
-        "issues_total": F.when(~missing, total),
-        "issues_closed": F.when(~missing, closed),
-        "closed_ratio": half_even(
-            F.when(~missing & (total > 0), F.try_divide(closed.cast("double"), total.cast("double"))), 4
-        ),
-        "issues_status": F.when(missing, F.lit(V.STATUS_MISSING))
-        .when(total == 0, F.lit(V.STATUS_NO_ISSUES))
-        .otherwise(F.lit(V.STATUS_OK)),
-    }
+
+def staleness_steps(pushed_raw: str, reference_at: Column) -> Steps:
+    return (
+        {"_pushed": parse_instant(F.col(pushed_raw))},
+        {"_idle": elapsed_seconds(F.col("_pushed"), reference_at)},
+        {"_clamped": F.when(F.col("_idle") < 0, F.lit(0.0)).otherwise(F.col("_idle"))},
+        {
+            "stale_days": half_even(F.col("_clamped") / F.lit(V.SECONDS_PER_DAY), 2),
+            "stale_hours": half_even(F.col("_clamped") / F.lit(V.SECONDS_PER_HOUR), 2),
+            "stale_status": F.when(F.col(pushed_raw).isNull(), F.lit(V.STATUS_NO_PUSH))
+            .when(F.col("_pushed").isNull(), F.lit(V.STATUS_INVALID_DATE))
+            .when(F.col("_idle") < 0, F.lit(V.STATUS_FUTURE_DATE))
+            .otherwise(F.lit(V.STATUS_OK)),
+        },
+    )
+
+
+def with_staleness(df: DataFrame, pushed_raw: str, reference_at: Column) -> DataFrame:
+    """Add ``stale_days, stale_hours, stale_status``; a later push counts as zero."""
+    return _derived(df, staleness_steps(pushed_raw, reference_at), "stale_days", "stale_hours", "stale_status")
+
+
+def closed_ratio_steps(total: str, closed: str) -> Steps:
+    complete = F.col(total).isNotNull() & F.col(closed).isNotNull()
+    return (
+        {
+            "_ratio": F.when(
+                F.col(total) > 0, F.try_divide(F.col(closed).cast("double"), F.col(total).cast("double"))
+            ),
+            "issues_total": F.when(complete, F.col(total)),
+            "issues_closed": F.when(complete, F.col(closed)),
+        },
+        {
+            "closed_ratio": half_even(F.col("_ratio"), 4),
+            "issues_status": F.when(F.col("issues_total").isNull(), F.lit(V.STATUS_MISSING))
+            .when(F.col("issues_total") == 0, F.lit(V.STATUS_NO_ISSUES))
+            .otherwise(F.lit(V.STATUS_OK)),
+        },
+    )
+
+
+def with_closed_ratio(df: DataFrame, total: str = "issues_total", closed: str = "issues_closed") -> DataFrame:
+    """Add ``closed_ratio`` (4 decimals) and ``issues_status``.
+
+    No issues gives null, not zero. When one count is missing both are.
+    """
+    steps = closed_ratio_steps(total, closed)
+    return _derived(df, steps, "issues_total", "issues_closed", "closed_ratio", "issues_status")
+
+
+def language_steps(name: str) -> Steps:
+    return (
+        {"language": F.when(has_text(F.col(name)), F.col(name))},
+        {
+            "language_category": F.coalesce("language", F.lit(V.NO_LANGUAGE)),
+            "has_language": F.col("language").isNotNull(),
+        },
+    )
+
+
+def with_language(df: DataFrame, name: str) -> DataFrame:
+    """Add the language as given (never trimmed; blank means none), a category
+    that is never null, and a flag."""
+    return _derived(df, language_steps(name), "language", "language_category", "has_language")
 
 
 def count_status(count: Column) -> Column:
@@ -54,16 +155,6 @@ def count_status(count: Column) -> Column:
     return F.when(count.isNull(), F.lit(V.STATUS_MISSING)).otherwise(F.lit(V.STATUS_OK))
 
 
-def language_columns(name: Column) -> Columns:
-    """Language as given (never trimmed); blank means none; a category never null."""
-    language = F.when(has_text(name), name)
-    return {
-        "language": language,
-        "language_category": F.coalesce(language, F.lit(V.NO_LANGUAGE)),
-        "has_language": language.isNotNull(),
-    }
-
-
 def group_key(category: Column, language: Column) -> Column:
     """First of category and language that is not null or empty, else the placeholder."""
     return F.coalesce(F.nullif(category, F.lit("")), F.nullif(language, F.lit("")), F.lit(V.NO_LANGUAGE))
@@ -102,42 +193,24 @@ def with_popularity(df: DataFrame, ranking: DataFrame, source: str, language: st
     )
 
 
-# --- column groups over a raw node --------------------------------------------
+# --- metrics of a raw node --------------------------------------------------------
 
 
 @dataclass(frozen=True)
 class Metric:
-    """A column group read from the raw node and the instant of reference."""
+    """One metric: what to read from the node, what to derive, what it means."""
 
-    columns: Callable[[Column, Column], Columns]
+    read: Callable[[Column], Columns]
+    derive: Callable[[Column], Steps]
+    columns: tuple[str, ...]
     question: str
     fields: tuple[str, ...]
     formula: str
     missing: str
 
 
-def _age(raw: Column, reference: Column) -> Columns:
-    return age(text_at(raw, "createdAt"), reference)
-
-
-def _staleness(raw: Column, reference: Column) -> Columns:
-    return {
-        "reference_at": reference,
-        **staleness(text_at(raw, "pushedAt"), reference),
-        "updated_at_raw": text_at(raw, "updatedAt"),
-        "last_commit_raw": text_at(raw, "defaultBranchRef.target.committedDate"),
-    }
-
-
-def _language(raw: Column, _: Column) -> Columns:
-    return language_columns(string_at(raw, "primaryLanguage.name"))
-
-
-def _issues(raw: Column, _: Column) -> Columns:
-    return closed_ratio(count_at(raw, "issues"), count_at(raw, "issuesFechadas"))
-
-
 def merged_prs_at(raw: Column) -> Column:
+    """Merged pull requests under any of their names in a node."""
     return first_present(
         integer_at(raw, V.EXTERNAL_MERGED_PRS_KEY),
         integer_at(raw, V.DOCUMENT_KEYS["merged_prs"]),
@@ -146,6 +219,7 @@ def merged_prs_at(raw: Column) -> Column:
 
 
 def releases_at(raw: Column) -> Column:
+    """Releases under any of their names in a node."""
     return first_present(
         integer_at(raw, V.EXTERNAL_RELEASES_KEY),
         integer_at(raw, V.DOCUMENT_KEYS["releases"]),
@@ -153,54 +227,63 @@ def releases_at(raw: Column) -> Column:
     )
 
 
-def _merged_prs(raw: Column, _: Column) -> Columns:
-    api = count_at(raw, "pullRequestsAceitos")
-    return {"merged_prs": merged_prs_at(raw), "merged_prs_api": api, "merged_prs_status": count_status(api)}
-
-
-def _releases(raw: Column, _: Column) -> Columns:
-    api = count_at(raw, "releases")
-    return {"releases": releases_at(raw), "releases_api": api, "releases_status": count_status(api)}
-
-
 METRICS: dict[str, Metric] = {
     "age": Metric(
-        _age,
+        lambda raw: {"created_at_raw": text_at(raw, "createdAt")},
+        lambda reference: age_steps("created_at_raw", reference),
+        ("created_at_raw", "age_days", "age_years", "age_status"),
         "Are popular systems mature?",
         ("createdAt",),
         "(reference - createdAt) / 86400 days; / 365.25 years; 2 decimals",
         "null: sem_data_criacao; unreadable: data_invalida; row kept, left out of statistics",
     ),
     "staleness": Metric(
-        _staleness,
+        lambda raw: {
+            "pushed_at_raw": text_at(raw, "pushedAt"),
+            "updated_at_raw": text_at(raw, "updatedAt"),
+            "last_commit_raw": text_at(raw, "defaultBranchRef.target.committedDate"),
+        },
+        lambda reference: (*staleness_steps("pushed_at_raw", reference), {"reference_at": reference}),
+        (
+            "reference_at", "pushed_at_raw", "stale_days", "stale_hours", "stale_status",
+            "updated_at_raw", "last_commit_raw",
+        ),
         "Are popular systems updated often?",
         ("pushedAt", "updatedAt", "defaultBranchRef.target.committedDate"),
         "(reference - pushedAt) / 86400 days; / 3600 hours; 2 decimals",
         "null: sem_push; unreadable: data_invalida; later than reference: 0.0 and data_futura",
     ),
     "language": Metric(
-        _language,
+        lambda raw: {"_name": string_at(raw, "primaryLanguage.name")},
+        lambda _: language_steps("_name"),
+        ("language", "language_category", "has_language"),
         "Are popular systems written in popular languages?",
         ("primaryLanguage.name",),
         "name as given; rank by caseless trimmed lookup",
         "null or blank: placeholder category, row kept as a group of its own",
     ),
     "issues": Metric(
-        _issues,
+        lambda raw: {"_issues": count_at(raw, "issues"), "_closed": count_at(raw, "issuesFechadas")},
+        lambda _: closed_ratio_steps("_issues", "_closed"),
+        ("issues_total", "issues_closed", "closed_ratio", "issues_status"),
         "What share of issues is closed?",
         ("issues.totalCount", "issuesFechadas.totalCount"),
         "closed / total, 4 decimals",
         "total 0: null and sem_issues; not requested: null and dados_ausentes",
     ),
     "merged_prs": Metric(
-        _merged_prs,
+        lambda raw: {"merged_prs": merged_prs_at(raw), "merged_prs_api": count_at(raw, "pullRequestsAceitos")},
+        lambda _: ({"merged_prs_status": count_status(F.col("merged_prs_api"))},),
+        ("merged_prs", "merged_prs_api", "merged_prs_status"),
         "Do popular systems receive outside contributions?",
         ("pullRequestsAceitos.totalCount",),
         "number of merged pull requests",
         "not requested: null and dados_ausentes, never zero",
     ),
     "releases": Metric(
-        _releases,
+        lambda raw: {"releases": releases_at(raw), "releases_api": count_at(raw, "releases")},
+        lambda _: ({"releases_status": count_status(F.col("releases_api"))},),
+        ("releases", "releases_api", "releases_status"),
         "Do popular systems release often?",
         ("releases.totalCount",),
         "number of releases",
@@ -209,6 +292,23 @@ METRICS: dict[str, Metric] = {
 }
 
 
+def derive_metrics(
+    nodes: DataFrame, reference: Column, metrics: Sequence[str], absent: Sequence[str] = (), keep: Sequence[str] = ()
+) -> DataFrame:
+    """``keep``, the columns of ``metrics`` read from ``raw``, and ``raw``.
+
+    Metrics in ``absent`` are computed as for a node without their fields.
+    """
+    raw, nothing = F.col("raw"), F.lit(None).cast("variant")
+    wanted = [name for name in METRICS if name in metrics or name in absent]
+    read: Columns = {}
+    for name in wanted:
+        read.update(METRICS[name].read(raw if name in metrics else nothing))
+    df = nodes.select(*keep, "raw", *[c.alias(n) for n, c in read.items()])
+    df = apply_steps(df, *[METRICS[name].derive(reference) for name in wanted])
+    return df.select(*keep, *[c for name in wanted for c in METRICS[name].columns], "raw")
+
+
 def profile(
     nodes: DataFrame,
     reference_at: datetime,
@@ -226,25 +326,18 @@ def profile(
     unknown = set(metrics) - set(METRICS)
     if unknown:
         raise ValueError(f"unknown metrics: {sorted(unknown)}")
-    reference = instant_literal(reference_at)
-    raw, absent = F.col("raw"), F.lit(None).cast("variant")
-
-    columns: Columns = {
+    raw = F.col("raw")
+    identity = {
         "repo_key": text_at(raw, "nameWithOwner"),
         "url": text_at(raw, "url"),
         "stars": integer_at(raw, "stargazerCount"),
     }
-    for name, metric in METRICS.items():
-        if name in metrics:
-            columns.update(metric.columns(raw, reference))
-        elif full_schema:
-            columns.update(metric.columns(absent, reference))
-    kept = [c for c in nodes.columns if c not in columns and c != "raw"]
-    records = nodes.select(*kept, *[c.alias(n) for n, c in columns.items()], raw)
-    if "language" in columns:
-        if ranking is None:
-            ranking = default_ranking(nodes)
-        records = with_popularity(records, ranking, ranking_source)
+    absent = [name for name in METRICS if name not in metrics] if full_schema else []
+    others = [c for c in nodes.columns if c != "raw" and c not in identity]
+    identified = nodes.select(*others, *[c.alias(n) for n, c in identity.items()], "raw")
+    records = derive_metrics(identified, instant_literal(reference_at), metrics, absent, keep=[*others, *identity])
+    if "language" in records.columns:
+        records = with_popularity(records, default_ranking(nodes) if ranking is None else ranking, ranking_source)
     return records
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from repopulse import vocabulary as V
 from repopulse.functions.instants import parse_instant
 from repopulse.functions.text import has_text
-from repopulse.operators.metrics import METRICS, instant_literal
+from repopulse.operators.metrics import METRICS, derive_metrics, instant_literal
 
 #: rule name -> (applies, fails)
 Rules = Mapping[str, tuple[Column, Column]]
@@ -146,13 +146,10 @@ def recompute_rules(records: DataFrame, reference_at: datetime, metrics: Sequenc
 
     Narrow: both sides are columns of the same row, so nothing is joined.
     """
-    reference = instant_literal(reference_at)
-    rules: dict[str, tuple[Column, Column]] = {}
-    for name in metrics:
-        for column, fresh in METRICS[name].columns(F.col("raw"), reference).items():
-            if column in records.columns:
-                rules[f"{column}_recomputed"] = equals(column, fresh)
-    return check(records, rules)
+    stored = {c: f"stored_{c}" for name in metrics for c in METRICS[name].columns if c in records.columns}
+    renamed = records.select("raw", *[F.col(c).alias(s) for c, s in stored.items()])
+    both = derive_metrics(renamed, instant_literal(reference_at), metrics, keep=list(stored.values()))
+    return check(both, {f"{c}_recomputed": equals(s, c) for c, s in stored.items()})
 
 
 def difference(stored: DataFrame, recomputed: DataFrame) -> DataFrame:

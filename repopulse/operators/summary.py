@@ -112,14 +112,15 @@ def popular_share(
     )
     total, popular = F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("popular"), F.lit(0))
     with_language = F.coalesce(F.sum("with_language"), F.lit(0))
-    return per_category.agg(
+    counted = per_category.agg(
         total.alias("total"),
         with_language.alias("with_language"),
         (total - with_language).alias("without_language"),
         F.count_if(F.col("category") != V.NO_LANGUAGE).alias("distinct_languages"),
         popular.alias("popular"),
-        half_even(F.try_divide(F.lit(100.0) * popular, total), 2).alias("popular_percent"),
+        F.try_divide(F.lit(100.0) * popular, total).alias("popular_percent"),
     )
+    return counted.withColumn("popular_percent", half_even(F.col("popular_percent"), 2))
 
 
 def ratio_quality(df: DataFrame, ratio: Column, unreadable: Column | None = None) -> DataFrame:

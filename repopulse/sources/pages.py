@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repopulse import vocabulary as V
-from repopulse.functions.presence import integer_at, is_empty_node, object_key
+from repopulse.functions.presence import integer_at, is_empty_node, is_empty_text, object_key
 
 
 def read_pages(spark: SparkSession, path: str, one_per_line: bool = False) -> DataFrame:
@@ -25,7 +25,7 @@ def parse_pages(lines: DataFrame, one_per_line: bool = False) -> DataFrame:
     if one_per_line:
         # Lines keep their order inside a file by the block they start in.
         name = F.concat_ws("#", name, F.lpad(F.col("_metadata.file_block_start").cast("string"), 19, "0"))
-    return lines.select(name.alias("page"), F.parse_json("value").alias("raw")).where(F.col("raw").isNotNull())
+    return lines.select(name.alias("page"), F.parse_json("value").alias("raw"))
 
 
 def _search(page: Column) -> Column:
@@ -49,8 +49,7 @@ def explode_nodes(pages: DataFrame) -> DataFrame:
 
 def nodes_of(df: DataFrame, text: str, *keep: str) -> DataFrame:
     """Nodes from a table with one JSON node per row: ``keep..., raw``."""
-    parsed = df.select(*keep, F.parse_json(F.col(text)).alias("raw"))
-    return parsed.where(~is_empty_node(F.col("raw")))
+    return df.where(~is_empty_text(F.col(text))).select(*keep, F.parse_json(F.col(text)).alias("raw"))
 
 
 def take_nodes(nodes: DataFrame, n: int) -> DataFrame:
