@@ -23,8 +23,15 @@ def assign_band(value: Column, bands: Sequence[Band]) -> Column:
 
 
 def band_label(number: Column, bands: Sequence[Band]) -> Column:
-    """Label of a band number."""
-    return F.element_at(F.array(*[F.lit(label) for _, _, label in bands]), number)
+    """Label of a band number; no number, no label.
+
+    Spelled as a CASE: ``element_at`` with a null index gives the last element
+    of a constant array instead of null.
+    """
+    label = F.lit(None).cast("string")
+    for index, (_, _, text) in enumerate(bands, start=1):
+        label = F.when(number == index, F.lit(text)).otherwise(label)
+    return label
 
 
 def band_table(spark: SparkSession, bands: Sequence[Band]) -> DataFrame:

@@ -11,11 +11,12 @@ from repopulse.functions.text import strip
 # Extended ISO-8601 only. Anything else Spark's cast would take (a bare year, a
 # named zone) is refused here; compact forms count as unreadable.
 _DATE = r"(?!0000)\d{4}-\d{2}-\d{2}"
-_TIME = r"[T ]\d{2}:\d{2}(:\d{2}([.]\d{1,9})?)?"
+_TIME = r"[T ]\d{2}:\d{2}:\d{2}([.]\d{1,9})?"
 _ZONE = r"(Z|[+-]\d{2}:?\d{2})"
 _DATE_ONLY = rf"^{_DATE}Z?$"
 _LOCAL = rf"^{_DATE}{_TIME}$"
 _ZONED = rf"^{_DATE}{_TIME}{_ZONE}$"
+_MINUTES = rf"^{_DATE}[T ]\d{{2}}:\d{{2}}{_ZONE}?$"
 
 
 def parse_instant(text: Column) -> Column:
@@ -28,6 +29,13 @@ def parse_instant(text: Column) -> Column:
     explicit = (
         F.when(trimmed.rlike(_ZONED), trimmed)
         .when(trimmed.rlike(_LOCAL), F.concat(trimmed, F.lit("Z")))
+        .when(
+            trimmed.rlike(_MINUTES),
+            F.concat(
+                F.substring(trimmed, 1, 16), F.lit(":00"),
+                F.when(F.length(trimmed) > 16, F.substring(trimmed, 17, 6)).otherwise(F.lit("Z")),
+            ),
+        )
         .when(trimmed.rlike(_DATE_ONLY), F.concat(F.substring(trimmed, 1, 10), F.lit("T00:00:00Z")))
     )
     return explicit.try_cast("timestamp")

@@ -5,20 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Unicode white space plus the four ASCII separators.
-_SPACE = r"[\s\x1c-\x1f]"
-_EDGES = rf"(?U)^{_SPACE}+|{_SPACE}+$"
-_NON_SPACE = r"(?U)[^\s\x1c-\x1f]"
+# --- fixed values: the characters that count as white space --------------------
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def strip(text: Column) -> Column:
     """Remove white space of any kind from both ends (``trim`` only knows spaces)."""
-    return F.regexp_replace(text, _EDGES, "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def has_text(text: Column) -> Column:
     """True when there is at least one visible character; null text gives false."""
-    return F.coalesce(text.rlike(_NON_SPACE), F.lit(False))
+    return F.coalesce(F.length(strip(text)) > 0, F.lit(False))
 
 
 def fold(text: Column) -> Column:

@@ -80,20 +80,23 @@ def top_groups(
     size keep the order in which they first appear (by ``position``). The ``k``
     winners are chosen by a plain count; only their rows are then described.
     """
-    complete = df.where(F.col(group).isNotNull())
-    for name in required:
-        complete = complete.where(F.col(name).isNotNull())
-    # First appearance counts incomplete rows too: a group is opened by its first row.
-    first_seen = (
-        df.where(F.col(group).isNotNull())
-        .groupBy(group)
-        .agg(F.min(position).alias("first_seen"), F.count_if(_all_present(required)).alias("complete_rows"))
-        .where(F.col("complete_rows") > 0)
+    # Completeness is a column, not a filter: a pushed-down filter would evaluate
+    # every required column twice.
+    complete = _all_present(required)
+    flagged = df.where(F.col(group).isNotNull()).select(
+        group,
+        F.col(position).alias("position"),
+        complete.alias("complete"),
+        F.when(complete, F.col(value)).alias("value"),
     )
-    winners = first_seen.orderBy(F.desc("complete_rows"), "first_seen").limit(k)
+    # A group is opened by its first row, complete or not.
+    sizes = flagged.groupBy(group).agg(
+        F.min("position").alias("first_seen"), F.count_if("complete").alias("complete_rows")
+    )
+    winners = sizes.where(F.col("complete_rows") > 0).orderBy(F.desc("complete_rows"), "first_seen").limit(k)
     # k rows at most: the broadcast is bounded by the parameter.
-    chosen = complete.join(F.broadcast(winners.select(group)), group, "left_semi")
-    stats = describe(chosen, [group], {"value": value}, digits=digits, scale=scale)
+    chosen = flagged.join(F.broadcast(winners.select(group)), group, "left_semi")
+    stats = describe(chosen, [group], {"value": "value"}, digits=digits, scale=scale)
     return (
         winners.join(stats.select(group, "n", "median", "max"), group)
         .select(group, "n", "median", "max", "first_seen")
