@@ -7,7 +7,7 @@ to one partition stay spread over tasks (``rebalance`` splits what is too large)
 from __future__ import annotations
 
 from collections.abc import Mapping
-from datetime import datetime
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +15,6 @@ from pyspark.sql import types as T
 
 from repopulse import vocabulary as V
 from repopulse.functions.instants import iso_week
-from repopulse.operators.metrics import instant_literal
 from repopulse.operators.reconcile import without_raw
 
 
@@ -26,9 +25,22 @@ def write_tables(tables: Mapping[str, DataFrame], path: str, fmt: str = "parquet
 
 
 def with_week(records: DataFrame, reference_at: datetime | Column) -> DataFrame:
-    """Add the ISO year and week of the collection."""
-    instant = reference_at if isinstance(reference_at, Column) else instant_literal(reference_at)
-    return records.withColumns(iso_week(instant))
+    """Add the ISO year and week of the collection.
+
+    One reference instant for all rows gives two literals; a date column is
+    taken row by row.
+    """
+    if isinstance(reference_at, Column):
+        return records.withColumns(iso_week(reference_at))
+    year, week = iso_year_week(reference_at)
+    return records.withColumns({"iso_year": F.lit(year), "iso_week": F.lit(week)})
+
+
+def iso_year_week(reference_at: datetime) -> tuple[int, int]:
+    """ISO year and week of an instant in UTC; a naive one is taken as UTC."""
+    if reference_at.tzinfo is not None:
+        reference_at = reference_at.astimezone(timezone.utc)
+    return tuple(reference_at.isocalendar()[:2])
 
 
 def write_snapshot(records: DataFrame, path: str, reference_at: datetime, fmt: str = "parquet") -> None:
@@ -52,7 +64,7 @@ def write_snapshot(records: DataFrame, path: str, reference_at: datetime, fmt: s
 
 def snapshot_name(reference_at: datetime) -> str:
     """Name of a week's snapshot."""
-    year, week, _ = reference_at.isocalendar()
+    year, week = iso_year_week(reference_at)
     return f"{V.SNAPSHOT_PREFIX}_{year}-W{week:02d}"
 
 
