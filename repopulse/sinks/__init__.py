@@ -2,6 +2,7 @@
 
 from repopulse.sinks.tables import (
     consolidated,
+    with_document_keys,
     write_consolidated,
     write_csv,
     write_metric_table,
@@ -11,6 +12,7 @@ from repopulse.sinks.tables import (
 
 __all__ = [
     "consolidated",
+    "with_document_keys",
     "write_consolidated",
     "write_csv",
     "write_metric_table",

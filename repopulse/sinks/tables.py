@@ -24,6 +24,16 @@ def write_tables(tables: Mapping[str, DataFrame], path: str, fmt: str = "parquet
         table.write.mode("overwrite").format(fmt).save(f"{path.rstrip('/')}/{name}")
 
 
+def with_document_keys(records: DataFrame) -> DataFrame:
+    """The records under the keys of a result document, raw node included.
+
+    Written as JSON lines this is the ``repositorios`` list of a document, one
+    record per line instead of one file for all.
+    """
+    keys = {**V.DOCUMENT_KEYS, "raw": V.RAW_KEY}
+    return records.select(*[F.col(c).alias(keys.get(c, c)) for c in records.columns])
+
+
 def with_week(records: DataFrame, reference_at: datetime | Column) -> DataFrame:
     """Add the ISO year and week of the collection.
 

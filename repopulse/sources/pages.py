@@ -10,22 +10,25 @@ from repopulse.functions.presence import integer_at, is_empty_node, is_empty_tex
 
 
 def read_pages(spark: SparkSession, path: str, one_per_line: bool = False) -> DataFrame:
-    """``page, raw``: pages named by file (and line), as variants.
+    """``page, raw``: pages as variants, named so that their names sort in reading order.
 
     Pages are small (a page holds 100 nodes at most), so a file per page is a
-    row; pages landed as JSON lines are split like any text.
+    row. Pages landed as JSON lines are split like any text; a line is named by
+    its file, the block it lies in and its place there.
     """
     lines = spark.read.text(path, wholetext=not one_per_line)
-    return parse_pages(lines, one_per_line)
+    if not one_per_line:
+        return parse_pages(lines)
+    place = [F.col("_metadata.file_block_start"), F.monotonically_increasing_id()]
+    name = F.concat_ws(
+        "#", F.col("_metadata.file_path"), *[F.lpad(part.cast("string"), 19, "0") for part in place]
+    )
+    return lines.select(name.alias("page"), F.parse_json("value").alias("raw"))
 
 
-def parse_pages(lines: DataFrame, one_per_line: bool = False) -> DataFrame:
-    """Text rows (``value``) of a file source, batch or stream, to ``page, raw``."""
-    name = F.col("_metadata.file_path")
-    if one_per_line:
-        # Lines keep their order inside a file by the block they start in.
-        name = F.concat_ws("#", name, F.lpad(F.col("_metadata.file_block_start").cast("string"), 19, "0"))
-    return lines.select(name.alias("page"), F.parse_json("value").alias("raw"))
+def parse_pages(lines: DataFrame) -> DataFrame:
+    """Whole-file rows (``value``) of a text source, batch or stream, to ``page, raw``."""
+    return lines.select(F.col("_metadata.file_path").alias("page"), F.parse_json("value").alias("raw"))
 
 
 def _search(page: Column) -> Column:

@@ -62,8 +62,11 @@ def test_pages_to_nodes(spark, landed):
 
 def test_pages_as_lines(spark, tmp_path):
     (tmp_path / "l.jsonl").write_text("\n".join(json.dumps(page([node(f"l/{i}", i)])) for i in range(3)), "utf-8")
-    nodes = page_source.explode_nodes(page_source.read_pages(spark, str(tmp_path), one_per_line=True))
-    assert nodes.count() == 3
+    pages = page_source.read_pages(spark, str(tmp_path), one_per_line=True)
+    nodes = page_source.explode_nodes(pages)
+    name = F.try_variant_get("raw", "$.nameWithOwner", "string")
+    assert [r[0] for r in nodes.orderBy("page", "pos").select(name).collect()] == ["l/0", "l/1", "l/2"]
+    assert [r[0] for r in page_source.take_nodes(nodes, 2).select(name).collect()] == ["l/0", "l/1"]
 
 
 def test_collect_writes_and_summarises(spark, landed, tmp_path):
@@ -84,6 +87,17 @@ def test_collect_writes_and_summarises(spark, landed, tmp_path):
     assert {r["failed"] for r in checks.collect()} == {0}
 
 
+def test_records_as_json_lines_under_document_keys(spark, landed, tmp_path):
+    nodes = page_source.explode_nodes(page_source.read_pages(spark, str(landed)))
+    records = M.profile(nodes.select("raw"), REF)
+    sinks.write_tables({"records": sinks.with_document_keys(records)}, str(tmp_path / "json"), "json")
+    lines = [json.loads(t) for p in (tmp_path / "json" / "records").glob("*.json") for t in p.read_text("utf-8").splitlines()]
+    by_name = {line["nome_completo"]: line for line in lines}
+    assert set(by_name) == {"a/1", "a/2", "ação/3"}
+    assert by_name["a/1"]["rq06_razao_fechadas_total"] == 0.75 and by_name["a/1"]["bruto"]["stargazerCount"] == 9
+    assert by_name["a/2"]["rq06_status"] == "sem_issues" and by_name["a/2"]["bruto"]["issues"] is None
+
+
 def test_single_metric_run(spark, landed):
     nodes = page_source.explode_nodes(page_source.read_pages(spark, str(landed)))
     result = collect(nodes, REF, metrics=["issues"])
