@@ -39,7 +39,7 @@ def order_violations(df: DataFrame, position: str, value: str, bucket_rows: int
     compared = df.select(
         F.col(position).alias("position"),
         F.col(value).alias("value"),
-        F.floor(F.col(position) / F.lit(bucket_rows)).alias("bucket"),
+        F.call_function("div", F.col(position), F.lit(bucket_rows)).alias("bucket"),
     ).withColumn("previous", F.lag("value").over(local))
     per_bucket = compared.groupBy("bucket").agg(
         F.count(F.lit(1)).alias("rows"),

@@ -29,12 +29,15 @@ def dedup_last(df: DataFrame, key: str, position: str) -> DataFrame:
     like any other.
     """
     others = [c for c in df.columns if c not in (key, position)]
-    latest = F.max_by(F.struct(*[F.col(c) for c in others]), position) if others else None
-    grouped = df.groupBy(key)
-    if latest is None:
-        return grouped.agg(F.min(position).alias(position))
-    last = grouped.agg(latest.alias("_last"), F.min(position).alias(position))
-    return last.select(key, position, *[F.col("_last").getField(c).alias(c) for c in others])
+    return _last_per(df, [key], position, others).select(key, position, *others)
+
+
+def _last_per(df: DataFrame, keys: Sequence[str], position: str, others: Sequence[str]) -> DataFrame:
+    first_place = F.min(position).alias(position)
+    if not others:
+        return df.groupBy(*keys).agg(first_place)
+    latest = F.max_by(F.struct(*others), position).alias("_last")
+    return df.groupBy(*keys).agg(latest, first_place).select(*keys, position, "_last.*")
 
 
 def reconcile(
@@ -52,15 +55,26 @@ def reconcile(
     ``fallback`` columns come from A wherever A has the row, even when the value
     is null, and from B only where the row is missing in A. The positions
     ``pos_a, pos_b`` carry the output order (see :func:`in_first_seen_order`).
-    Deduplication leaves both sides partitioned by the key, so the join itself
-    adds no shuffle and has no frequent key.
+    Null is a key like any other: keys are compared as text with a null flag,
+    plain equality on both. Deduplication groups by the same two columns, so it
+    leaves both sides partitioned and sorted for the join, which adds no shuffle
+    and meets each key once.
     """
 
     def side(df: DataFrame, mark: str, wanted: Sequence[str]) -> DataFrame:
         columns = [c for c in dict.fromkeys(wanted) if c in df.columns]
-        unique = dedup_last(df.select(key, position, *columns), key, position)
+        keyed = df.select(
+            F.coalesce(F.col(key).cast("string"), F.lit("")).alias("_text"),
+            F.col(key).isNull().alias("_null"),
+            F.col(key).alias("_key"),
+            position,
+            *columns,
+        )
+        unique = _last_per(keyed, ["_text", "_null"], position, ["_key", *columns])
         return unique.select(
-            F.col(key).alias(f"_key_{mark}"),
+            F.col("_text").alias(f"_text_{mark}"),
+            F.col("_null").alias(f"_null_{mark}"),
+            F.col("_key").alias(f"_key_{mark}"),
             F.col(position).alias(f"pos_{mark}"),
             F.lit(True).alias(f"_in_{mark}"),
             *[F.col(c).alias(f"_{mark}_{c}") for c in columns],
@@ -68,7 +82,8 @@ def reconcile(
 
     left = side(a, "a", [*from_a, *beside_a, *fallback])
     right = side(b, "b", [*from_b, *fallback.values()])
-    joined = left.join(right, F.col("_key_a").eqNullSafe(F.col("_key_b")), "full_outer")
+    same_key = (F.col("_text_a") == F.col("_text_b")) & (F.col("_null_a") == F.col("_null_b"))
+    joined = left.join(right, same_key, "full_outer")
     in_a, in_b = F.col("_in_a").isNotNull(), F.col("_in_b").isNotNull()
 
     columns = [
