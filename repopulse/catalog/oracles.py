@@ -360,6 +360,12 @@ def oracle_sql() -> dict[str, str]:
             for name, column in (("quantity", "l_quantity"), ("price", "l_extendedprice"), ("discount", "l_discount"))
         ]
     )
+    sql["stats_by_part"] = _union(
+        [
+            _grouped("l_partkey", column, "lineitem", scale=2, name=name)
+            for name, column in (("quantity", "l_quantity"), ("price", "l_extendedprice"))
+        ]
+    )
     sql["metric_subset"] = _with_subject(
         "SELECT repo_key, issues_total, closed_ratio, issues_status, CAST(NULL AS DOUBLE) AS age_days, "
         "'sem_data_criacao' AS age_status, CAST(NULL AS DOUBLE) AS stale_days, 'sem_push' AS stale_status, "

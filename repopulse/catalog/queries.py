@@ -279,7 +279,7 @@ def stats_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: merged pull requests, releases and staleness by language."""
     return grouping.stats_by_group(
         _language(_stale(S.typed(spark, sf_dir))), "language_category", {m: m for m in grouping.GROUPED_METRICS},
-        digits=4, scale=2,
+        digits=4, scale=2, check_groups=grouping.FEW_GROUPS,
     )
 
 
@@ -289,10 +289,17 @@ def stats_by_returnflag(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = S.table(spark, sf_dir, "lineitem")
     return grouping.stats_by_group(
         lines, "l_returnflag", {"quantity": "l_quantity", "price": "l_extendedprice", "discount": "l_discount"},
-        digits=4, scale=2,
+        digits=4, scale=2, check_groups=grouping.FEW_GROUPS,
     )
 
 
+@query
+def stats_by_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with many groups, whose number is not known: values are shuffled."""
+    lines = S.table(spark, sf_dir, "lineitem")
+    return grouping.stats_by_group(lines, "l_partkey", {"quantity": "l_quantity", "price": "l_extendedprice"}, scale=2)
+
+
 @query
 def metric_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     only_issues = metrics.profile(S.nodes(spark, sf_dir), S.REFERENCE_AT, metrics=["issues"], full_schema=True)

@@ -40,12 +40,3 @@ def half_even(value: Column, digits: int) -> Column:
     exact = F.call_function("format_number", value, F.lit(pattern)).cast("double")
     careful = F.when(size < F.lit(1.0), tiny).otherwise(exact)
     return F.when(by_hand, careful).otherwise(F.rint(value * F.lit(scale)) / F.lit(scale))
-
-
-def exact_decimal(value: Column, scale: int) -> Column:
-    """A value known to have at most ``scale`` decimals, as an exact decimal.
-
-    Sums of these do not depend on the order of addition, so means do not
-    change with the partitioning.
-    """
-    return value.cast(f"decimal(20,{scale})")

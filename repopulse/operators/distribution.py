@@ -1,12 +1,17 @@
-"""Exact distribution statistics of many metrics per group in one pass.
+"""Exact distribution statistics of many metrics per group.
 
 The built-in exact ``median`` keeps every distinct value of a group in the
-memory of one task. Here the rows are first reduced to a histogram
-``(keys, metric, value) -> rows``: partial aggregation shrinks it before the
-shuffle, and a group holding a third of all rows is spread over the cluster by
-value. Count, sum, minimum and maximum come from the histogram; the median is
-found in two steps, first the value bucket that holds the middle ranks (the
-number of buckets is bounded whatever the data), then the position inside it.
+memory of one task. Here values are counted in buckets of about 0.1 % of their
+size: the number of buckets is bounded whatever the data, so partial aggregation
+makes the shuffle small and a group holding a third of all rows is no burden.
+Count, sum, minimum and maximum come from the buckets; the median is found in
+two steps, first the bucket that holds the middle ranks, then the position among
+the values of that bucket alone.
+
+What is counted depends on the number of groups. Few of them: the input is read
+a second time and filtered against the broadcast buckets of the middle ranks.
+Any number: the rows are first reduced to a histogram ``(keys, metric, value) ->
+rows``, whose shuffle serves both steps, and the buckets are joined by shuffle.
 """
 
 from __future__ import annotations
@@ -16,7 +21,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from repopulse.functions.rounding import exact_decimal, half_even
+from repopulse.functions.rounding import half_even
 
 #: Buckets per unit of log(1 + |value|): about 0.1 % of the value each.
 _BUCKETS_PER_LOG_UNIT = 1024
@@ -24,9 +29,16 @@ _BUCKETS_PER_LOG_UNIT = 1024
 
 def value_histogram(df: DataFrame, keys: Sequence[str], metrics: Mapping[str, Column | str]) -> DataFrame:
     """``keys, metric, value, rows``: how often each value (or null) occurs."""
-    return (
-        _long_form(df, keys, metrics).groupBy(*keys, "metric", "value").agg(F.count(F.lit(1)).alias("rows"))
-    )
+    return _histogram(_long_form(df, keys, metrics), [*keys, "metric"])
+
+
+def _histogram(long: DataFrame, group: Sequence[str]) -> DataFrame:
+    return long.groupBy(*group, "value").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def has_few_groups(df: DataFrame, keys: Sequence[str], limit: int = 10_000) -> bool:
+    """Check by a job over the key columns alone that there are few groups."""
+    return not keys or df.select(*keys).distinct().limit(limit + 1).count() <= limit
 
 
 def _long_form(df: DataFrame, keys: Sequence[str], metrics: Mapping[str, Column | str]) -> DataFrame:
@@ -50,25 +62,32 @@ def describe(
     metrics: Mapping[str, Column | str],
     digits: int | Mapping[str, int] = 4,
     scale: int | None = 4,
+    few_groups: bool = False,
 ) -> DataFrame:
     """Exact statistics per group and metric, in long form.
 
     Output: ``keys, metric, rows, n, mean, median, min, max`` where ``rows``
     counts all rows of the group and ``n`` those with a value. Mean and median
-    are rounded to ``digits``, one number or one per metric. ``scale`` states how many decimals the values
-    have at most: their sum is then exact and independent of the partitioning;
-    ``None`` sums doubles. Without keys an empty input still gives one row per
-    metric.
+    are rounded to ``digits``, one number or one per metric. ``scale`` states
+    how many decimals the values have at most: their sum is then exact and
+    independent of the partitioning; ``None`` sums doubles. Without keys an
+    empty input still gives one row per metric.
+
+    ``few_groups`` is a promise of the caller (bands, the winners of a top-k, a
+    number checked by :func:`has_few_groups`) that two rows per group and metric
+    can be broadcast. Without keys it holds anyway.
     """
     keys = list(keys)
     group = [*keys, "metric"]
-    histogram = value_histogram(df, keys, metrics).withColumn("bucket", _bucket(F.col("value")))
+    few_groups = few_groups or not keys
+    long = _long_form(df, keys, metrics)
+    counted = long.withColumn("rows", F.lit(1).cast("long")) if few_groups else _histogram(long, group)
+    counted = counted.withColumn("bucket", _bucket(F.col("value")))
 
-    addend = exact_decimal(F.col("value"), scale) if scale is not None else F.col("value")
-    per_bucket = histogram.groupBy(*group, "bucket").agg(
+    per_bucket = counted.groupBy(*group, "bucket").agg(
         F.sum("rows").alias("rows"),
         F.sum(F.when(F.col("value").isNotNull(), F.col("rows")).otherwise(F.lit(0))).alias("valued"),
-        F.sum(addend * F.col("rows")).alias("total"),
+        *[F.sum(part * F.col("rows")).alias(name) for name, part in _addends(F.col("value"), scale).items()],
         F.min("value").alias("min"),
         F.max("value").alias("max"),
     )
@@ -81,7 +100,7 @@ def describe(
             "bucket_end": F.sum("valued").over(running),
             "n": F.sum("valued").over(whole),
             "group_rows": F.sum("rows").over(whole),
-            "total": F.sum("total").over(whole),
+            **{name: F.sum(name).over(whole) for name in _addends(F.col("value"), scale)},
             "min": F.min("min").over(whole),
             "max": F.max("max").over(whole),
         }
@@ -90,6 +109,7 @@ def describe(
             "bucket_start": F.col("bucket_end") - F.col("valued"),
             "low_rank": F.floor((F.col("n") + 1) / 2),
             "high_rank": F.floor(F.col("n") / 2) + 1,
+            "total": _total(scale),
         }
     )
 
@@ -97,25 +117,24 @@ def describe(
         return (F.col(start) < F.col(rank)) & (F.col(rank) <= F.col(end))
 
     # One or two buckets per group go on; a group without values keeps its null bucket.
+    carried = ("bucket_start", "low_rank", "high_rank", "group_rows", "n", "total", "min", "max")
     picks = placed.where(
         holds("low_rank", "bucket_start", "bucket_end")
         | holds("high_rank", "bucket_start", "bucket_end")
         | (F.col("n") == 0)
-    ).select(
-        *[F.col(c).alias(f"picked_{c}") for c in [*group, "bucket"]],
-        "bucket_start", "low_rank", "high_rank", "group_rows", "n", "total", "min", "max",
+    ).select(*[F.col(c).alias(f"picked_{c}") for c in [*group, "bucket"]], *carried)
+    same_bucket = [F.col(c).eqNullSafe(F.col(f"picked_{c}")) for c in [*group, "bucket"]]
+    candidates = (
+        counted.join(F.broadcast(picks) if few_groups else picks, same_bucket, "inner")
+        .groupBy(*group, "bucket", "value")
+        .agg(F.sum("rows").alias("rows"), *[F.max(c).alias(c) for c in carried])
     )
     inside = Window.partitionBy(*group, "bucket").orderBy("value")
-    candidates = (
-        histogram.join(picks, [F.col(c).eqNullSafe(F.col(f"picked_{c}")) for c in [*group, "bucket"]], "inner")
-        .withColumn(
-            "upto",
-            F.col("bucket_start")
-            + F.sum("rows").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
-        )
-        .withColumn("from", F.col("upto") - F.col("rows"))
+    reached = F.sum("rows").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = candidates.withColumn("upto", F.col("bucket_start") + reached).withColumn(
+        "from", F.col("upto") - F.col("rows")
     )
-    merged = candidates.groupBy(*group).agg(
+    merged = ranked.groupBy(*group).agg(
         *[F.max(c).alias(c) for c in ("group_rows", "n", "total", "min", "max")],
         F.max(F.when(holds("low_rank", "from", "upto"), F.col("value"))).alias("low_value"),
         F.max(F.when(holds("high_rank", "from", "upto"), F.col("value"))).alias("high_value"),
@@ -126,7 +145,7 @@ def describe(
         *group,
         F.coalesce("group_rows", F.lit(0)).cast("long").alias("rows"),
         F.coalesce("n", F.lit(0)).cast("long").alias("n"),
-        F.try_divide(F.col("total").cast("double"), "n").alias("mean"),
+        F.try_divide("total", "n").alias("mean"),
         ((F.col("low_value") + F.col("high_value")) / F.lit(2.0)).alias("median"),
         "min",
         "max",
@@ -134,6 +153,25 @@ def describe(
     return finished.withColumns({c: _rounded(F.col(c), digits) for c in ("mean", "median")})
 
 
+#: Values of a known scale are added up as integers in two parts, so that the
+#: parts of 10^12 rows still fit.
+_PART = 1_000_000
+
+
+def _addends(value: Column, scale: int | None) -> dict[str, Column]:
+    if scale is None:
+        return {"sum": value}
+    units = F.rint(value * F.lit(10.0**scale)).cast("long")
+    return {"sum_high": F.call_function("div", units, F.lit(_PART)), "sum_low": units % F.lit(_PART)}
+
+
+def _total(scale: int | None) -> Column:
+    if scale is None:
+        return F.col("sum")
+    units = F.col("sum_high").cast("decimal(25,0)") * F.lit(_PART) + F.col("sum_low").cast("decimal(25,0)")
+    return units.cast("double") / F.lit(10.0**scale)
+
+
 def _rounded(value: Column, digits: int | Mapping[str, int]) -> Column:
     if isinstance(digits, int):
         return half_even(value, digits)

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from repopulse.functions.bands import Band, assign_band, band_table
 from repopulse.functions.text import fold
-from repopulse.operators.distribution import describe
+from repopulse.operators.distribution import describe, has_few_groups
 
 #: Metrics divided by language.
 GROUPED_METRICS = ("merged_prs", "releases", "stale_days")
+#: Groups that may be broadcast: a row of each takes about 100 bytes.
+FEW_GROUPS = 10_000
 
 
 def stats_by_group(
@@ -21,12 +23,16 @@ def stats_by_group(
     metrics: Mapping[str, Column | str],
     digits: int = 4,
     scale: int | None = 4,
+    check_groups: int | None = None,
 ) -> DataFrame:
     """Long form: ``group, n, metric, with_value, mean, median, min, max``.
 
     ``n`` counts all rows of the group; the statistics ignore nulls per metric.
+    With ``check_groups`` the groups are counted first (a job over that column
+    alone); up to so many of them take the plan without a shuffle of values.
     """
-    stats = describe(df, [group], metrics, digits=digits, scale=scale)
+    few = check_groups is not None and has_few_groups(df, [group], check_groups)
+    stats = describe(df, [group], metrics, digits=digits, scale=scale, few_groups=few)
     return stats.select(
         group, F.col("rows").alias("n"), "metric", F.col("n").alias("with_value"), "mean", "median", "min", "max"
     )
@@ -57,7 +63,7 @@ def banded_stats(
         .select(F.when(both, F.col("by")).alias("by"), F.when(both, F.col("value")).alias("value"))
         .select(assign_band(F.col("by"), bands).alias("band_no"), "value")
     )
-    stats = describe(numbered, ["band_no"], {"value": "value"}, digits=digits, scale=scale)
+    stats = describe(numbered, ["band_no"], {"value": "value"}, digits=digits, scale=scale, few_groups=True)
     filled = band_table(df.sparkSession, bands).join(stats.select("band_no", "n", "mean", "median"), "band_no", "left")
     return filled.select(
         "band_no", "band", F.coalesce("n", F.lit(0)).cast("long").alias("n"), "mean", "median"
@@ -96,7 +102,7 @@ def top_groups(
     winners = sizes.where(F.col("complete_rows") > 0).orderBy(F.desc("complete_rows"), "first_seen").limit(k)
     # k rows at most: the broadcast is bounded by the parameter.
     chosen = flagged.join(F.broadcast(winners.select(group)), group, "left_semi")
-    stats = describe(chosen, [group], {"value": "value"}, digits=digits, scale=scale)
+    stats = describe(chosen, [group], {"value": "value"}, digits=digits, scale=scale, few_groups=True)
     return (
         winners.join(stats.select(group, "n", "median", "max"), group)
         .select(group, "n", "median", "max", "first_seen")

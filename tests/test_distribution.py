@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from repopulse import vocabulary as V
 from repopulse.operators import grouping, summary
-from repopulse.operators.distribution import describe, describe_approximately
+from repopulse.operators.distribution import describe, describe_approximately, has_few_groups
 
 
 def brute(values, digits):
@@ -33,12 +33,13 @@ def make_rows(seed, n=3000):
     return rows + [("empty", None, 1), ("one", 2.5, 3), ("two", 1.0, 4), ("two", 2.0, 5)]
 
 
-@pytest.mark.parametrize("partitions", [1, 4, 13])
-def test_describe_matches_brute_force(spark, partitions):
+@pytest.mark.parametrize("few_groups", [False, True])
+@pytest.mark.parametrize("partitions", [1, 13])
+def test_describe_matches_brute_force(spark, partitions, few_groups):
     rows = make_rows(7)
     df = spark.createDataFrame(rows, "g string, v double, w long").repartition(partitions)
     got = {(r["g"], r["metric"]): tuple(r[c] for c in ("rows", "n", "mean", "median", "min", "max"))
-           for r in rows_of(describe(df, ["g"], {"v": "v", "w": "w"}))}
+           for r in rows_of(describe(df, ["g"], {"v": "v", "w": "w"}, few_groups=few_groups))}
     expected = {}
     for g in {r[0] for r in rows}:
         for i, metric in ((1, "v"), (2, "w")):
@@ -67,6 +68,18 @@ def test_describe_empty_null_and_unscaled(spark):
     assert (row["median"], row["min"], row["max"]) == (3.0, -1e300, 1e300)
 
 
+def test_sum_is_exact_and_groups_are_counted(spark):
+    rows = [("a", 0.1)] * 10 + [("b", -0.1)] * 3 + [(None, 12345678.9012)] * 2
+    df = spark.createDataFrame(rows, "g string, v double")
+    for few in (False, True):
+        got = {r["g"]: r["mean"] for r in rows_of(describe(df, ["g"], {"v": "v"}, few_groups=few))}
+        assert got == {"a": 0.1, "b": -0.1, None: 12345678.9012}
+    assert has_few_groups(df, ["g"], 3) and not has_few_groups(df, ["g"], 2) and has_few_groups(df, [], 0)
+    for limit in (None, 2, 3):
+        stats = grouping.stats_by_group(df, "g", {"v": "v"}, check_groups=limit)
+        assert {r["g"]: r["n"] for r in rows_of(stats)} == {"a": 10, "b": 3, None: 2}
+
+
 def test_median_of_neighbouring_buckets(spark):
     df = spark.createDataFrame([(1.0,), (1000000.0,)], "v double")
     assert rows_of(describe(df, [], {"v": "v"}))[0]["median"] == 500000.5
