@@ -64,7 +64,10 @@ def banded_stats(
         .select(assign_band(F.col("by"), bands).alias("band_no"), "value")
     )
     stats = describe(numbered, ["band_no"], {"value": "value"}, digits=digits, scale=scale, few_groups=True)
-    filled = band_table(df.sparkSession, bands).join(stats.select("band_no", "n", "mean", "median"), "band_no", "left")
+    # Null-safe, so that no not-null filter on the band is pushed down to where
+    # it would evaluate the banded column again.
+    found = stats.select(F.col("band_no").alias("found_no"), "n", "mean", "median")
+    filled = band_table(df.sparkSession, bands).join(found, F.col("band_no").eqNullSafe(F.col("found_no")), "left")
     return filled.select(
         "band_no", "band", F.coalesce("n", F.lit(0)).cast("long").alias("n"), "mean", "median"
     )
