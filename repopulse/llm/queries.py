@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from repopulse.llm.ordinal import rate_documents, train_ordinal
 from repopulse.llm.packing import pack_documents
 from repopulse.llm.token_files import encode_documents
+from repopulse.llm.toxicity import held_out, learning_rows, score_documents, train
 
 #: Id after each document.
 END_ID = 2
+#: From this score on a document is called toxic.
+TOXIC_FROM = 0.7
 
 
 def tokenizer_file(name: str) -> str:
@@ -29,6 +33,29 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score for every document; learnt from labels outside the held-out third."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    machine = train(learning_rows(docs, table(spark, sf_dir, "labels")))
+    return score_documents(docs, machine).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted")
+    )
+
+
+def op8_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade of every document and whether it is selected.
+
+    The grade of a labelled document is 0 for low quality, 1 for good but toxic
+    and 2 for good; it is selected if quality is likelier good than not.
+    """
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").withColumn("grade", F.col("quality") * (2 - F.coalesce(F.col("toxic"), F.lit(0))))
+    rated = learning_rows(docs, labels, label_col="grade")
+    return rate_documents(docs, train_ordinal(rated, 3), 1).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "expected_grade", "tail_probability", (F.col("tail_probability") >= 0.5).alias("selected")
+    )
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as read back from their token files."""
     encoded = encode_documents(table(spark, sf_dir, "documents"), tokenizer=tokenizer_file("byte_bpe_50k.json"), end_id=END_ID)
@@ -37,6 +64,8 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op4_packing": op4_packing,
+    "op6_toxicity": op6_toxicity,
+    "op8_ordinal_quality": op8_ordinal_quality,
     "op10_token_files": op10_token_files,
 }
 ORACLE_SQL: dict[str, str] = {}
