@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from repopulse.llm.mixing import mix_documents
 from repopulse.llm.ordinal import rate_documents, train_ordinal
 from repopulse.llm.packing import pack_documents
+from repopulse.llm.secret_scan import scan_secrets
+from repopulse.llm.simhash import near_duplicates
 from repopulse.llm.token_files import encode_documents
 from repopulse.llm.toxicity import held_out, learning_rows, score_documents, train
 
@@ -27,6 +30,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its fingerprint and the component of its near-duplicates."""
+    return near_duplicates(table(spark, sf_dir, "documents"), words=4, most=4)
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the words that the mix takes of it."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mix_documents(docs, weights=(1.0, 2.0, 3.0), most=3, keep=("doc_id",)).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 4096 ids."""
     packed = pack_documents(table(spark, sf_dir, "documents"), tokenizer=tokenizer_file("word_bpe_49k.json"), end_id=END_ID)
@@ -56,6 +70,15 @@ def op8_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document. A source is the owner, and its documents of one
+    language are a repository."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    found = scan_secrets(docs, owner=F.col("source"), repository=F.col("lang"), keep=("doc_id",))
+    live = F.size(F.filter("findings", lambda s: s["live"])).cast("long")
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", live.alias("n_live"), (F.size("findings") - live).alias("n_examples"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as read back from their token files."""
     encoded = encode_documents(table(spark, sf_dir, "documents"), tokenizer=tokenizer_file("byte_bpe_50k.json"), end_id=END_ID)
@@ -63,9 +86,12 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_simhash": op1_simhash,
+    "op3_mixing": op3_mixing,
     "op4_packing": op4_packing,
     "op6_toxicity": op6_toxicity,
     "op8_ordinal_quality": op8_ordinal_quality,
+    "op9_secrets": op9_secrets,
     "op10_token_files": op10_token_files,
 }
 ORACLE_SQL: dict[str, str] = {}
