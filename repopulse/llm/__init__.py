@@ -1,5 +1,6 @@
 """Operators of a training-data pipeline over documents and embeddings."""
 
-from repopulse.llm.queries import ORACLE_SQL, QUERIES
+from repopulse.llm.oracles import ORACLE_SQL
+from repopulse.llm.queries import QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -10,8 +10,11 @@ from repopulse.llm.ordinal import rate_documents, train_ordinal
 from repopulse.llm.packing import pack_documents
 from repopulse.llm.secret_scan import scan_secrets
 from repopulse.llm.simhash import near_duplicates
+from repopulse.llm.threshold_search import top_inner_products
+from repopulse.llm.token_counts import count_tokens, sentencepiece_vocabulary
 from repopulse.llm.token_files import encode_documents
 from repopulse.llm.toxicity import held_out, learning_rows, score_documents, train
+from repopulse.llm.vector_links import link_vectors
 
 #: Id after each document.
 END_ID = 2
@@ -35,6 +38,11 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=4, most=4)
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document by a unigram vocabulary."""
+    return count_tokens(table(spark, sf_dir, "documents"), sentencepiece_vocabulary(tokenizer_file("piece_bpe_32k.model")))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the words that the mix takes of it."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
@@ -47,6 +55,11 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op5_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector with its links of cosine 0.93 or more within its label."""
+    return link_vectors(table(spark, sf_dir, "embeddings"), least=0.93)
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A toxicity score for every document; learnt from labels outside the held-out third."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -56,6 +69,11 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_threshold_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten largest inner products of every hundredth vector."""
+    return top_inner_products(table(spark, sf_dir, "embeddings"), k=10, every=100)
+
+
 def op8_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected grade of every document and whether it is selected.
 
@@ -87,11 +105,14 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_token_counts": op2_token_counts,
     "op3_mixing": op3_mixing,
     "op4_packing": op4_packing,
+    "op5_vector_links": op5_vector_links,
     "op6_toxicity": op6_toxicity,
+    "op7_threshold_search": op7_threshold_search,
     "op8_ordinal_quality": op8_ordinal_quality,
     "op9_secrets": op9_secrets,
     "op10_token_files": op10_token_files,
 }
-ORACLE_SQL: dict[str, str] = {}
+
