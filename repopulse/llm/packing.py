@@ -131,12 +131,12 @@ class _Packer:
 def _packed(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, capacity: int) -> Iterator[pa.RecordBatch]:
     tok = subwords(tokenizer)
     packer = _Packer(TaskContext.get().partitionId() << 32, capacity)
-    end = np.array([end_id], tok.dtype).tobytes()
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
-            for doc, ids in zip(part.column(0).to_pylist(), tok.ids(part.column(1).to_pylist()), strict=True):
-                packer.add(doc, np.frombuffer(ids + end, tok.dtype))
+        docs, at = batch.column(0).to_pylist(), 0
+        for ids, counts in tok.documents(batch.column(1), end_id):
+            for own in np.split(ids, np.cumsum(counts)[:-1]):
+                packer.add(docs[at], own)
+                at += 1
             yield packer.taken()
     packer.finish()
     yield packer.taken()

@@ -14,6 +14,8 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Characters beside which a space is certainly a cut: printable ASCII and Latin letters, neither white space nor marks.
 _SOLID = "!-~¡-¬®-ɏ"
@@ -21,8 +23,8 @@ _ORDINARY = re.compile(rf"[{_SOLID}](?:.*[{_SOLID}])?", re.DOTALL)
 _CUT = re.compile(rf"(?<=[{_SOLID}]) (?=[{_SOLID}])")
 #: A word and the signs behind it are tokens of their own, as long as there is no apostrophe.
 _SIGNED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]+)")
-#: Longer parts are not kept; how many parts are kept, and how many characters are worked on at once.
-_LONGEST, _KEPT, _AT_ONCE = 48, 700_000, 1_000_000
+#: Longer parts are not kept; how many parts are kept, and how many bytes of text are worked on at once.
+_LONGEST, _KEPT, _AT_ONCE = 48, 700_000, 8_000_000
 
 
 class Subwords:
@@ -48,41 +50,101 @@ class Subwords:
         else:
             raise ValueError(f"{path} has no single token for a line end or a bar")
 
-    def ids(self, texts: list[str]) -> Iterator[bytes]:
-        """The ids of each text, in this tokenizer's ``dtype``."""
+    def documents(self, texts: pa.Array, end_id: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Ids of consecutive texts, one after another, and how many each has, with
+        ``end_id`` after each; nulls count as empty. One text at least at a time."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
         start = 0
         while start < len(texts):
-            stop, size = start, 0
-            while stop < len(texts) and (stop == start or size + len(texts[stop]) <= _AT_ONCE):
-                size += len(texts[stop])
-                stop += 1
-            yield from self._batch(texts[start:stop])
+            before = sizes[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(sizes, before + _AT_ONCE)))
+            yield self._batch(texts.slice(start, stop - start), end_id)
             start = stop
 
-    def _batch(self, texts: list[str]) -> list[bytes]:
-        """Parts, but for the first of a text, are looked up without the space before them."""
-        kept, cut = self._kept, [x.split(" ") for x in texts]
-        new = set().union(*(x[1:] for x in cut)) - kept.keys()
-        odd = {x for x in new if not _ORDINARY.fullmatch(x)}
+    def _batch(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        split = pc.split_pattern(texts, " ")
+        bounds = split.offsets.to_numpy() - split.offsets[0].as_py()
+        coded = split.flatten().dictionary_encode()
+        words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+        # The first part of a text has no space before it: an entry of its own.
+        first, own = np.unique(codes[bounds[:-1]], return_inverse=True)
+        heads = [words[i] for i in first.tolist()]
+        ids, odd = self._looked_up(words)
+        odd_texts = np.zeros(len(texts), bool)
         if odd:
-            new -= odd
-            for i, parts in enumerate(cut):
-                if not odd.isdisjoint(parts):
-                    cut[i] = _CUT.split(texts[i])
-                    new.update(x for x in cut[i][1:] if x not in kept)
-        room = len(kept) < _KEPT
-        signed = {x: m.groups() for x in new if (m := _SIGNED.fullmatch(x))}
-        words = {w for w, _ in signed.values()} - kept.keys()
-        plain = [*(new - signed.keys() | words)]
-        signs = [*{s for _, s in signed.values()}]
-        kept.update(zip(plain, self._encode([" " + x for x in plain]), strict=True))
+            inner = np.ones(len(codes), bool)
+            inner[bounds[:-1]] = False
+            at = np.flatnonzero(inner & np.isin(codes, odd))
+            odd_texts[np.searchsorted(bounds, at, side="right") - 1] = True
+        odd_texts |= np.array([bool(x) and not _ORDINARY.fullmatch(x[-1]) for x in heads], bool)[own]
+        codes[bounds[:-1]] = len(words) + own
+        ids += self._encode(heads)
+        # Texts with other white space are cut elsewhere; they make entries of their own.
+        whole = np.flatnonzero(odd_texts)
+        whole_code = len(ids) + np.arange(len(whole))
+        ids += self._cut_elsewhere([texts[i].as_py() for i in whole.tolist()])
+        end_code = len(ids)
+        ids.append(np.array([end_id], self.dtype).tobytes())
+        if len(whole):
+            keep = ~np.repeat(odd_texts, np.diff(bounds))
+            lengths = np.where(odd_texts, 1, np.diff(bounds))
+            starts = np.concatenate([[0], np.cumsum(lengths)])
+            mixed = np.zeros(starts[-1], np.int64)
+            single = np.repeat(odd_texts, lengths)
+            mixed[~single], mixed[single] = codes[keep], whole_code
+            codes, bounds = mixed, starts
+        codes = np.insert(codes, bounds[1:], end_code)
+        # Gather the ids of all parts.
+        width = self.dtype.itemsize
+        sizes = np.array([len(x) for x in ids], np.int64) // width
+        flat = np.frombuffer(b"".join(ids), self.dtype)
+        places = np.cumsum(sizes) - sizes
+        taken = sizes[codes]
+        ends = np.cumsum(taken)
+        steps = np.repeat(places[codes] - (ends - taken), taken)
+        steps += np.arange(len(steps))
+        per_text = ends[bounds[1:] + np.arange(len(texts))]
+        return flat[steps], np.diff(per_text, prepend=0)
+
+    def _looked_up(self, words: list[str]) -> tuple[list[bytes], list[int]]:
+        """The ids of each part with a space before it, and the places of parts
+        beside which a space is no sure cut."""
+        kept = self._kept
+        ids = list(map(kept.get, words))
+        missing = [i for i, x in enumerate(ids) if x is None]
+        odd = [i for i in missing if not _ORDINARY.fullmatch(words[i])]
+        unknown = set(odd)
+        plain, signed = [], []
+        for i in missing:
+            if i in unknown:
+                ids[i] = b""
+            elif m := _SIGNED.fullmatch(words[i]):
+                signed.append((i, *m.groups()))
+            else:
+                plain.append(words[i])
+        stems = [w for w in dict.fromkeys(w for _, w, _ in signed) if w not in kept]
+        signs = list({s for _, _, s in signed})
         ends = dict(zip(signs, self._encode(signs), strict=True))
-        kept.update((x, kept[w] + ends[s]) for x, (w, s) in signed.items())
+        new = dict(zip(plain + stems, self._encode([" " + x for x in plain + stems]), strict=True))
+        for i, word, sign in signed:
+            ids[i] = (kept.get(word) or new[word]) + ends[sign]
+            new[words[i]] = ids[i]
+        for i in missing:
+            if ids[i] is None:
+                ids[i] = new[words[i]]
+        if len(kept) < _KEPT:
+            kept.update((k, v) for k, v in new.items() if len(k) <= _LONGEST and "\n" not in k)
+        return ids, odd
+
+    def _cut_elsewhere(self, texts: list[str]) -> list[bytes]:
+        cut = [_CUT.split(x) for x in texts]
+        words = list({y for x in cut for y in x[1:]})
+        known = dict(zip(words, (self._kept.get(x) for x in words), strict=True))
+        new = [x for x, ids in known.items() if ids is None]
+        known.update(zip(new, self._encode([" " + x for x in new]), strict=True))
         heads = self._encode([x[0] for x in cut])
-        out = [head + b"".join(map(kept.__getitem__, x[1:])) for x, head in zip(cut, heads, strict=True)]
-        for x in (new | words) if not room else [x for x in new if len(x) > _LONGEST]:
-            del kept[x]
-        return out
+        return [head + b"".join(map(known.__getitem__, x[1:])) for x, head in zip(cut, heads, strict=True)]
 
     def _encode(self, parts: list[str]) -> list[bytes]:
         """Each part as if it were a text of its own."""

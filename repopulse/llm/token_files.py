@@ -24,8 +24,6 @@ from pyspark.sql import functions as F
 from repopulse.llm.storage import checked, shared_folder, store
 from repopulse.llm.subwords import subwords
 
-_AT_ONCE = 256
-
 
 def _written(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str, end_id: int) -> Iterator[pa.RecordBatch]:
     """One shard from this task's sorted documents; its row of the manifest."""
@@ -35,7 +33,6 @@ def _written(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str, end
     name = f"{context.partitionId():08d}-{context.taskAttemptId()}"
     fs, root = pafs.FileSystem.from_uri(folder)
     fs.create_dir(root, recursive=True)
-    end = np.array([end_id], tok.dtype).tobytes()
     n_docs = n_ids = 0
     with (
         fs.open_output_stream(f"{root}/{name}.ids") as ids,
@@ -43,16 +40,12 @@ def _written(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str, end
         fs.open_output_stream(f"{root}/{name}.docs") as docs,
     ):
         for batch in batches:
-            for at in range(0, batch.num_rows, _AT_ONCE):
-                part = batch.slice(at, _AT_ONCE)
-                starts = []
-                for x in tok.ids(part.column(1).to_pylist()):
-                    starts.append(n_ids)
-                    ids.write(x + end)
-                    n_ids += len(x) // tok.dtype.itemsize + 1
-                offsets.write(np.array(starts, "<u8").tobytes())
-                docs.write(part.column(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
-                n_docs += part.num_rows
+            docs.write(batch.column(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
+            n_docs += batch.num_rows
+            for found, counts in tok.documents(batch.column(1), end_id):
+                ids.write(found.tobytes())
+                offsets.write((n_ids + np.cumsum(counts) - counts).astype("<u8").tobytes())
+                n_ids += len(found)
         offsets.write(np.array([n_ids], "<u8").tobytes())
     if n_docs:
         row = [[context.partitionId()], [name], [n_docs], [n_ids], [tok.dtype.itemsize]]
