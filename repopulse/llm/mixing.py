@@ -58,7 +58,7 @@ def source_targets(sources: DataFrame, weights: tuple[float, ...], most: float)
 
 def _newton(histogram: DataFrame, targets: DataFrame, most: float) -> DataFrame:
     """``targets`` with ``scale`` and ``lam``; a null ``lam`` takes every document ``most`` times."""
-    scales = histogram.groupBy("source").agg((F.sum(F.col("n") * F.col("size") * F.col("size")) / F.sum(F.col("n") * F.col("size"))).alias("scale"))
+    scales = histogram.groupBy("source").agg(F.try_divide(F.sum(F.col("n") * F.col("size") * F.col("size")), F.sum(F.col("n") * F.col("size"))).alias("scale"))
     full = F.col("target") >= F.col("source_size") * most * (1 - 1e-12)
     state = targets.join(scales, targets["source"].eqNullSafe(scales["source"])).drop(scales["source"])
     state = state.withColumn("lam", F.when(full | (F.col("source_size") == 0), F.lit(None)).otherwise(F.lit(0.0)))
