@@ -181,7 +181,7 @@ docs AS (
 _RANKING = """
 ranking AS (
   SELECT lower(source) AS lang_key, max(doc_id + 1) AS rank
-  FROM documents JOIN labels USING (doc_id) WHERE toxic = 1 GROUP BY lower(source))
+  FROM documents WHERE source IS NOT NULL GROUP BY lower(source))
 """
 
 
@@ -195,15 +195,19 @@ lines AS (
          count(*) FILTER (l_returnflag = 'N') AS n_new
   FROM lineitem GROUP BY l_orderkey),
 rows_all AS (
-  SELECT o_custkey AS repo_key, o_orderkey AS pos, o_orderstatus, o_orderdate AS ts, o_orderpriority AS priority,
+  SELECT CASE WHEN o_orderkey % 97 <> 0 THEN o_custkey END AS repo_key, o_orderkey AS pos, o_orderstatus, o_orderdate AS ts, o_orderpriority AS priority,
          'https://example.org/order/' || CAST(o_orderkey AS VARCHAR) AS url,
          CASE WHEN o_orderpriority <> '5-LOW' THEN CAST(floor(o_totalprice) AS BIGINT) END AS stars,
          n_lines, n_returned, n_new
   FROM orders LEFT JOIN lines ON o_orderkey = l_orderkey),
-placed AS (
-  SELECT *, row_number() OVER (PARTITION BY repo_key, o_orderstatus ORDER BY pos DESC) AS newest,
-         min(pos) OVER (PARTITION BY repo_key, o_orderstatus) AS first_pos
-  FROM rows_all),
+placed_a AS (
+  SELECT *, row_number() OVER (PARTITION BY repo_key ORDER BY pos DESC) AS newest,
+         min(pos) OVER (PARTITION BY repo_key) AS first_pos
+  FROM rows_all WHERE o_orderstatus <> 'F'),
+placed_b AS (
+  SELECT *, row_number() OVER (PARTITION BY repo_key ORDER BY pos DESC) AS newest,
+         min(pos) OVER (PARTITION BY repo_key) AS first_pos
+  FROM rows_all WHERE o_orderstatus <> 'O'),
 a AS (
   SELECT repo_key, first_pos AS pos_a, url, stars, priority AS language, priority AS language_category,
          n_lines AS issues_total, n_returned, n_new,
@@ -211,19 +215,19 @@ a AS (
          CASE WHEN {_seconds('ts')} < 0 THEN 'data_futura' ELSE 'ok' END AS stale_status,
          {_round("CASE WHEN n_lines > 0 THEN CAST(n_returned AS DOUBLE) / n_lines END", 4)} AS closed_ratio,
          {_round("(" + _seconds('ts') + " / 86400.0) / 365.25", 2)} AS age_years_api
-  FROM placed WHERE o_orderstatus = 'O' AND newest = 1),
+  FROM placed_a WHERE newest = 1),
 b AS (
   SELECT repo_key, first_pos AS pos_b, stars, CAST(floor({_seconds('ts')} / 86400.0) AS BIGINT) AS age_whole_days,
          {_round("floor(" + _seconds('ts') + " / 86400.0) / 365.25", 2)} AS age_years,
          n_new AS merged_prs, n_returned AS releases
-  FROM placed WHERE o_orderstatus = 'F' AND newest = 1),
+  FROM placed_b WHERE newest = 1),
 merged AS (
-  SELECT coalesce(a.repo_key, b.repo_key) AS repo_key, a.repo_key IS NOT NULL AS in_a, b.repo_key IS NOT NULL AS in_b,
+  SELECT coalesce(a.repo_key, b.repo_key) AS repo_key, a.pos_a IS NOT NULL AS in_a, b.pos_b IS NOT NULL AS in_b,
          a.url, a.stale_days, a.stale_status, a.language, a.language_category, a.issues_total, a.closed_ratio,
-         CASE WHEN a.repo_key IS NOT NULL THEN a.stars ELSE b.stars END AS stars,
+         CASE WHEN a.pos_a IS NOT NULL THEN a.stars ELSE b.stars END AS stars,
          a.age_years_api, a.n_new AS merged_prs_api, a.n_returned AS releases_api,
          b.age_whole_days, b.age_years, b.merged_prs, b.releases, pos_a, pos_b
-  FROM a FULL OUTER JOIN b ON a.repo_key = b.repo_key)
+  FROM a FULL OUTER JOIN b ON a.repo_key IS NOT DISTINCT FROM b.repo_key)
 """
 
 

@@ -279,7 +279,7 @@ def stats_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: merged pull requests, releases and staleness by language."""
     return grouping.stats_by_group(
         _language(_stale(S.typed(spark, sf_dir))), "language_category", {m: m for m in grouping.GROUPED_METRICS},
-        digits=4, scale=2, check_groups=grouping.FEW_GROUPS,
+        digits=4, scale=2,
     )
 
 
@@ -289,7 +289,7 @@ def stats_by_returnflag(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = S.table(spark, sf_dir, "lineitem")
     return grouping.stats_by_group(
         lines, "l_returnflag", {"quantity": "l_quantity", "price": "l_extendedprice", "discount": "l_discount"},
-        digits=4, scale=2, check_groups=grouping.FEW_GROUPS,
+        digits=4, scale=2,
     )
 
 
@@ -323,8 +323,8 @@ def profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def band_age(spark: SparkSession, sf_dir: str) -> DataFrame:
-    aged = _aged(S.facts(spark, sf_dir)).withColumn("band_no", assign_band(F.col("age_years"), V.AGE_BANDS))
-    return aged.select("repo_key", "age_years", band_label(F.col("band_no"), V.AGE_BANDS).alias("band"))
+    aged = _aged(S.facts(spark, sf_dir)).withColumn("band_no", assign_band(F.col("age_years"), V.AGE_BANDS, scale=4))
+    return aged.select("repo_key", "age_years", band_label(F.col("band_no"), V.AGE_BANDS, scale=4).alias("band"))
 
 
 @query
@@ -336,7 +336,7 @@ def band_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def banded_age_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = _ratio(_aged(S.typed(spark, sf_dir)))
-    return grouping.banded_stats(records, F.col("age_years"), F.col("closed_ratio"), V.AGE_BANDS)
+    return grouping.banded_stats(records, F.col("age_years"), F.col("closed_ratio"), V.AGE_BANDS, scale=4)
 
 
 @query
@@ -409,7 +409,7 @@ def top_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def order_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = S.table(spark, sf_dir, "orders")
-    return ranking.order_violations(orders, "o_orderkey", "o_totalprice", bucket_rows=1000)
+    return ranking.order_violations(orders, "o_orderkey", "o_totalprice")
 
 
 # --- reconciliation --------------------------------------------------------------
@@ -684,7 +684,7 @@ def dq_conservation(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = _records(spark, sf_dir).select("language_category", "age_years", "closed_ratio")
     groups = summary.category_histogram(records, "language_category")
     pairs = correlation.correlate(records, "age_years", "closed_ratio")
-    bands = grouping.banded_stats(records, F.col("age_years"), F.col("closed_ratio"), V.AGE_BANDS)
+    bands = grouping.banded_stats(records, F.col("age_years"), F.col("closed_ratio"), V.AGE_BANDS, scale=4)
     return (
         quality.conservation("groups_add_up", groups, "n", pairs, "total")
         .unionByName(quality.conservation("bands_add_up", bands, "n", pairs, "pairs_used"))

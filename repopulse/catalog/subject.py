@@ -215,15 +215,15 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sources(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Two collections of the same customers: open orders (A), finished ones (B).
-
-    Customers repeat, and some are in one collection only.
+    """Two collections of customers: orders that are not finished (A), and those that
+    are not open (B). Together they cover the table, and partly finished orders are in
+    both. Customers repeat, some are in one collection only, and some keys are null.
     """
     orders = table(spark, sf_dir, "orders").join(
         lines_per_order(spark, sf_dir), F.col("o_orderkey") == F.col("l_orderkey"), "left"
     )
     rows = orders.select(
-        F.col("o_custkey").alias("repo_key"),
+        F.when(F.col("o_orderkey") % 97 != 0, F.col("o_custkey")).alias("repo_key"),
         F.col("o_orderkey").alias("pos"),
         "o_orderstatus",
         F.concat(F.lit("https://example.org/order/"), F.col("o_orderkey").cast("string")).alias("url"),
@@ -234,7 +234,7 @@ def sources(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         "n_returned",
         "n_new",
     )
-    return rows.where(F.col("o_orderstatus") == "O"), rows.where(F.col("o_orderstatus") == "F")
+    return rows.where(F.col("o_orderstatus") != "F"), rows.where(F.col("o_orderstatus") != "O")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -248,8 +248,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ranking_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``name, position``: sources of toxic documents in document order, unevenly written."""
-    toxic = table(spark, sf_dir, "labels").where(F.col("toxic") == 1).select("doc_id")
-    listed = table(spark, sf_dir, "documents").join(toxic, "doc_id")
+    """``name, position``: sources of all documents in document order, unevenly written."""
+    listed = table(spark, sf_dir, "documents").where(F.col("source").isNotNull())
     name = F.when(F.col("lang") == "en", F.upper("source")).otherwise(F.concat(F.lit("\t "), F.col("source"), F.lit(" ")))
     return listed.select(name.alias("name"), (F.col("doc_id") + 1).alias("position"))

@@ -37,6 +37,7 @@ def half_even(value: Column, digits: int) -> Column:
     tiny = F.signum(value) * F.when(rounds_up, F.lit(1.0 / scale)).otherwise(F.lit(0.0))
 
     pattern = "0." + "0" * digits if digits else "0"
-    exact = F.call_function("format_number", value, F.lit(pattern)).cast("double")
+    exact = F.call_function("format_number", value, F.lit(pattern)).try_cast("double")
     careful = F.when(size < F.lit(1.0), tiny).otherwise(exact)
-    return F.when(by_hand, careful).otherwise(F.rint(value * F.lit(scale)) / F.lit(scale))
+    endless = F.isnan(value) | (size == F.lit(float("inf")))
+    return F.when(endless, value).when(by_hand, careful).otherwise(F.rint(value * F.lit(scale)) / F.lit(scale))

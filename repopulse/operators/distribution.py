@@ -1,17 +1,18 @@
 """Exact distribution statistics of many metrics per group.
 
 The built-in exact ``median`` keeps every distinct value of a group in the
-memory of one task. Here values are counted in buckets of about 0.1 % of their
-size: the number of buckets is bounded whatever the data, so partial aggregation
-makes the shuffle small and a group holding a third of all rows is no burden.
-Count, sum, minimum and maximum come from the buckets; the median is found in
-two steps, first the bucket that holds the middle ranks, then the position among
-the values of that bucket alone.
-
-What is counted depends on the number of groups. Few of them: the input is read
-a second time and filtered against the broadcast buckets of the middle ranks.
-Any number: the rows are first reduced to a histogram ``(keys, metric, value) ->
-rows``, whose shuffle serves both steps, and the buckets are joined by shuffle.
+memory of one task. Here the rows are first reduced to a histogram ``(keys,
+metric, value) -> rows``, dealt out by value, so that a group holding most rows is
+spread over all tasks. Everything else starts from that shuffle; the input is
+evaluated once. The median is found in three steps: the bucket of about 0.07 % of
+the value's size that holds the middle ranks, then one of 4,096 equal parts of
+what that bucket really spans, then the position among the values of that part.
+Both kinds of counts are partial aggregates. The parts adapt to the data, so
+values in a narrow band (points in time) or far below one (small shares) are split
+as well as any others; what the last window ranks is a few distinct values.
+
+Values are ordered as Spark orders them: NaN counts as a value and is the
+greatest, after infinity. A mean that includes either is NaN or infinite.
 """
 
 from __future__ import annotations
@@ -23,22 +24,10 @@ from pyspark.sql import functions as F
 
 from repopulse.functions.rounding import half_even
 
-#: Buckets per unit of log(1 + |value|): about 0.1 % of the value each.
-_BUCKETS_PER_LOG_UNIT = 1024
-
-
-def value_histogram(df: DataFrame, keys: Sequence[str], metrics: Mapping[str, Column | str]) -> DataFrame:
-    """``keys, metric, value, rows``: how often each value (or null) occurs."""
-    return _histogram(_long_form(df, keys, metrics), [*keys, "metric"])
-
-
-def _histogram(long: DataFrame, group: Sequence[str]) -> DataFrame:
-    return long.groupBy(*group, "value").agg(F.count(F.lit(1)).alias("rows"))
-
-
-def has_few_groups(df: DataFrame, keys: Sequence[str], limit: int = 10_000) -> bool:
-    """Check by a job over the key columns alone that there are few groups."""
-    return not keys or df.select(*keys).distinct().limit(limit + 1).count() <= limit
+#: Buckets for each doubling of the value; beyond the span of all doubles lie infinity and NaN.
+_BUCKETS_PER_DOUBLING, _SPAN = 1024, 1_200_000
+#: Equal parts of the bucket that holds a middle rank.
+_PARTS = 4096
 
 
 def _long_form(df: DataFrame, keys: Sequence[str], metrics: Mapping[str, Column | str]) -> DataFrame:
@@ -53,7 +42,30 @@ def _long_form(df: DataFrame, keys: Sequence[str], metrics: Mapping[str, Column
 
 def _bucket(value: Column) -> Column:
     # Monotone in the value, so buckets are ordered like their values.
-    return F.floor(F.signum(value) * F.log1p(F.abs(value)) * F.lit(_BUCKETS_PER_LOG_UNIT)).cast("long")
+    size = F.abs(value)
+    own = F.floor(F.log2(size) * F.lit(_BUCKETS_PER_DOUBLING)).cast("long") + F.lit(_SPAN)
+    return (
+        F.when(F.isnan(value), F.lit(3 * _SPAN))
+        .when(size == F.lit(float("inf")), F.signum(value).cast("long") * F.lit(2 * _SPAN + 1))
+        .when(value == F.lit(0.0), F.lit(0))
+        .when(value.isNotNull(), F.signum(value).cast("long") * own)
+    )
+
+
+def _part(value: Column, low: Column, high: Column) -> Column:
+    """Which of the equal parts of ``low`` to ``high`` a value lies in; monotone too."""
+    share = F.try_divide(value - low, high - low)
+    inside = F.least(F.floor(share * F.lit(_PARTS)).cast("long"), F.lit(_PARTS - 1).cast("long"))
+    return F.when((high > low) & (value > low), inside).otherwise(F.lit(0).cast("long"))
+
+
+def _holds(rank: str, start: str, end: str) -> Column:
+    return (F.col(start) < F.col(rank)) & (F.col(rank) <= F.col(end))
+
+
+def _middle(start: str, end: str) -> Column:
+    """Whether ranks after ``start`` up to ``end`` include a middle one; a group without values keeps its only row."""
+    return _holds("low_rank", start, end) | _holds("high_rank", start, end) | (F.col("n") == 0)
 
 
 def describe(
@@ -61,35 +73,32 @@ def describe(
     keys: Sequence[str],
     metrics: Mapping[str, Column | str],
     digits: int | Mapping[str, int] = 4,
-    scale: int | None = 4,
-    few_groups: bool = False,
+    scale: int | None = None,
 ) -> DataFrame:
     """Exact statistics per group and metric, in long form.
 
     Output: ``keys, metric, rows, n, mean, median, min, max`` where ``rows``
     counts all rows of the group and ``n`` those with a value. Mean and median
-    are rounded to ``digits``, one number or one per metric. ``scale`` states
-    how many decimals the values have at most: their sum is then exact and
-    independent of the partitioning; ``None`` sums doubles. Without keys an
-    empty input still gives one row per metric.
-
-    ``few_groups`` is a promise of the caller (bands, the winners of a top-k, a
-    number checked by :func:`has_few_groups`) that two rows per group and metric
-    can be broadcast. Without keys it holds anyway.
+    are rounded to ``digits``, one number or one per metric. ``scale`` states how
+    many decimals most values have at most: those are summed as integers, exactly
+    and independently of the partitioning. Values with more decimals, or too
+    large for that, are summed as doubles beside them; none is ever rounded.
+    Without keys an empty input still gives one row per metric.
+
+    There is one plan for any number of groups; building it starts no job.
     """
     keys = list(keys)
     group = [*keys, "metric"]
-    few_groups = few_groups or not keys
-    long = _long_form(df, keys, metrics)
-    counted = long.withColumn("rows", F.lit(1).cast("long")) if few_groups else _histogram(long, group)
+    counted = _long_form(df, keys, metrics).groupBy(*group, "value").agg(F.count(F.lit(1)).alias("rows"))
     counted = counted.withColumn("bucket", _bucket(F.col("value")))
 
+    addends = _addends(F.col("value"), F.col("rows"), scale)
     per_bucket = counted.groupBy(*group, "bucket").agg(
         F.sum("rows").alias("rows"),
         F.sum(F.when(F.col("value").isNotNull(), F.col("rows")).otherwise(F.lit(0))).alias("valued"),
-        *[F.sum(part * F.col("rows")).alias(name) for name, part in _addends(F.col("value"), scale).items()],
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
+        *[F.sum(part).alias(name) for name, part in addends.items()],
+        F.min("value").alias("low"),
+        F.max("value").alias("high"),
     )
 
     # A bounded number of buckets per group reaches this window, not its rows.
@@ -100,9 +109,9 @@ def describe(
             "bucket_end": F.sum("valued").over(running),
             "n": F.sum("valued").over(whole),
             "group_rows": F.sum("rows").over(whole),
-            **{name: F.sum(name).over(whole) for name in _addends(F.col("value"), scale)},
-            "min": F.min("min").over(whole),
-            "max": F.max("max").over(whole),
+            **{name: F.sum(name).over(whole) for name in addends},
+            "min": F.min("low").over(whole),
+            "max": F.max("high").over(whole),
         }
     ).withColumns(
         {
@@ -112,41 +121,47 @@ def describe(
             "total": _total(scale),
         }
     )
-
-    def holds(rank: str, start: str, end: str) -> Column:
-        return (F.col(start) < F.col(rank)) & (F.col(rank) <= F.col(end))
-
-    # One or two buckets per group go on; a group without values keeps its null bucket.
-    carried = ("bucket_start", "low_rank", "high_rank", "group_rows", "n", "total", "min", "max")
-    picks = placed.where(
-        holds("low_rank", "bucket_start", "bucket_end")
-        | holds("high_rank", "bucket_start", "bucket_end")
-        | (F.col("n") == 0)
-    ).select(*[F.col(c).alias(f"picked_{c}") for c in [*group, "bucket"]], *carried)
+    # One or two buckets per group go on.
+    carried = ("low_rank", "high_rank", "group_rows", "n", "total", "min", "max")
+    picked = placed.where(_middle("bucket_start", "bucket_end")).select(
+        *[F.col(c).alias(f"picked_{c}") for c in [*group, "bucket"]], "bucket_start", "low", "high", *carried
+    )
     same_bucket = [F.col(c).eqNullSafe(F.col(f"picked_{c}")) for c in [*group, "bucket"]]
-    candidates = (
-        counted.join(F.broadcast(picks) if few_groups else picks, same_bucket, "inner")
-        .groupBy(*group, "bucket", "value")
-        .agg(F.sum("rows").alias("rows"), *[F.max(c).alias(c) for c in carried])
+    near = counted.join(picked, same_bucket).withColumn("part", _part(F.col("value"), F.col("low"), F.col("high")))
+
+    # The same once more, over the parts of those buckets.
+    parts = near.groupBy(*group, "bucket", "part").agg(
+        F.sum("rows").alias("part_rows"), *[F.first(c).alias(c) for c in ("bucket_start", *carried)]
     )
-    inside = Window.partitionBy(*group, "bucket").orderBy("value")
-    reached = F.sum("rows").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranked = candidates.withColumn("upto", F.col("bucket_start") + reached).withColumn(
-        "from", F.col("upto") - F.col("rows")
+    upto = Window.partitionBy(*group, "bucket").orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    parts = parts.withColumn("part_end", F.col("bucket_start") + F.sum("part_rows").over(upto))
+    parts = parts.withColumn("part_start", F.col("part_end") - F.col("part_rows")).where(_middle("part_start", "part_end"))
+    picked_parts = parts.select(
+        *[F.col(c).alias(f"at_{c}") for c in [*group, "bucket", "part"]], "part_start", *[F.col(c).alias(f"at_{c}") for c in carried]
     )
+    same_part = [F.col(c).eqNullSafe(F.col(f"at_{c}")) for c in [*group, "bucket", "part"]]
+    candidates = near.select(*group, "bucket", "part", "value", "rows").join(picked_parts, same_part)
+    candidates = candidates.select(*group, "bucket", "part", "value", "rows", "part_start", *[F.col(f"at_{c}").alias(c) for c in carried])
+
+    inside = Window.partitionBy(*group, "bucket", "part").orderBy("value")
+    reached = F.sum("rows").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = candidates.withColumn("upto", F.col("part_start") + reached).withColumn("from", F.col("upto") - F.col("rows"))
     merged = ranked.groupBy(*group).agg(
         *[F.max(c).alias(c) for c in ("group_rows", "n", "total", "min", "max")],
-        F.max(F.when(holds("low_rank", "from", "upto"), F.col("value"))).alias("low_value"),
-        F.max(F.when(holds("high_rank", "from", "upto"), F.col("value"))).alias("high_value"),
+        F.max(F.when(_holds("low_rank", "from", "upto"), F.col("value"))).alias("low_value"),
+        F.max(F.when(_holds("high_rank", "from", "upto"), F.col("value"))).alias("high_value"),
     )
     if not keys:
         merged = _metric_table(df, metrics).join(merged, "metric", "left")
+    # Half of each first, or the sum of two large values is infinite; halves of tiny ones are not exact.
+    low, high = F.col("low_value"), F.col("high_value")
+    large = F.greatest(F.abs(low), F.abs(high)) > F.lit(1e300)
     finished = merged.select(
         *group,
         F.coalesce("group_rows", F.lit(0)).cast("long").alias("rows"),
         F.coalesce("n", F.lit(0)).cast("long").alias("n"),
         F.try_divide("total", "n").alias("mean"),
-        ((F.col("low_value") + F.col("high_value")) / F.lit(2.0)).alias("median"),
+        F.when(low == high, low).when(large, low / 2.0 + high / 2.0).otherwise((low + high) / 2.0).alias("median"),
         "min",
         "max",
     )
@@ -154,22 +169,28 @@ def describe(
 
 
 #: Values of a known scale are added up as integers in two parts, so that the
-#: parts of 10^12 rows still fit.
-_PART = 1_000_000
+#: parts of 10^12 rows still fit. Larger ones than these are not.
+_PART, _LARGEST = 1_000_000, 1e12
 
 
-def _addends(value: Column, scale: int | None) -> dict[str, Column]:
+def _addends(value: Column, rows: Column, scale: int | None) -> dict[str, Column]:
     if scale is None:
-        return {"sum": value}
-    units = F.rint(value * F.lit(10.0**scale)).cast("long")
-    return {"sum_high": F.call_function("div", units, F.lit(_PART)), "sum_low": units % F.lit(_PART)}
+        return {"sum": value * rows}
+    shift = F.lit(10.0**scale)
+    fits = (F.abs(value) < F.lit(_LARGEST / 10.0**scale)) & (F.rint(value * shift) / shift == value)
+    units = F.when(fits, F.rint(value * shift)).otherwise(F.lit(0.0)).cast("long")
+    return {
+        "sum_high": F.call_function("div", units, F.lit(_PART)) * rows,
+        "sum_low": (units % F.lit(_PART)) * rows,
+        "sum_rest": F.when(~fits, value * rows),
+    }
 
 
 def _total(scale: int | None) -> Column:
     if scale is None:
         return F.col("sum")
     units = F.col("sum_high").cast("decimal(25,0)") * F.lit(_PART) + F.col("sum_low").cast("decimal(25,0)")
-    return units.cast("double") / F.lit(10.0**scale)
+    return units.cast("double") / F.lit(10.0**scale) + F.coalesce("sum_rest", F.lit(0.0))
 
 
 def _rounded(value: Column, digits: int | Mapping[str, int]) -> Column:

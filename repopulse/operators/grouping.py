@@ -9,12 +9,10 @@ from pyspark.sql import functions as F
 
 from repopulse.functions.bands import Band, assign_band, band_table
 from repopulse.functions.text import fold
-from repopulse.operators.distribution import describe, has_few_groups
+from repopulse.operators.distribution import describe
 
 #: Metrics divided by language.
 GROUPED_METRICS = ("merged_prs", "releases", "stale_days")
-#: Groups that may be broadcast: a row of each takes about 100 bytes.
-FEW_GROUPS = 10_000
 
 
 def stats_by_group(
@@ -22,17 +20,12 @@ def stats_by_group(
     group: str,
     metrics: Mapping[str, Column | str],
     digits: int = 4,
-    scale: int | None = 4,
-    check_groups: int | None = None,
+    scale: int | None = None,
 ) -> DataFrame:
     """Long form: ``group, n, metric, with_value, mean, median, min, max``.
 
-    ``n`` counts all rows of the group; the statistics ignore nulls per metric.
-    With ``check_groups`` the groups are counted first (a job over that column
-    alone); up to so many of them take the plan without a shuffle of values.
-    """
-    few = check_groups is not None and has_few_groups(df, [group], check_groups)
-    stats = describe(df, [group], metrics, digits=digits, scale=scale, few_groups=few)
+    ``n`` counts all rows of the group; the statistics ignore nulls per metric.    """
+    stats = describe(df, [group], metrics, digits=digits, scale=scale)
     return stats.select(
         group, F.col("rows").alias("n"), "metric", F.col("n").alias("with_value"), "mean", "median", "min", "max"
     )
@@ -49,7 +42,7 @@ def banded_stats(
     value: Column,
     bands: Sequence[Band],
     digits: int = 4,
-    scale: int | None = 4,
+    scale: int | None = None,
 ) -> DataFrame:
     """``band_no, band, n, mean, median`` over complete pairs; empty bands stay.
 
@@ -63,7 +56,7 @@ def banded_stats(
         .select(F.when(both, F.col("by")).alias("by"), F.when(both, F.col("value")).alias("value"))
         .select(assign_band(F.col("by"), bands).alias("band_no"), "value")
     )
-    stats = describe(numbered, ["band_no"], {"value": "value"}, digits=digits, scale=scale, few_groups=True)
+    stats = describe(numbered, ["band_no"], {"value": "value"}, digits=digits, scale=scale)
     # Null-safe, so that no not-null filter on the band is pushed down to where
     # it would evaluate the banded column again.
     found = stats.select(F.col("band_no").alias("found_no"), "n", "mean", "median")
@@ -81,7 +74,7 @@ def top_groups(
     position: str,
     k: int = 5,
     digits: int = 4,
-    scale: int | None = 4,
+    scale: int | None = None,
 ) -> DataFrame:
     """The ``k`` largest groups with count, median and maximum of ``value``.
 
@@ -105,7 +98,7 @@ def top_groups(
     winners = sizes.where(F.col("complete_rows") > 0).orderBy(F.desc("complete_rows"), "first_seen").limit(k)
     # k rows at most: the broadcast is bounded by the parameter.
     chosen = flagged.join(F.broadcast(winners.select(group)), group, "left_semi")
-    stats = describe(chosen, [group], {"value": "value"}, digits=digits, scale=scale, few_groups=True)
+    stats = describe(chosen, [group], {"value": "value"}, digits=digits, scale=scale)
     return (
         winners.join(stats.select(group, "n", "median", "max"), group)
         .select(group, "n", "median", "max", "first_seen")

@@ -5,20 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from repopulse import vocabulary as V
 from repopulse.functions.text import lookup_key
 
 
-def top_k(df: DataFrame, k: int, by: str = "stars", tie_break: str = "repo_key", maximum: int = V.MAX_RESULTS) -> DataFrame:
-    """The first ``k`` rows by ``by`` descending (fewer if there are fewer)."""
-    if isinstance(k, bool) or not isinstance(k, int) or not 1 <= k <= maximum:
-        raise ValueError(f"k has to be between 1 and {maximum}")
+def top_k(df: DataFrame, k: int, by: str = "stars", tie_break: str = "repo_key", maximum: int | None = None) -> DataFrame:
+    """The first ``k`` rows by ``by`` descending (fewer if there are fewer).
+
+    A ``maximum`` turns larger numbers away, as a remote search does."""
+    check_limit(k, maximum)
     return df.orderBy(F.col(by).desc_nulls_last(), F.col(tie_break)).limit(k)
 
 
-def top_k_ranked(
-    df: DataFrame, k: int, by: str = "stars", tie_break: str = "repo_key", maximum: int = V.MAX_RESULTS
-) -> DataFrame:
+def check_limit(k: int, maximum: int | None = None) -> None:
+    """Raise unless ``k`` is a whole number from 1 to ``maximum``."""
+    if isinstance(k, bool) or not isinstance(k, int) or k < 1 or (maximum is not None and k > maximum):
+        raise ValueError(f"a limit has to be between 1 and {'any number' if maximum is None else maximum}, not {k}")
+
+
+def top_k_ranked(df: DataFrame, k: int, by: str = "stars", tie_break: str = "repo_key", maximum: int | None = None) -> DataFrame:
     """As :func:`top_k` with a 1-based ``rank``; the window sees ``k`` rows at most."""
     order = Window.orderBy(F.col(by).desc_nulls_last(), F.col(tie_break))
     return top_k(df, k, by, tie_break, maximum).withColumn("rank", F.row_number().over(order))
@@ -29,28 +33,42 @@ def rank_dimension(names: DataFrame, name: str = "name", position: str = "positi
     return names.groupBy(lookup_key(F.col(name)).alias("lang_key")).agg(F.max(position).alias("rank"))
 
 
-def order_violations(df: DataFrame, position: str, value: str, bucket_rows: int = 1_000_000) -> DataFrame:
+#: Bits of a position that one level of the order check takes off, and how often.
+_LEVEL_BITS, _LEVELS = 16, 4
+
+
+def order_violations(df: DataFrame, position: str, value: str) -> DataFrame:
     """One row: how many neighbours break the descending order of ``value``.
 
-    Neighbours are compared inside buckets of the position, in parallel; only
-    the first and last value of each bucket are compared across buckets.
+    Neighbours are compared inside buckets of 65,536 positions, in parallel. A bucket
+    goes on as one row with its first and last value, and buckets of buckets are
+    compared in the same way, until no bit of the position is left: no window sees
+    more than 65,536 different places, however many rows there are.
     """
-    local = Window.partitionBy("bucket").orderBy("position")
-    compared = df.select(
-        F.col(position).alias("position"),
-        F.col(value).alias("value"),
-        F.call_function("div", F.col(position), F.lit(bucket_rows)).alias("bucket"),
-    ).withColumn("previous", F.lag("value").over(local))
-    per_bucket = compared.groupBy("bucket").agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.count_if(F.col("value") > F.col("previous")).alias("inside"),
-        F.min_by("value", "position").alias("first_value"),
-        F.max_by("value", "position").alias("last_value"),
+    rows = df.select(
+        F.col(position).cast("long").alias("place"),
+        F.col(value).alias("first_value"),
+        F.col(value).alias("last_value"),
+        F.lit(1).cast("long").alias("rows"),
+        F.lit(0).cast("long").alias("failed"),
     )
-    # One summary row per million positions reaches this window.
-    across = per_bucket.withColumn("before", F.lag("last_value").over(Window.orderBy("bucket")))
-    return across.agg(
-        F.coalesce(F.sum("rows"), F.lit(0)).alias("checked"),
-        F.coalesce(F.sum(F.col("inside") + F.when(F.col("first_value") > F.col("before"), 1).otherwise(0)), F.lit(0))
-        .alias("failed"),
+    for _ in range(_LEVELS):
+        rows = rows.withColumn("bucket", F.shiftright("place", _LEVEL_BITS))
+        before = F.lag("last_value").over(Window.partitionBy("bucket").orderBy("place"))
+        rows = (
+            rows.withColumn("breaks", F.when(F.col("first_value") > before, 1).otherwise(0))
+            .groupBy("bucket")
+            .agg(
+                F.min_by("first_value", "place").alias("first_value"),
+                F.max_by("last_value", "place").alias("last_value"),
+                F.sum("rows").alias("rows"),
+                F.sum(F.col("failed") + F.col("breaks")).alias("failed"),
+            )
+            .withColumnRenamed("bucket", "place")
+        )
+    # Positions below zero and others: two rows at most.
+    before = F.lag("last_value").over(Window.orderBy("place"))
+    ends = rows.withColumn("breaks", F.when(F.col("first_value") > before, 1).otherwise(0))
+    return ends.agg(
+        F.coalesce(F.sum("rows"), F.lit(0)).alias("checked"), F.coalesce(F.sum(F.col("failed") + F.col("breaks")), F.lit(0)).alias("failed")
     )

@@ -30,7 +30,7 @@ def summarise(
     df: DataFrame,
     metrics: Mapping[str, Column | str],
     digits: int | Mapping[str, int] = 4,
-    scale: int | None = 4,
+    scale: int | None = None,
 ) -> DataFrame:
     """``metric, total, with_value, without_value, mean, median, min, max``."""
     return describe(df, [], metrics, digits=digits, scale=scale).select(
@@ -123,7 +123,7 @@ def popular_share(
     return counted.withColumn("popular_percent", half_even(F.col("popular_percent"), 2))
 
 
-def ratio_quality(df: DataFrame, ratio: Column, unreadable: Column | None = None) -> DataFrame:
+def ratio_quality(df: DataFrame, ratio: Column) -> DataFrame:
     """Valid, missing and out-of-range ratios, with min, max and median of the valid."""
     in_range = ratio.between(0.0, 1.0)
     source = df.select(

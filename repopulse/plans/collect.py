@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from repopulse import vocabulary as V
 from repopulse.functions.bands import Band
 from repopulse.operators.correlation import correlate
-from repopulse.operators.grouping import FEW_GROUPS, GROUPED_METRICS, banded_stats, stats_by_group
+from repopulse.operators.grouping import GROUPED_METRICS, banded_stats, stats_by_group
 from repopulse.operators.metrics import (
     METRICS,
     group_key,
@@ -70,12 +70,8 @@ class Collection:
         return {name: table for name, table in found.items() if table is not None}
 
 
-def summarise_records(records: DataFrame, stored: bool = False) -> Collection:
-    """All summaries the columns of ``records`` allow.
-
-    For a ``stored`` table the languages are counted first, which reads one
-    column, so that few of them take the cheaper plan.
-    """
+def summarise_records(records: DataFrame) -> Collection:
+    """All summaries the columns of ``records`` allow."""
     have = set(records.columns)
     statuses = {name: F.col(column) for name, column in STATUSES.items() if column in have}
     if "issues_status" in have and "raw" in have:
@@ -90,7 +86,7 @@ def summarise_records(records: DataFrame, stored: bool = False) -> Collection:
             language = F.col("language") if "language" in have else F.lit(None).cast("string")
             keyed = trusted_counts(records).withColumn("language_group", group_key(F.col("language_category"), language))
             groups = stats_by_group(
-                keyed, "language_group", {m: m for m in GROUPED_METRICS}, check_groups=FEW_GROUPS if stored else None
+                keyed, "language_group", {m: m for m in GROUPED_METRICS}, scale=4
             )
 
     correlations = bands = None
@@ -98,7 +94,7 @@ def summarise_records(records: DataFrame, stored: bool = False) -> Collection:
         if not {x, y} <= have:
             continue
         one = correlate(records, x, y).select(F.lit(name).alias("pair"), "*")
-        many = banded_stats(records, F.col(banded_by), F.col(described), limits).select(F.lit(name).alias("pair"), "*")
+        many = banded_stats(records, F.col(banded_by), F.col(described), limits, scale=4).select(F.lit(name).alias("pair"), "*")
         correlations = one if correlations is None else correlations.unionByName(one)
         bands = many if bands is None else bands.unionByName(many)
     return Collection(
@@ -125,7 +121,7 @@ def collect(
     if output is None:
         return summarise_records(records)
     write_tables({"repositories": records}, output)
-    stored = summarise_records(nodes.sparkSession.read.parquet(f"{output.rstrip('/')}/repositories"), stored=True)
+    stored = summarise_records(nodes.sparkSession.read.parquet(f"{output.rstrip('/')}/repositories"))
     write_tables(stored.tables(), output)
     return stored
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repopulse import vocabulary as V
 from repopulse.functions.presence import integer_at, is_empty_node, is_empty_text, object_key
+from repopulse.operators.ranking import check_limit
 
 
 def read_pages(spark: SparkSession, path: str, one_per_line: bool = False) -> DataFrame:
@@ -55,10 +55,9 @@ def nodes_of(df: DataFrame, text: str, *keep: str) -> DataFrame:
     return df.where(~is_empty_text(F.col(text))).select(*keep, F.parse_json(F.col(text)).alias("raw"))
 
 
-def take_nodes(nodes: DataFrame, n: int) -> DataFrame:
-    """The first ``n`` nodes in page order; ``n`` is limited like a search."""
-    if isinstance(n, bool) or not isinstance(n, int) or not 1 <= n <= V.MAX_RESULTS:
-        raise ValueError(f"n has to be between 1 and {V.MAX_RESULTS}")
+def take_nodes(nodes: DataFrame, n: int, maximum: int | None = None) -> DataFrame:
+    """The first ``n`` nodes in page order; a ``maximum`` limits ``n`` as a search does."""
+    check_limit(n, maximum)
     return nodes.orderBy("page", "pos").limit(n)
 
 

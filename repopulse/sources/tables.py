@@ -27,9 +27,16 @@ def read_consolidated(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).csv(path, header=True)
 
 
+#: What a number looks like; a cast of anything else costs an exception for each cell.
+_NUMBERS = {
+    "bigint": r"^\s*[-+]?\d+\s*$",
+    "double": r"^\s*[-+]?(?:\d+\.?\d*(?:[eE][-+]?\d+)?|\.\d+(?:[eE][-+]?\d+)?|(?i:nan|inf|infinity))\s*$",
+}
+
+
 def sentinel_number(text: Column, kind: str = "double") -> Column:
     """A number kept as text; the sentinel, empty text and junk give null."""
-    return F.nullif(F.nullif(text, F.lit(V.NOT_AVAILABLE)), F.lit("")).try_cast(kind)
+    return F.when(text.rlike(_NUMBERS[kind]), text).try_cast(kind)
 
 
 def quality_columns(consolidated: DataFrame) -> DataFrame:

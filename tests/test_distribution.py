@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import random
 import statistics
 
@@ -8,8 +9,8 @@ from conftest import rows_of
 from pyspark.sql import functions as F
 
 from repopulse import vocabulary as V
-from repopulse.operators import grouping, summary
-from repopulse.operators.distribution import describe, describe_approximately, has_few_groups
+from repopulse.operators import distribution, grouping, summary
+from repopulse.operators.distribution import describe, describe_approximately
 
 
 def brute(values, digits):
@@ -33,13 +34,12 @@ def make_rows(seed, n=3000):
     return rows + [("empty", None, 1), ("one", 2.5, 3), ("two", 1.0, 4), ("two", 2.0, 5)]
 
 
-@pytest.mark.parametrize("few_groups", [False, True])
 @pytest.mark.parametrize("partitions", [1, 13])
-def test_describe_matches_brute_force(spark, partitions, few_groups):
+def test_describe_matches_brute_force(spark, partitions):
     rows = make_rows(7)
     df = spark.createDataFrame(rows, "g string, v double, w long").repartition(partitions)
     got = {(r["g"], r["metric"]): tuple(r[c] for c in ("rows", "n", "mean", "median", "min", "max"))
-           for r in rows_of(describe(df, ["g"], {"v": "v", "w": "w"}, few_groups=few_groups))}
+           for r in rows_of(describe(df, ["g"], {"v": "v", "w": "w"}, scale=4))}
     expected = {}
     for g in {r[0] for r in rows}:
         for i, metric in ((1, "v"), (2, "w")):
@@ -71,13 +71,57 @@ def test_describe_empty_null_and_unscaled(spark):
 def test_sum_is_exact_and_groups_are_counted(spark):
     rows = [("a", 0.1)] * 10 + [("b", -0.1)] * 3 + [(None, 12345678.9012)] * 2
     df = spark.createDataFrame(rows, "g string, v double")
-    for few in (False, True):
-        got = {r["g"]: r["mean"] for r in rows_of(describe(df, ["g"], {"v": "v"}, few_groups=few))}
+    for scale in (None, 4, 1):
+        got = {r["g"]: r["mean"] for r in rows_of(describe(df, ["g"], {"v": "v"}, scale=scale))}
         assert got == {"a": 0.1, "b": -0.1, None: 12345678.9012}
-    assert has_few_groups(df, ["g"], 3) and not has_few_groups(df, ["g"], 2) and has_few_groups(df, [], 0)
-    for limit in (None, 2, 3):
-        stats = grouping.stats_by_group(df, "g", {"v": "v"}, check_groups=limit)
-        assert {r["g"]: r["n"] for r in rows_of(stats)} == {"a": 10, "b": 3, None: 2}
+    stats = grouping.stats_by_group(df, "g", {"v": "v"})
+    assert {r["g"]: r["n"] for r in rows_of(stats)} == {"a": 10, "b": 3, None: 2}
+
+
+def test_no_value_is_rounded_by_its_scale(spark):
+    for values in ([0.00006, 0.00006, 0.0], [2e15, 1.0], [1e300, 2.5]):
+        df = spark.createDataFrame([(v,) for v in values], "v double")
+        for scale in (None, 4):
+            (row,) = rows_of(describe(df, [], {"v": "v"}, digits=4, scale=scale))
+            assert (row["mean"], row["median"]) == (round(statistics.fmean(values), 4), round(statistics.median(values), 4))
+
+
+def test_nan_is_the_greatest_and_infinity_has_a_place(spark):
+    nan, inf = float("nan"), float("inf")
+    df = spark.createDataFrame([(v,) for v in (1.0, 2.0, 3.0, nan, -5.0)], "v double")
+    for scale in (None, 4):
+        (row,) = rows_of(describe(df, [], {"v": "v"}, scale=scale))
+        assert (row["n"], row["median"], row["min"]) == (5, 2.0, -5.0) and math.isnan(row["mean"]) and math.isnan(row["max"])
+    df = spark.createDataFrame([(v,) for v in (inf, 1.0, inf, -inf, 7.0, inf)], "v double")
+    (row,) = rows_of(describe(df.where("v > 0"), [], {"v": "v"}))
+    assert (row["mean"], row["median"], row["min"], row["max"]) == (inf, inf, 1.0, inf)
+    (row,) = rows_of(describe(df.where("v < 5"), [], {"v": "v"}))
+    assert (row["median"], row["min"], row["max"]) == (-inf, -inf, 1.0)
+
+
+@pytest.mark.parametrize(
+    "value",
+    ["1.7e15 + id * 1000003", "1e-4 + id * 1e-9", "id * 1e-300", "if(id < 3000, 5.0 + id * 1e-12, id)", "1e18 + id * 128", "id % 3", "-1.7e15 - id"],
+)
+def test_values_in_a_narrow_band_are_split(spark, value):
+    df = spark.range(4000).select(F.lit("g").alias("g"), F.expr(f"cast({value} as double)").alias("v"))
+    values = [r["v"] for r in df.collect()]
+    digits = 12 if max(values) < 1e3 else 4
+    (row,) = rows_of(describe(df, ["g"], {"v": "v"}, digits=digits))
+    assert row["median"] == round(statistics.median(values), digits)
+    bucketed = df.withColumn("bucket", distribution._bucket(F.col("v")))
+    edges = bucketed.groupBy("bucket").agg(F.min("v").alias("low"), F.max("v").alias("high"))
+    parts = bucketed.join(edges, "bucket").groupBy("bucket", distribution._part(F.col("v"), F.col("low"), F.col("high")).alias("part"))
+    # Of different values; equal ones are one row of the histogram.
+    assert parts.agg(F.count_distinct("v").alias("n")).agg(F.max("n")).first()[0] <= 40
+
+
+def test_building_a_query_starts_no_job(spark):
+    df = spark.range(10).select((F.col("id") % 2).alias("g"), F.col("id").alias("v"))
+    tracker = spark.sparkContext.statusTracker()
+    before = len(tracker.getJobIdsForGroup(None))
+    grouping.stats_by_group(df, "g", {"v": "v"})
+    assert len(tracker.getJobIdsForGroup(None)) == before
 
 
 def test_median_of_neighbouring_buckets(spark):

@@ -57,7 +57,7 @@ def test_pages_to_nodes(spark, landed):
     assert [r[0] for r in page_source.take_nodes(nodes, 2).select("pos").collect()] == [0, 2]
     for bad in (0, 1001, False):
         with pytest.raises(ValueError):
-            page_source.take_nodes(nodes, bad)
+            page_source.take_nodes(nodes, bad, maximum=1000)
 
 
 def test_pages_as_lines(spark, tmp_path):
