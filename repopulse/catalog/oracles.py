@@ -364,6 +364,14 @@ def oracle_sql() -> dict[str, str]:
             for name, column in (("quantity", "l_quantity"), ("price", "l_extendedprice"), ("discount", "l_discount"))
         ]
     )
+    narrow = (("shipped", "CAST(epoch_us(l_shipdate) AS DOUBLE)"), ("discount", "(l_discount / 1e4)"))
+    sql["stats_narrow"] = _union(
+        [
+            f"SELECT l_returnflag, count(*) AS n, '{name}' AS metric, count({x}) AS with_value, {_median(x, 9)} AS median, "
+            f"min({x}) AS min, max({x}) AS max FROM lineitem GROUP BY l_returnflag"
+            for name, x in narrow
+        ]
+    )
     sql["stats_by_part"] = _union(
         [
             _grouped("l_partkey", column, "lineitem", scale=2, name=name)

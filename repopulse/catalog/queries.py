@@ -293,6 +293,15 @@ def stats_by_returnflag(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def stats_narrow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values in a narrow band (points in time) and far below one, with all their decimals."""
+    lines = S.table(spark, sf_dir, "lineitem")
+    shipped = F.unix_micros(F.col("l_shipdate").cast("timestamp"))
+    stats = grouping.stats_by_group(lines, "l_returnflag", {"shipped": shipped, "discount": F.col("l_discount") / 1e4}, digits=9)
+    return stats.drop("mean")
+
+
 @query
 def stats_by_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with many groups, whose number is not known: values are shuffled."""
@@ -323,8 +332,8 @@ def profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def band_age(spark: SparkSession, sf_dir: str) -> DataFrame:
-    aged = _aged(S.facts(spark, sf_dir)).withColumn("band_no", assign_band(F.col("age_years"), V.AGE_BANDS, scale=4))
-    return aged.select("repo_key", "age_years", band_label(F.col("band_no"), V.AGE_BANDS, scale=4).alias("band"))
+    aged = _aged(S.facts(spark, sf_dir)).withColumn("band_no", assign_band(F.col("age_years"), V.AGE_BANDS))
+    return aged.select("repo_key", "age_years", band_label(F.col("band_no"), V.AGE_BANDS).alias("band"))
 
 
 @query

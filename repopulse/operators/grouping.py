@@ -48,21 +48,40 @@ def banded_stats(
 
     Both columns have to be present in a row for it to count.
     """
+    pairs = {"": (banded_by, value, bands)}
+    return banded_pairs(df, pairs, digits, scale).drop("pair")
+
+
+def banded_pairs(
+    df: DataFrame,
+    pairs: Mapping[str, tuple[Column, Column, Sequence[Band]]],
+    digits: int = 4,
+    scale: int | None = None,
+) -> DataFrame:
+    """:func:`banded_stats` of several pairs in one pass: ``pair`` and its columns."""
     # Incomplete rows get no band instead of being filtered: a pushed-down filter
     # would evaluate both columns twice.
-    both = F.col("by").isNotNull() & F.col("value").isNotNull()
-    numbered = (
-        df.select(banded_by.cast("double").alias("by"), value.cast("double").alias("value"))
-        .select(F.when(both, F.col("by")).alias("by"), F.when(both, F.col("value")).alias("value"))
-        .select(assign_band(F.col("by"), bands).alias("band_no"), "value")
+    typed = df.select(
+        *[x.cast("double").alias(f"by_{i}") for i, (x, _, _) in enumerate(pairs.values())],
+        *[y.cast("double").alias(f"value_{i}") for i, (_, y, _) in enumerate(pairs.values())],
     )
-    stats = describe(numbered, ["band_no"], {"value": "value"}, digits=digits, scale=scale)
+    rows = []
+    for i, (name, (_, _, bands)) in enumerate(pairs.items()):
+        both = F.col(f"by_{i}").isNotNull() & F.col(f"value_{i}").isNotNull()
+        band = assign_band(F.when(both, F.col(f"by_{i}")), bands)
+        rows.append(F.struct(F.lit(name).alias("pair"), band.alias("band_no"), F.when(both, F.col(f"value_{i}")).alias("value")))
+    numbered = typed.select(F.inline(F.array(*rows)))
+    stats = describe(numbered, ["pair", "band_no"], {"value": "value"}, digits=digits, scale=scale)
     # Null-safe, so that no not-null filter on the band is pushed down to where
     # it would evaluate the banded column again.
-    found = stats.select(F.col("band_no").alias("found_no"), "n", "mean", "median")
-    filled = band_table(df.sparkSession, bands).join(found, F.col("band_no").eqNullSafe(F.col("found_no")), "left")
-    return filled.select(
-        "band_no", "band", F.coalesce("n", F.lit(0)).cast("long").alias("n"), "mean", "median"
+    found = stats.select(F.col("pair").alias("found_pair"), F.col("band_no").alias("found_no"), "n", "mean", "median")
+    tables = [band_table(df.sparkSession, bands).select(F.lit(name).alias("pair"), "band_no", "band") for name, (_, _, bands) in pairs.items()]
+    every = tables[0]
+    for table in tables[1:]:
+        every = every.unionByName(table)
+    same = F.col("pair").eqNullSafe(F.col("found_pair")) & F.col("band_no").eqNullSafe(F.col("found_no"))
+    return every.join(found, same, "left").select(
+        "pair", "band_no", "band", F.coalesce("n", F.lit(0)).cast("long").alias("n"), "mean", "median"
     )
 
 

@@ -356,26 +356,42 @@ def issues_requested(raw: Column) -> Column:
     return raw.isNull() | (has_key(raw, "issues") & has_key(raw, "issuesFechadas"))
 
 
+#: What summaries need of the raw node, as columns of a stored table.
+ISSUES_REQUESTED, TRUSTED = "issues_requested", {"merged_prs": "trusted_merged_prs", "releases": "trusted_releases"}
+
+
+def with_summary_columns(records: DataFrame) -> DataFrame:
+    """Add what summaries need of the raw node, so that they don't read it again."""
+    have = set(records.columns)
+    if "issues_status" in have and "raw" in have:
+        records = records.withColumn(ISSUES_REQUESTED, issues_requested(F.col("raw")))
+    if set(TRUSTED) <= have:
+        records = records.withColumns(dict(zip(TRUSTED.values(), _trusted(records), strict=True)))
+    return records
+
+
+def issues_flag(records: DataFrame) -> Column | None:
+    """Whether the issue fields were requested: a stored column, or read from the node; ``None`` without either."""
+    if ISSUES_REQUESTED in records.columns:
+        return F.col(ISSUES_REQUESTED)
+    return issues_requested(F.col("raw")) if "raw" in records.columns else None
+
+
 def trusted_counts(records: DataFrame) -> DataFrame:
     """Replace ``merged_prs`` and ``releases`` by the trusted ones.
 
     External counts, if any, are columns ``total_prs_aceitos``/``total_releases``.
     """
+    if set(TRUSTED.values()) <= set(records.columns):
+        return records.withColumns({name: F.col(stored) for name, stored in TRUSTED.items()})
+    return records.withColumns(dict(zip(TRUSTED, _trusted(records), strict=True)))
+
 
+def _trusted(records: DataFrame) -> list[Column]:
     def external(name: str) -> Column:
         return F.col(name).cast("long") if name in records.columns else F.lit(None).cast("long")
 
     raw = F.col("raw") if "raw" in records.columns else F.lit(None).cast("variant")
     none = F.lit(None).cast("long")
-    return records.withColumns(
-        {
-            "merged_prs": with_provenance(
-                raw.isNotNull(), external(V.EXTERNAL_MERGED_PRS_KEY),
-                count_at(raw, "pullRequestsAceitos"), F.col("merged_prs"), none,
-            ),
-            "releases": with_provenance(
-                raw.isNotNull(), external(V.EXTERNAL_RELEASES_KEY),
-                count_at(raw, "releases"), F.col("releases"), none,
-            ),
-        }
-    )
+    sources = (("merged_prs", V.EXTERNAL_MERGED_PRS_KEY, "pullRequestsAceitos"), ("releases", V.EXTERNAL_RELEASES_KEY, "releases"))
+    return [with_provenance(raw.isNotNull(), external(key), count_at(raw, field), F.col(name), none) for name, key, field in sources]

@@ -11,7 +11,7 @@ from repopulse import vocabulary as V
 from repopulse.functions.rounding import half_even
 from repopulse.functions.text import fold
 from repopulse.operators.distribution import describe
-from repopulse.operators.metrics import issues_requested
+from repopulse.operators.metrics import issues_flag
 
 #: Rounding of each metric's summary; values carry at most as many decimals.
 SUMMARY_DIGITS = {
@@ -49,8 +49,9 @@ def metric_summary(records: DataFrame) -> DataFrame:
     """Summary of every metric present, each with its own rounding."""
     present = [m for m in SUMMARY_DIGITS if m in records.columns]
     source = records
-    if "closed_ratio" in present and "raw" in records.columns:
-        source = records.withColumn("closed_ratio", F.when(issues_requested(F.col("raw")), F.col("closed_ratio")))
+    requested = issues_flag(records)
+    if "closed_ratio" in present and requested is not None:
+        source = records.withColumn("closed_ratio", F.when(requested, F.col("closed_ratio")))
     return summarise(source, {m: m for m in present}, digits={m: SUMMARY_DIGITS[m] for m in present}, scale=4)
 
 

@@ -11,15 +11,16 @@ from pyspark.sql import functions as F
 
 from repopulse import vocabulary as V
 from repopulse.functions.bands import Band
-from repopulse.operators.correlation import correlate
-from repopulse.operators.grouping import GROUPED_METRICS, banded_stats, stats_by_group
+from repopulse.operators.correlation import correlate_pairs
+from repopulse.operators.grouping import GROUPED_METRICS, banded_pairs, stats_by_group
 from repopulse.operators.metrics import (
     METRICS,
     group_key,
     instant_literal,
-    issues_requested,
+    issues_flag,
     profile,
     trusted_counts,
+    with_summary_columns,
 )
 from repopulse.operators.summary import (
     category_histogram,
@@ -74,8 +75,9 @@ def summarise_records(records: DataFrame) -> Collection:
     """All summaries the columns of ``records`` allow."""
     have = set(records.columns)
     statuses = {name: F.col(column) for name, column in STATUSES.items() if column in have}
-    if "issues_status" in have and "raw" in have:
-        statuses["issues"] = reclassified_status(issues_requested(F.col("raw")), F.col("issues_status"))
+    requested = issues_flag(records)
+    if "issues_status" in have and requested is not None:
+        statuses["issues"] = reclassified_status(requested, F.col("issues_status"))
 
     languages = share = groups = None
     if "language_category" in have:
@@ -89,14 +91,10 @@ def summarise_records(records: DataFrame) -> Collection:
                 keyed, "language_group", {m: m for m in GROUPED_METRICS}, scale=4
             )
 
-    correlations = bands = None
-    for name, (x, y, limits, banded_by, described) in CORRELATIONS.items():
-        if not {x, y} <= have:
-            continue
-        one = correlate(records, x, y).select(F.lit(name).alias("pair"), "*")
-        many = banded_stats(records, F.col(banded_by), F.col(described), limits, scale=4).select(F.lit(name).alias("pair"), "*")
-        correlations = one if correlations is None else correlations.unionByName(one)
-        bands = many if bands is None else bands.unionByName(many)
+    pairs = {name: spec for name, spec in CORRELATIONS.items() if set(spec[:2]) <= have}
+    correlations = correlate_pairs(records, {name: spec[:2] for name, spec in pairs.items()}) if pairs else None
+    banded = {name: (F.col(by), F.col(described), limits) for name, (_, _, limits, by, described) in pairs.items()}
+    bands = banded_pairs(records, banded, scale=4) if pairs else None
     return Collection(
         records, metric_summary(records), status_counts(records, statuses), languages, share, groups,
         correlations, bands,
@@ -110,19 +108,25 @@ def collect(
     ranking: DataFrame | None = None,
     ranking_source: str = f"{V.RANKING_SOURCE} {V.RANKING_EDITION}",
     output: str | None = None,
+    criterion: str = "all landed nodes",
+    requested: int | None = None,
+    available: int | None = None,
 ) -> Collection:
     """Profile the nodes and summarise them.
 
     With ``output`` the records are written first and every summary reads the
-    written table: the nodes are parsed once, only the needed columns are read
-    again, and losing an executor never repeats the parsing.
+    written table: the nodes are parsed once, and what summaries need of a node is
+    stored beside it, so none of them reads the nodes again; losing an executor never
+    repeats the parsing. ``run_metadata`` is written with them: the ``criterion`` of
+    the run, how many records were ``requested`` (default: all) and ``available``.
     """
     records = profile(nodes, reference_at, metrics, ranking, ranking_source)
     if output is None:
         return summarise_records(records)
-    write_tables({"repositories": records}, output)
+    write_tables({"repositories": with_summary_columns(records)}, output)
     stored = summarise_records(nodes.sparkSession.read.parquet(f"{output.rstrip('/')}/repositories"))
-    write_tables(stored.tables(), output)
+    about = run_metadata(stored.records, reference_at, criterion, requested, available, metrics)
+    write_tables(stored.tables() | {"run_metadata": about.withColumn("ranking_source", F.lit(ranking_source))}, output)
     return stored
 
 
@@ -130,7 +134,7 @@ def run_metadata(
     records: DataFrame,
     reference_at: datetime,
     criterion: str,
-    requested: int,
+    requested: int | None,
     total_available: int | None = None,
     metrics: Sequence[str] = tuple(METRICS),
 ) -> DataFrame:
@@ -155,6 +159,6 @@ def run_metadata(
         F.lit(requested).cast("long").alias("requested"),
         "returned",
         F.lit(total_available).cast("long").alias("total_available"),
-        (F.col("returned") >= requested).alias("complete"),
+        (F.col("returned") >= (F.col("returned") if requested is None else F.lit(requested))).alias("complete"),
         definitions.alias("definitions"),
     )

@@ -5,9 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from repopulse.operators.reconcile import divergence_counts, match_counts, reconcile, reconcile_summary
 from repopulse.plans.collect import Collection, summarise_records
+from repopulse.sinks.tables import write_tables
 
 
 @dataclass(frozen=True)
@@ -21,19 +23,32 @@ class Unified:
     collection: Collection
 
 
-def unify(a: DataFrame, b: DataFrame, counts_from: str = "a") -> Unified:
+def unify(
+    a: DataFrame, b: DataFrame, counts_from: str = "a", output: str | None = None, criteria: tuple[str, str] = ("collection a", "collection b")
+) -> Unified:
     """Reconcile ``a`` (profiled records) with ``b`` (independent counts).
 
     The grouped and correlated summaries follow ``counts_from``: ``a`` keeps
     those of collection A, ``reconciled`` computes them on the merged table.
+
+    With ``output`` the merged table is written once, and its counts and summaries are
+    computed from it and written beside it, with the criteria of both searches.
     """
     if counts_from not in ("a", "reconciled"):
         raise ValueError("counts_from has to be 'a' or 'reconciled'")
     merged = reconcile(a, b)
-    return Unified(
+    if output is not None:
+        write_tables({"reconciled": merged}, output)
+        merged = a.sparkSession.read.parquet(f"{output.rstrip('/')}/reconciled")
+    unified = Unified(
         merged,
         match_counts(merged),
         divergence_counts(merged),
         reconcile_summary(merged),
         summarise_records(a if counts_from == "a" else merged),
     )
+    if output is not None:
+        about = unified.match_counts.withColumns({"criterion_a": F.lit(criteria[0]), "criterion_b": F.lit(criteria[1]), "counts_from": F.lit(counts_from)})
+        tables = {"match_counts": unified.match_counts, "divergences": unified.divergences, "reconcile_summary": unified.summary, "run_metadata": about}
+        write_tables(tables | unified.collection.tables(), output)
+    return unified
