@@ -43,7 +43,7 @@ class Terms:
         known = self._known
         if len(known) > _KEPT:
             known.clear()
-        for w in words - known.keys():
+        for w in [w for w in words if w not in known]:
             bins = _bins(w)
             known[w] = bins if self._only is None else tuple(self._only[b] for b in bins if b in self._only)
         return set(chain.from_iterable(map(known.__getitem__, words)))
