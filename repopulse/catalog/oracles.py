@@ -66,6 +66,7 @@ def _corr(x: str, y: str) -> str:
     )
 
 
+# The limits and labels of a coefficient's reading.
 def _strength(r: str) -> str:
     return (
         f"CASE WHEN {r} IS NULL THEN 'indeterminada (pares insuficientes ou sem variancia)' "

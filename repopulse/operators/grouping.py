@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from repopulse.functions.bands import Band, assign_band, band_table
@@ -36,6 +36,14 @@ def in_report_order(stats: DataFrame, group: str) -> DataFrame:
     return stats.orderBy(F.desc("n"), fold(F.col(group)), group, "metric")
 
 
+def with_report_rank(stats: DataFrame, group: str) -> DataFrame:
+    """The report's order as a column ``report_rank``, so that it survives storage.
+
+    The window is over one row for each group and metric."""
+    order = Window.orderBy(F.desc("n"), fold(F.col(group)), group)
+    return stats.withColumn("report_rank", F.dense_rank().over(order))
+
+
 def banded_stats(
     df: DataFrame,
     banded_by: Column,

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from repopulse import vocabulary as V
 from repopulse.functions.bands import Band
 from repopulse.operators.correlation import correlate_pairs
-from repopulse.operators.grouping import GROUPED_METRICS, banded_pairs, stats_by_group
+from repopulse.operators.grouping import GROUPED_METRICS, banded_pairs, stats_by_group, with_report_rank
 from repopulse.operators.metrics import (
     METRICS,
     group_key,
@@ -87,9 +87,8 @@ def summarise_records(records: DataFrame) -> Collection:
         if set(GROUPED_METRICS) <= have:
             language = F.col("language") if "language" in have else F.lit(None).cast("string")
             keyed = trusted_counts(records).withColumn("language_group", group_key(F.col("language_category"), language))
-            groups = stats_by_group(
-                keyed, "language_group", {m: m for m in GROUPED_METRICS}, scale=4
-            )
+            groups = stats_by_group(keyed, "language_group", {m: m for m in GROUPED_METRICS}, scale=4)
+            groups = with_report_rank(groups, "language_group")
 
     pairs = {name: spec for name, spec in CORRELATIONS.items() if set(spec[:2]) <= have}
     correlations = correlate_pairs(records, {name: spec[:2] for name, spec in pairs.items()}) if pairs else None

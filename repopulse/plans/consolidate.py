@@ -22,6 +22,14 @@ def consolidate(spark: SparkSession, document_path: str, output: str | None = No
     return table
 
 
+def document_report(spark: SparkSession, document_path: str, expected: int = V.MAX_RESULTS) -> dict[str, DataFrame]:
+    """:func:`validation_report` of a result document: languages of equal size keep
+    the order in which the document first names them."""
+    table = consolidated_from_document(document_records(read_document(spark, document_path)), keep_position=True)
+    as_text = table.select(*[F.col(c).cast("string").alias(c) for c in V.CONSOLIDATED_HEADERS.values()], "pos")
+    return validation_report(as_text, "pos", expected)
+
+
 def validation_report(consolidated: DataFrame, position: str | None = None, expected: int = V.MAX_RESULTS) -> dict[str, DataFrame]:
     """Row count, ratio distribution, language counts and the largest groups.
 

@@ -70,8 +70,10 @@ def records_from_document(records: DataFrame) -> DataFrame:
     )
 
 
-def consolidated_from_document(records: DataFrame) -> DataFrame:
-    """The consolidated table: an absent count is 0, one stored as null stays null."""
+def consolidated_from_document(records: DataFrame, keep_position: bool = False) -> DataFrame:
+    """The consolidated table: an absent count is 0, one stored as null stays null.
+
+    ``keep_position`` adds ``pos``, the record's place in the document."""
     record = F.col("record")
 
     def count(column: str) -> Column:
@@ -90,5 +92,6 @@ def consolidated_from_document(records: DataFrame) -> DataFrame:
             number_at(record, V.DOCUMENT_KEYS["stale_days"]),
             string_at(record, V.DOCUMENT_KEYS["language"]),
             number_at(record, V.DOCUMENT_KEYS["closed_ratio"]),
-        )
+        ),
+        *(["pos"] if keep_position else []),
     )

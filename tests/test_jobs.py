@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from repopulse import vocabulary as V
 from repopulse.operators import metrics as M
 from repopulse.operators import quality
-from repopulse.plans import collect, consolidate, run_metadata, unify, validation_report
+from repopulse.plans import collect, consolidate, document_report, run_metadata, unify, validation_report
 from repopulse.sinks import tables as sinks
 from repopulse.sources import documents as docs
 from repopulse.sources import pages as page_source
@@ -208,6 +208,8 @@ def test_consolidate_and_validate(spark, document, tmp_path):
     ratio = report["ratio"].first()
     assert (ratio["valid"], ratio["missing"], ratio["min"], ratio["max"]) == (2, 2, 0.0001, 1.0)
     assert tuple(report["languages"].first()) == (2, 1)
+    direct = document_report(spark, document, expected=4)
+    assert [tuple(r)[:4] for r in direct["top_languages"].collect()] == [tuple(r)[:4] for r in report["top_languages"].collect()]
     # a/1 has no release count, so only a/3 is complete.
     assert [tuple(r)[:4] for r in report["top_languages"].collect()] == [("Go", 1, 3.0, 3.0)]
     assert sinks.write_consolidated(table.limit(0), str(tmp_path / "none")) is False
@@ -264,3 +266,30 @@ def test_landing_stream_takes_each_page_once(spark, landed, tmp_path):
     stored = spark.read.parquet(nodes)
     assert stored.count() == 4
     assert M.profile(stored, REF, ["issues"]).where("closed_ratio = 0.75").count() == 3
+
+
+def test_no_summary_of_a_stored_run_reads_a_node(spark, landed, tmp_path):
+    out = str(tmp_path / "run")
+    nodes = page_source.explode_nodes(page_source.read_pages(spark, str(landed)))
+    plain, stored = collect(nodes, REF), collect(nodes, REF, output=out, criterion="stars", requested=5, available=77)
+    for name, table in stored.tables().items():
+        plan = table._jdf.queryExecution().executedPlan().toString()
+        assert "raw#" not in plan, name
+        assert sorted(map(str, table.collect())) == sorted(map(str, plain.tables()[name].collect())), name
+    about = spark.read.parquet(f"{out}/run_metadata").first()
+    assert (about.criterion, about.requested, about.returned, about.total_available, about.complete) == ("stars", 5, 3, 77, False)
+
+
+def test_a_stored_union_has_its_counts(spark, landed, tmp_path):
+    nodes = page_source.explode_nodes(page_source.read_pages(spark, str(landed)))
+    a = M.profile(nodes.withColumn("pos", F.col("pos").cast("long")), REF)
+    rows = [("a/1", 0, 90, 2422, 6.63, 11, 2), ("b/9", 1, 50, 10, 0.03, 1, None)]
+    b = spark.createDataFrame(
+        rows, "repo_key string, pos long, stars long, age_whole_days long, age_years double, merged_prs long, releases long"
+    )
+    out = str(tmp_path / "union")
+    merged = unify(a, b, counts_from="reconciled", output=out, criteria=("stars of a", "stars of b"))
+    assert merged.match_counts.first().asDict() == {"n_a": 3, "n_b": 2, "n_both": 1, "n_union": 4}
+    assert spark.read.parquet(f"{out}/reconciled").count() == 4
+    about = spark.read.parquet(f"{out}/run_metadata").first()
+    assert (about.criterion_a, about.counts_from, about.n_union) == ("stars of a", "reconciled", 4)
