@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from repopulse.llm.terms import Terms, fitting_rows, padded, telling_bins
 
-#: Documents the model is fitted on at most (those of smallest text hash); terms at most. Term statistics use all rated rows.
+#: Rated documents the model is fitted on at most (those of smallest text hash), and terms at most.
 FIT_ROWS, FIT_TERMS = 20_000, 512
 _EPOCHS, _BATCH, _RATE, _DECAY = 15, 256, 0.1, 1e-5
 

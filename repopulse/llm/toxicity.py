@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from repopulse.llm.storage import checked, store
 from repopulse.llm.terms import Terms, fitting_rows, padded, telling_bins
 
-#: Documents the machine is fitted on at most (those of smallest text hash); terms at most. Term statistics use all labelled rows.
+#: Labelled documents that are learnt from at most (those of smallest id hash), and terms at most.
 FIT_ROWS, FIT_TERMS = 20_000, 512
 _FACTORS, _EPOCHS, _BATCH, _RATE, _DECAY = 8, 15, 256, 0.1, 1e-5
 
@@ -99,19 +99,26 @@ def score_documents(docs: DataFrame, machine: FactorizationMachine, text_col: st
     return kept.mapInArrow(lambda b: _scored(b, machine, at), schema).withColumnRenamed("score", score_col)
 
 
-def learning_rows(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """Labelled documents outside the held-out third (``held_out``), read once and stored.
+def learning_rows(
+    docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = FIT_ROWS
+) -> DataFrame:
+    """Texts and labels of at most ``most`` labelled ids outside the held-out third
+    (``held_out``), read once and stored; the ids are those of smallest hash.
 
     Of several labels for one id the largest counts; null ids and labels are left out.
+    The ids are chosen before any text is read; they are broadcast, 16 bytes each, so
+    texts are never shuffled.
     """
     known = (
         checked(labels, id_col, label_col)
         .where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(F.col(id_col)))
         .groupBy(F.col(id_col).alias("id"))
         .agg(F.max(label_col).alias("label"))
+        .orderBy(F.xxhash64("id"), "id")
+        .limit(most)
     )
-    texts = checked(docs, id_col, text_col).where(~held_out(F.col(id_col)))
-    rows = texts.join(known, texts[id_col] == known["id"]).select(F.col(text_col).alias("text"), F.col("label").alias(label_col))
+    texts = checked(docs, id_col, text_col)
+    rows = texts.join(F.broadcast(known), texts[id_col] == known["id"]).select(F.col(text_col).alias("text"), F.col("label").alias(label_col))
     return store(rows, "learning")
 
 
