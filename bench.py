@@ -22,6 +22,12 @@ from repopulse.session import build_session  # noqa: E402
 HEADLINE = (
     "stats_by_language",
     "stats_by_returnflag",
+    "stats_narrow",
+    "stats_by_part",
+    "ratio_quality",
+    "dq_conservation",
+    "collection_bands",
+    "run_counts",
     "metric_summary",
     "summary_age",
     "summary_ratio",
