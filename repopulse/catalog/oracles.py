@@ -448,6 +448,10 @@ def oracle_sql() -> dict[str, str]:
 
     # ordering
     sql["top_k"] = _with_subject("SELECT repo_key, stars FROM facts ORDER BY stars DESC, repo_key LIMIT 100")
+    sql["metric_table_csv"] = (
+        "SELECT CAST(o_orderkey AS INTEGER) AS rank, 'o, \"' || o_orderpriority || '\"/' || o_custkey AS repository, "
+        "CAST(floor(o_totalprice) AS BIGINT) AS stars, CASE WHEN o_orderstatus <> 'P' THEN o_custkey END AS total_releases FROM orders"
+    )
     sql["top_k_ranked"] = (
         "SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS rank "
         "FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 1000"

@@ -15,10 +15,11 @@ from repopulse.functions.presence import count_at, has_key, integer_at, text_at
 from repopulse.functions.text import fold
 from repopulse.operators import correlation, grouping, metrics, quality, ranking, reconcile, summary
 from repopulse.plans.collect import CORRELATIONS, STATUSES, run_metadata, summarise_records
-from repopulse.sinks.tables import consolidated, with_week
+from repopulse.schemas import RELEASES_TABLE
+from repopulse.sinks.tables import consolidated, metric_table, with_week
 from repopulse.sources import documents as docs
 from repopulse.sources import pages as page_source
-from repopulse.sources.tables import quality_columns
+from repopulse.sources.tables import parse_metric_lines, quality_columns
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -400,6 +401,19 @@ def top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.top_k(S.facts(spark, sf_dir), 100).select("repo_key", "stars")
 
 
+@query
+def metric_table_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order as a line of a metric table, and the lines read back as declared."""
+    orders = S.table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").cast("int").alias("rank"),
+        F.concat(F.lit('o, "'), "o_orderpriority", F.lit('"/'), F.col("o_custkey").cast("string")).alias("repo_key"),
+        F.floor("o_totalprice").cast("long").alias("stars"),
+        F.when(F.col("o_orderstatus") != "P", F.col("o_custkey")).alias("releases"),
+    )
+    table = metric_table(orders, {"releases": "total_releases"})
+    return parse_metric_lines(table.select(F.to_csv(F.struct("*")).alias("line")), "line", RELEASES_TABLE)
+
+
 @query
 def top_k_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = S.table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")

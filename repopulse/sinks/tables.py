@@ -150,12 +150,12 @@ def write_consolidated(table: DataFrame, path: str) -> bool:
     return True
 
 
-def write_metric_table(ranked: DataFrame, columns: Mapping[str, str], path: str) -> None:
+def metric_table(ranked: DataFrame, columns: Mapping[str, str]) -> DataFrame:
     """``rank, repository, stars`` and the metric columns, renamed for the table."""
-    write_csv(
-        ranked.select(
-            "rank", F.col("repo_key").alias("repository"), "stars",
-            *[F.col(source).alias(name) for source, name in columns.items()],
-        ),
-        path,
-    )
+    named = [F.col(source).alias(name) for source, name in columns.items()]
+    return ranked.select("rank", F.col("repo_key").alias("repository"), "stars", *named)
+
+
+def write_metric_table(ranked: DataFrame, columns: Mapping[str, str], path: str) -> None:
+    """:func:`metric_table` as CSV."""
+    write_csv(metric_table(ranked, columns), path)

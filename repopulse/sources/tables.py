@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from repopulse import vocabulary as V
 from repopulse.schemas import AGE_TABLE, MERGED_PRS_TABLE, RELEASES_TABLE
@@ -21,6 +22,11 @@ def read_releases_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RELEASES_TABLE).csv(path, header=True)
 
 
+def parse_metric_lines(lines: DataFrame, line: str, schema: StructType) -> DataFrame:
+    """Lines of a metric table, landed as text, with the table's declared columns."""
+    return lines.select(F.from_csv(line, schema.simpleString()[len("struct<") : -1].replace(":", " ")).alias("row")).select("row.*")
+
+
 def read_consolidated(spark: SparkSession, path: str) -> DataFrame:
     """The consolidated table as text, sentinels included."""
     schema = ", ".join(f"{name} STRING" for name in V.CONSOLIDATED_HEADERS.values())
