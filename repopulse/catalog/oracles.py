@@ -539,7 +539,7 @@ def oracle_sql() -> dict[str, str]:
     )
     sql["run_provenance"] = (
         f"SELECT {_REFERENCE_MICROS} AS collected_micros, 'all orders' AS criterion, CAST(1000 AS BIGINT) AS requested, "
-        "count(*) AS returned, count(*) >= 1000 AS complete, CAST(2 AS BIGINT) AS n_definitions FROM orders"
+        "count(*) AS returned, count(*) >= 1000 AS complete, CAST(3 AS BIGINT) AS n_definitions FROM orders"
     )
 
     # data quality

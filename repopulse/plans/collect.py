@@ -45,6 +45,25 @@ CORRELATIONS: dict[str, tuple[str, str, tuple[Band, ...], str, str]] = {
 }
 
 
+#: Summaries over several metrics: needed metrics, question, formula, what is left out.
+SUMMARY_DEFINITIONS: dict[str, tuple[tuple[str, ...], str, str, str]] = {
+    "group_summary": (
+        ("language", "merged_prs", "releases", "staleness"),
+        "Do systems in more popular languages receive more contributions, releases and updates?",
+        "count, mean, median, minimum and maximum per language; largest group first",
+        "nulls are left out of a metric; no language is a group of its own",
+    ),
+    "age_closed_ratio": (
+        ("age", "issues"), "Do older systems close a larger share of issues?",
+        "Pearson coefficient over complete pairs, 4 decimals; share by age band", "pairs with a null are dropped and counted",
+    ),
+    "prs_releases": (
+        ("merged_prs", "releases"), "Do systems with more contributions release more often?",
+        "Pearson coefficient over complete pairs, 4 decimals; contributions by release band", "pairs with a null are dropped and counted",
+    ),
+}
+
+
 @dataclass(frozen=True)
 class Collection:
     """Records and their summaries, all lazy. Missing parts are ``None``."""
@@ -138,17 +157,20 @@ def run_metadata(
     metrics: Sequence[str] = tuple(METRICS),
 ) -> DataFrame:
     """One row of provenance: when, what, how many, and what each metric means."""
+    meanings = [(name, m.question, m.fields, m.formula, m.missing) for name, m in METRICS.items() if name in metrics]
+    for name, (needed, question, formula, missing) in SUMMARY_DEFINITIONS.items():
+        if set(needed) <= set(metrics):
+            meanings.append((name, question, tuple(f for n in needed for f in METRICS[n].fields), formula, missing))
     definitions = F.array(
         *[
             F.struct(
                 F.lit(name).alias("metric"),
-                F.lit(m.question).alias("question"),
-                F.array(*[F.lit(f) for f in m.fields]).alias("fields"),
-                F.lit(m.formula).alias("formula"),
-                F.lit(m.missing).alias("missing"),
+                F.lit(question).alias("question"),
+                F.array(*[F.lit(f) for f in fields]).alias("fields"),
+                F.lit(formula).alias("formula"),
+                F.lit(missing).alias("missing"),
             )
-            for name, m in METRICS.items()
-            if name in metrics
+            for name, question, fields, formula, missing in meanings
         ]
     )
     return records.agg(F.count(F.lit(1)).alias("returned")).select(

@@ -277,6 +277,7 @@ def test_no_summary_of_a_stored_run_reads_a_node(spark, landed, tmp_path):
         assert "raw#" not in plan, name
         assert sorted(map(str, table.collect())) == sorted(map(str, plain.tables()[name].collect())), name
     about = spark.read.parquet(f"{out}/run_metadata").first()
+    assert {"group_summary", "age_closed_ratio", "prs_releases"} <= {d.metric for d in about.definitions}
     assert (about.criterion, about.requested, about.returned, about.total_available, about.complete) == ("stars", 5, 3, 77, False)
 
 
