@@ -24,7 +24,7 @@ _CUT = re.compile(rf"(?<=[{_SOLID}]) (?=[{_SOLID}])")
 #: A word and the signs behind it are tokens of their own, as long as there is no apostrophe.
 _SIGNED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]+)")
 #: Longer parts are not kept; how many parts are kept, and how many bytes of text are worked on at once.
-_LONGEST, _KEPT, _AT_ONCE = 48, 700_000, 8_000_000
+_LONGEST, _KEPT, _AT_ONCE = 48, 200_000, 2_000_000
 
 
 class Subwords:

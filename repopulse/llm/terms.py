@@ -21,7 +21,7 @@ from repopulse.llm.storage import store
 
 BINS = 1 << 18
 _TERM = re.compile(r"\w+|[^\w\s]+")
-_KEPT = 300_000
+_KEPT = 150_000
 
 
 def _bins(word: str) -> tuple[int, ...]:
