@@ -1,9 +1,11 @@
-"""Near-duplicate vectors by a pivot-permutation index.
-
-A vector is described by the pivots (reference vectors) nearest to it, in order.
-Vectors are filed in the inverted list of each of their pivots; two vectors that
-share enough pivots are candidates, and their cosine is then computed in double
-precision. A pair is looked at in one list only: that of the first pivot it shares.
+"""Near-duplicate vectors by an exact pivot-permutation index.
+
+A vector is described by the pivots (reference vectors) nearest to it, in order, and
+vectors are filed by that order, so those of a region lie in the same blocks. A block
+keeps the least and the largest angle of its members to each pivot. By the triangle
+inequality two members are at least as far apart as their angles to a pivot differ:
+two blocks are left out only if one pivot proves all of their pairs too far apart.
+The cosines of all other pairs are computed in double precision.
 """
 
 from __future__ import annotations
@@ -18,9 +20,11 @@ from pyspark.sql import functions as F
 from repopulse.llm.components import connected_components
 from repopulse.llm.storage import checked, store
 
-#: Pivots: about twice the root of the number of vectors, within these bounds; each vector's nearest; shared ones that make a candidate.
-LEAST_PIVOTS, MOST_PIVOTS, NEAREST, SHARED = 64, 2048, 12, 2
-_BLOCK = 1024
+#: Vectors that pivots are chosen from: about twice the root of their number, within these bounds; each vector's nearest pivots.
+LEAST_PIVOTS, MOST_PIVOTS, NEAREST = 64, 2048, 12
+_BLOCK, _BLOCK_BYTES, _SHARE, _MOST_SHARES = 1024, 1 << 19, 16, 64
+#: Radians that angles may be wrong by, as they are kept in single precision.
+_SLACK = 1e-4
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
@@ -29,8 +33,27 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.sqrt((vectors**2).sum(axis=1, keepdims=True))
 
 
+def far_apart(sample: np.ndarray, angle: float) -> np.ndarray:
+    """Those of ``sample`` (unit vectors, the first always) that are farther than
+    ``angle`` from all chosen before: a dense group has few pivots, however many
+    vectors it has."""
+    chosen, open_ = [], np.ones(len(sample), bool)
+    while open_.any():
+        i = int(np.argmax(open_))
+        chosen.append(i)
+        open_ &= sample @ sample[i] < np.cos(min(angle, np.pi))
+        open_[i] = False
+    return sample[chosen]
+
+
+def _cosines(unit: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """With zeros for the dimensions that the shorter of both has not."""
+    width = min(unit.shape[1], pivots.shape[1])
+    return unit[:, :width] @ pivots[:, :width].T
+
+
 def _described(batches: Iterator[pa.RecordBatch], pivots: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """A row for each vector and pivot of its description."""
+    """Each vector with its nearest pivots; their bytes are in the order of their numbers."""
     for batch in batches:
         ids, n, label = (np.asarray(batch.column(i)) for i in range(3))
         groups: dict[int, list[int]] = {}
@@ -39,41 +62,14 @@ def _described(batches: Iterator[pa.RecordBatch], pivots: np.ndarray) -> Iterato
             groups.setdefault(len(x), []).append(i)
         for dims, own in groups.items():
             unit = _unit(np.array([values[i] for i in own], float))
-            # Vectors of another number of dimensions than the pivots are described by their own leading part.
-            width = min(dims, pivots.shape[1])
-            k = min(NEAREST, len(pivots))
-            near = np.argsort(-(unit[:, :width] @ pivots[:, :width].T), axis=1, kind="stable")[:, :k].astype("<i4")
-            at = np.repeat(np.array(own), k)
-            data = [x.tobytes() for x in unit]
-            order = [x.tobytes() for x in near]
+            near = np.argsort(-_cosines(unit, pivots), axis=1, kind="stable")[:, :NEAREST].astype(">u2")
             yield pa.RecordBatch.from_arrays(
-                [pa.array(label[at]), pa.array(np.full(len(at), dims, np.int32)), pa.array(near.ravel().astype(np.int32)), pa.array(ids[at]), pa.array(n[at]),
-                 pa.array([order[i] for i in range(len(own)) for _ in range(k)], pa.binary()), pa.array([data[i] for i in range(len(own)) for _ in range(k)], pa.binary())],
-                ["label", "dims", "pivot", "id", "n", "near", "unit"],
+                [pa.array(label[own]), pa.array(np.full(len(own), dims, np.int32)), pa.array([x.tobytes() for x in near], pa.binary()),
+                 pa.array(ids[own]), pa.array(n[own]), pa.array([x.tobytes() for x in unit], pa.binary())],
+                ["label", "dims", "near", "id", "n", "unit"],
             )
 
 
-class _Members:
-    """Part of a pivot's list."""
-
-    def __init__(self, ids: np.ndarray, n: np.ndarray, near: np.ndarray, unit: np.ndarray) -> None:
-        self.ids, self.n, self.near, self.unit = ids, n, near, unit
-
-    def _one_hot(self, below: int) -> tuple[np.ndarray, np.ndarray]:
-        hot = np.zeros((len(self.ids), int(self.near.max(initial=0)) + 1), np.float32)
-        np.put_along_axis(hot, self.near.astype(np.int64), 1, axis=1)
-        return hot, hot[:, :below]
-
-    def linked(self, other: _Members, pivot: int, least: float) -> np.ndarray:
-        """Which pairs share enough pivots, ``pivot`` first of all, and are near enough."""
-        hot, low = self._one_hot(pivot)
-        hot_o, low_o = other._one_hot(pivot)
-        width = min(hot.shape[1], hot_o.shape[1])
-        shared = hot[:, :width] @ hot_o[:, :width].T
-        before = low[:, :width] @ low_o[:, :width].T if pivot else np.zeros_like(shared)
-        return (shared >= min(SHARED, self.near.shape[1])) & (before < 0.5) & (self.unit @ other.unit.T >= least)
-
-
 def _spanning(near: np.ndarray, ids: np.ndarray) -> tuple[list[int], list[int]]:
     """For each member its component's first one, if that is another."""
     first = np.arange(len(ids))
@@ -87,73 +83,56 @@ def _spanning(near: np.ndarray, ids: np.ndarray) -> tuple[list[int], list[int]]:
     return ids[own].tolist(), ids[first[own]].tolist()
 
 
-_OUT = "id long, links long, a long, b long, label int, dims int, pivot int, no long, ids binary, n binary, near binary, unit binary"
+_BLOCKS = "label int, dims int, no long, ids binary, n binary, unit binary, low array<float>, high array<float>"
+_OUT = "id long, links long, a long, b long"
 
 
-def _rows(ids=(), links=(), a=(), b=(), blocks=()) -> pa.RecordBatch:
-    k, e, m = len(ids), len(a), len(blocks)
-    none = lambda i: [None] * i
-    parts = list(zip(*blocks, strict=True)) if blocks else [()] * 8
-    columns = [[*ids, *none(e + m)], [*links, *none(e + m)], [*none(k), *a, *none(m)], [*none(k), *b, *none(m)]] + [[*none(k + e), *x] for x in parts]
-    kinds = [pa.int64()] * 4 + [pa.int32()] * 3 + [pa.int64()] + [pa.binary()] * 4
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [x.split()[0] for x in _OUT.split(", ")])
+def _blocks(batches: Iterator[pa.RecordBatch], pivots: np.ndarray, most: int) -> Iterator[pa.RecordBatch]:
+    """Sorted descriptions cut into blocks of one label and number of dimensions; a
+    block's number is its first id."""
+    key, held = None, []
 
-
-def _within(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    """Sorted list entries: links inside blocks, and blocks of lists that may have more."""
-    key, held, number, first = None, [], 0, True
-
-    def close(more: bool) -> pa.RecordBatch:
-        nonlocal first, number
-        ids, n = np.array([x[0] for x in held], np.int64), np.array([x[1] for x in held], np.int64)
-        near = np.frombuffer(b"".join(x[2] for x in held), "<i4").reshape(len(held), -1)
-        unit = np.frombuffer(b"".join(x[3] for x in held), float).reshape(len(held), -1)
-        own = _Members(ids, n, near, unit)
-        linked = own.linked(own, key[2], least)
-        np.fill_diagonal(linked, False)
-        links = linked @ n
-        a, b = _spanning(linked, ids)
-        some = links > 0
-        blocks = []
-        if more or first or number:
-            blocks = [(*key, int(ids[0]), ids.tobytes(), n.tobytes(), near.tobytes(), unit.tobytes())]
-        first, number = False, number + 1
-        return _rows(ids[some].tolist(), links[some].tolist(), a, b, blocks)
+    def close() -> pa.RecordBatch:
+        unit = np.frombuffer(b"".join(x[2] for x in held), float).reshape(len(held), -1)
+        angles = np.arccos(np.clip(_cosines(unit, pivots), -1, 1)).astype(np.float32)
+        row = (*key, held[0][0], *(np.array([x[i] for x in held], np.int64).tobytes() for i in (0, 1)), unit.tobytes(), angles.min(0), angles.max(0))
+        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.float32()), pa.list_(pa.float32())]
+        return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], [x.split()[0] for x in _BLOCKS.split(", ")])
 
     for batch in batches:
-        columns = [batch.column(c).to_pylist() for c in range(7)]
-        for label, dims, pivot, *entry in zip(*columns, strict=True):
-            if (label, dims, pivot) != key:
+        columns = [batch.column(c).to_pylist() for c in ("label", "dims", "id", "n", "unit")]
+        for label, dims, *entry in zip(*columns, strict=True):
+            if (label, dims) != key or len(held) == min(most, max(1, _BLOCK_BYTES // (8 * dims))):
                 if held:
-                    yield close(False)
-                key, held, number = (label, dims, pivot), [], 0
-            elif len(held) == _BLOCK:
-                yield close(True)
-                held = []
+                    yield close()
+                key, held = (label, dims), []
             held.append(entry)
     if held:
-        yield close(True)
+        yield close()
 
 
 def _across(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    """Links between two blocks of a list."""
+    """Links between two blocks, or inside one: a count for each vector, and a spanning set."""
+    kinds = [pa.int64()] * 4
     for batch in batches:
         for row in batch.to_pylist():
-            x, y = (
-                _Members(
-                    np.frombuffer(row[f"ids_{s}"], np.int64), np.frombuffer(row[f"n_{s}"], np.int64),
-                    *(np.frombuffer(row[f"{c}_{s}"], t).reshape(len(row[f"ids_{s}"]) // 8, -1) for c, t in (("near", "<i4"), ("unit", float))),
-                )
-                for s in "xy"
-            )
-            linked = x.linked(y, row["pivot"], least)
-            links = np.concatenate([linked @ y.n, linked.T @ x.n])
-            ids = np.concatenate([x.ids, y.ids])
-            whole = np.zeros((len(ids), len(ids)), bool)
-            whole[: len(x.ids), len(x.ids) :] = linked
-            a, b = _spanning(whole | whole.T, ids)
+            ids_x, n_x, ids_y, n_y = (np.frombuffer(row[c], np.int64) for c in ("ids_x", "n_x", "ids_y", "n_y"))
+            x, y = (np.frombuffer(row[f"unit_{s}"], float).reshape(-1, row["dims"]) for s in "xy")
+            linked = x @ y.T >= least
+            if row["no_x"] == row["no_y"]:
+                np.fill_diagonal(linked, False)
+                ids, links, whole = ids_x, linked @ n_x, linked | linked.T
+            elif linked.any():
+                ids, links = np.concatenate([ids_x, ids_y]), np.concatenate([linked @ n_y, linked.T @ n_x])
+                whole = np.zeros((len(ids), len(ids)), bool)
+                whole[: len(ids_x), len(ids_x) :] = linked
+                whole |= whole.T
+            if not linked.any():
+                continue
+            a, b = _spanning(whole, ids)
             some = links > 0
-            yield _rows(ids[some].tolist(), links[some].tolist(), a, b)
+            columns = [[*ids[some].tolist(), *[None] * len(a)], [*links[some].tolist(), *[None] * len(a)], [*[None] * int(some.sum()), *a], [*[None] * int(some.sum()), *b]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["id", "links", "a", "b"])
 
 
 def link_vectors(vectors: DataFrame, *, least: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -166,11 +145,13 @@ def link_vectors(vectors: DataFrame, *, least: float = 0.93, id_col: str = "vec_
     A vector without an id is left out of ids of components but counts as a link.
     Other columns are ignored; an empty table gives no rows.
 
-    The pivots are a sample of at most ``MOST_PIVOTS`` vectors, those of smallest hash;
-    every vector is indexed. Long lists are cut into blocks, and pairs of blocks are
-    dealt out, so a list with a third of all vectors is many tasks. Each pair is verified
+    All pairs at or above ``least`` are found. The pivots are those of a sample of at
+    most ``MOST_PIVOTS`` vectors, of smallest hash, that are farther apart than linked
+    vectors; they decide what is left out unseen, never what is found. Pairs of blocks
+    are dealt out, so a label with most vectors is many tasks. Each pair is verified
     where it lies; what leaves a task is a count for each vector and a spanning set of
-    links, never all pairs.
+    links, never all pairs. Where no pivot tells vectors apart, the cosines computed
+    grow with the square of a label's distinct vectors.
     """
     rows = checked(vectors, id_col, vector_col, label_col).select(
         F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).cast("int").alias("label")
@@ -185,17 +166,23 @@ def link_vectors(vectors: DataFrame, *, least: float = 0.93, id_col: str = "vec_
     sample = [r["v"] for r in classes.select("v", F.xxhash64("v").alias("h")).orderBy("h", "v").limit(wanted).collect()]
     width = max(map(len, sample), default=1)
     pivots = _unit(np.array([x + [0.0] * (width - len(x)) for x in sample], float).reshape(len(sample), width)) if sample else np.ones((1, 1))
-    lists = classes.select("id", "n", "label", "v").mapInArrow(
-        lambda b: _described(b, pivots), "label int, dims int, pivot int, id long, n long, near binary, unit binary"
+    angle, most = float(np.arccos(np.clip(least, -1, 1))), _BLOCK
+    pivots = far_apart(pivots, angle)
+    described = classes.select("id", "n", "label", "v").mapInArrow(
+        lambda b: _described(b, pivots), "label int, dims int, near binary, id long, n long, unit binary"
     )
-    order = ("label", "dims", "pivot", "id")
-    found = store(lists.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(lambda b: _within(b, least), _OUT), "lists")
-    blocks = found.where("ids is not null")
-    key = ["label", "dims", "pivot"]
-    side = lambda s: blocks.select(*key, *(F.col(c).alias(f"{c}_{s}") for c in ("no", "ids", "n", "near", "unit")))
-    pairs = side("x").join(side("y"), key).where("no_x < no_y")
-    across = store(pairs.mapInArrow(lambda b: _across(b, least), _OUT), "across")
-    both = found.where("ids is null").unionAll(across).select("id", "links", "a", "b")
+    order = ("label", "dims", "near", "id")
+    blocks = store(described.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(lambda b: _blocks(b, pivots, most), _BLOCKS), "blocks")
+    key = ["label", "dims"]
+    largest = blocks.groupBy(*key).count().agg(F.max("count")).first()[0] or 1
+    shares = min(_MOST_SHARES, -(-largest // _SHARE))
+    side = lambda s: blocks.select(*key, *(F.col(c).alias(f"{c}_{s}") for c in ("no", "ids", "n", "unit", "low", "high")))
+    x = side("x").withColumn("share", F.pmod(F.xxhash64("no_x"), F.lit(shares)).cast("int"))
+    y = side("y").withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+    apart = lambda low, high: F.exists(F.zip_with(low, high, lambda p, q: p - q), lambda d: d > F.lit(angle + _SLACK))
+    pairs = x.join(y, [*key, "share"]).where((F.col("no_x") <= F.col("no_y")) & ~apart("low_x", "high_y") & ~apart("low_y", "high_x"))
+    pairs = pairs.select("dims", *(f"{c}_{s}" for s in "xy" for c in ("no", "ids", "n", "unit")))
+    both = store(pairs.mapInArrow(lambda b: _across(b, least), _OUT), "across")
     links = both.where("id is not null").groupBy("id").agg(F.sum("links").alias("links"))
     roots = connected_components(both.where("a is not null").select("a", "b")).withColumnRenamed("node", "id")
     joined = classes.join(links, "id", "left").join(roots, "id", "left")

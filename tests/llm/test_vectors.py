@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from repopulse.llm.threshold_search import Tile, top_inner_products
-from repopulse.llm.vector_links import link_vectors
+from repopulse.llm.vector_links import far_apart, link_vectors
 
 SCHEMA = "vec_id long, embedding array<float>, label int, data string, score string, n long"
 NAN, INF = float("nan"), float("inf")
@@ -54,6 +54,27 @@ def test_links(vectors, spark, monkeypatch):
     assert cut == expected
 
 
+@pytest.mark.parametrize("size", [300, 1000, 2000])
+def test_a_hot_group_keeps_all_links(spark, size):
+    rng = np.random.default_rng(size)
+    noise = rng.normal(size=(size, 64))
+    noise[:, 0] = 0
+    own = 0.2 * noise / np.linalg.norm(noise, axis=1, keepdims=True) + np.eye(64)[0]
+    x = np.concatenate([own, rng.normal(size=(2 * size, 64))])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    linked = unit @ unit.T >= 0.93
+    expected = {i: k for i, k in enumerate((linked.sum(1) - 1).tolist())}
+    frame = spark.createDataFrame([(i, v, 0) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>, label int")
+    found = {r.vec_id: r.n_links for r in link_vectors(frame).collect()}
+    assert sum(expected.values()) > 0.9 * size * size
+    assert found == expected
+
+
+def test_pivots_are_far_apart():
+    unit = np.array([[1, 0], [np.cos(0.1), np.sin(0.1)], [0, 1], [0, 1]], float)
+    assert far_apart(unit, 0.3).tolist() == [[1, 0], [0, 1]]
+
+
 def test_no_vectors(spark):
     nothing = spark.createDataFrame([], SCHEMA)
     assert link_vectors(nothing).count() == 0 and top_inner_products(nothing).count() == 0
