@@ -2,7 +2,7 @@
 
 A document's ids are cut at multiples of the capacity: those pieces are whole
 sequences. What remains of each document waits in a window. Whenever the window
-is full, a bitset dynamic program over the multiset of waiting lengths finds the
+is full, in pieces and in ids, a bitset dynamic program over the multiset of waiting lengths finds the
 sum closest to the capacity that contains the longest-waiting piece, and
 backtracks how many pieces of each length make it. At the end of a task no
 further piece arrives: a gap is then filled by cutting a waiting piece, and the
@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from repopulse.llm.storage import checked
 from repopulse.llm.subwords import subwords
 
-_WAITING = 48
+#: Pieces that wait, and how many sequences their ids would fill, before one is closed.
+_WAITING, _WAITING_FILLS = 48, 4
 _SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
@@ -64,6 +65,7 @@ class _Packer:
     def __init__(self, first_sequence: int, capacity: int) -> None:
         self.sequence, self.capacity = first_sequence, capacity
         self.waiting: list[tuple] = []
+        self.held = 0  # ids that wait
         self.rows: list[tuple] = []
 
     def _emit(self, pieces: list[tuple]) -> None:
@@ -79,7 +81,8 @@ class _Packer:
             self._emit([(doc, start, ids[start : start + c], n)])
         if n % c:
             self.waiting.append((doc, n - n % c, ids[n - n % c :].copy(), n))
-        if len(self.waiting) >= _WAITING:
+            self.held += n % c
+        while len(self.waiting) >= _WAITING and self.held >= _WAITING_FILLS * c:
             self._emit(self._choose())
 
     def _choose(self) -> list[tuple]:
@@ -93,24 +96,23 @@ class _Packer:
             else:
                 rest.append(x)
         self.waiting = rest
+        self.held -= sum(len(x[2]) for x in chosen)
         return chosen
 
     def finish(self) -> None:
-        while sum(len(x[2]) for x in self.waiting) >= self.capacity:
+        while self.held >= self.capacity:
             chosen = self._choose()
             gap = self.capacity - sum(len(x[2]) for x in chosen)
             if gap:  # the next piece alone is longer than the gap, or it would have been taken
                 chosen += self._cut(gap)
             self._emit(chosen)
-        left = sum(len(x[2]) for x in self.waiting)
-        while left:
-            size = 1 << left.bit_length() - 1
-            self._emit(self._cut(size))
-            left -= size
+        while self.held:
+            self._emit(self._cut(1 << self.held.bit_length() - 1))
 
     def _cut(self, size: int) -> list[tuple]:
         """The first ``size`` waiting ids."""
         out = []
+        self.held -= size
         while size:
             doc, start, ids, total = self.waiting.pop(0)
             out.append((doc, start, ids[:size], total))
@@ -154,8 +156,9 @@ def pack_documents(
     Each task packs the documents it reads and numbers its sequences from its
     partition number times 2^32: there is no shuffle, no document waits for another
     task, and a repeated task packs the same documents in the same way. A task
-    holds the remainders of a few dozen documents at most, and all sequences are
-    full but a few short ones at the end of each task.
+    holds the remainders of a few dozen documents, or of as many short ones as fill
+    a few sequences. Sequences are as full as whole remainders make them, short and
+    empty texts included; a few short ones come at the end of each task.
     """
     rows = checked(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return rows.mapInArrow(lambda batches: _packed(batches, tokenizer, end_id, capacity), _SCHEMA)

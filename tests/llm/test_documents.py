@@ -254,6 +254,19 @@ def test_packing(docs, nothing):
     assert pack_documents(nothing, tokenizer=WORDS, end_id=2).count() == 0
 
 
+def test_short_and_empty_texts_fill_sequences(spark):
+    for text, count in (("", 9000), ("and " * 49, 1000)):
+        few = spark.createDataFrame([(i, text) for i in range(count)], "doc_id long, text string").coalesce(1)
+        sizes = Counter()
+        for p in pack_documents(few, tokenizer=WORDS, end_id=2, capacity=4096).select("sequence_id", "length").collect():
+            sizes[p.sequence_id] += p.length
+        total = sum(sizes.values())
+        assert total >= count and max(sizes.values()) <= 4096
+        # All but the last ids, fewer than a sequence, which make powers of two.
+        assert sum(x >= 0.98 * 4096 for x in sizes.values()) >= total // 4096
+        assert sum(x < 0.98 * 4096 for x in sizes.values()) <= 12
+
+
 # Token files
 
 
