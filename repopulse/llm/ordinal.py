@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from repopulse.llm.terms import Terms, fitting_rows, padded, telling_bins
 
-#: Rated documents the model is fitted on at most (those of smallest text hash), and terms at most.
-FIT_ROWS, FIT_TERMS = 20_000, 512
+#: Rated documents the model is fitted on at most (those of smallest text hash); terms are counted over all.
+FIT_ROWS = 20_000
 _EPOCHS, _BATCH, _RATE, _DECAY = 15, 256, 0.1, 1e-5
 
 
@@ -55,11 +55,10 @@ def fit_ordinal(places: dict[int, int], rows: list[list[int]], grades: np.ndarra
     free = np.concatenate([first[:1], np.log(steps)])
     w = np.zeros(n + 1)
     g_w, g_free = np.full(n + 1, 1e-6), np.full(len(free), 1e-6)
-    rng, matrix = np.random.default_rng(seed), padded(rows, n)
+    rng = np.random.default_rng(seed)
     for _ in range(_EPOCHS if len(rows) and n else 0):
         for at in np.array_split(rng.permutation(len(rows)), max(1, len(rows) // _BATCH)):
-            x, y = matrix[at], grades[at]
-            x = x[:, : max(1, int((x < n).sum(1).max()))]
+            x, y = padded([rows[i] for i in at], n), grades[at]
             t = _ordered(free)
             cum = _sigmoid(np.concatenate([np.full((len(y), 1), -np.inf), t[None, :] - w[x].sum(1)[:, None], np.full((len(y), 1), np.inf)], 1))
             i = np.arange(len(y))
@@ -81,13 +80,14 @@ def fit_ordinal(places: dict[int, int], rows: list[list[int]], grades: np.ndarra
     return OrdinalModel(places, w, _ordered(free))
 
 
-def train_ordinal(rated: DataFrame, levels: int) -> OrdinalModel:
+def train_ordinal(rated: DataFrame, levels: int, counted: DataFrame | None = None) -> OrdinalModel:
     """Fit on ``rated`` (text, grade from 0 to ``levels`` - 1); rows without a grade
-    are left out, grades beyond the range count as its ends."""
-    graded = rated.where(F.col("grade").isNotNull()).select(
-        F.coalesce("text", F.lit("")).alias("text"), F.least(F.greatest(F.col("grade").cast("int"), F.lit(0)), F.lit(levels - 1)).alias("grade")
-    )
-    places = telling_bins(graded, most=FIT_TERMS, least_z=5.0)
+    are left out, grades beyond the range count as its ends. Terms are chosen by all
+    rows of ``counted`` (bins, grade) if ``rated`` is a sample."""
+    grade = F.least(F.greatest(F.col("grade").cast("int"), F.lit(0)), F.lit(levels - 1)).alias("grade")
+    graded = rated.where(F.col("grade").isNotNull()).select(F.coalesce("text", F.lit("")).alias("text"), grade)
+    whole = graded if counted is None else counted.where(F.col("grade").isNotNull()).select("bins", grade)
+    places = telling_bins(whole, least_z=5.0)
     rows, grades = fitting_rows(graded, places, most=FIT_ROWS)
     return fit_ordinal(places, rows, grades, levels)
 

@@ -13,7 +13,7 @@ from repopulse.llm.simhash import near_duplicates
 from repopulse.llm.threshold_search import top_inner_products
 from repopulse.llm.token_counts import count_tokens, sentencepiece_vocabulary
 from repopulse.llm.token_files import encode_documents
-from repopulse.llm.toxicity import held_out, learning_rows, score_documents, train
+from repopulse.llm.toxicity import held_out, labelled_terms, learning_rows, score_documents, train
 from repopulse.llm.vector_links import link_vectors
 
 #: Id after each document.
@@ -63,7 +63,8 @@ def op5_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A toxicity score for every document; learnt from labels outside the held-out third."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    machine = train(learning_rows(docs, table(spark, sf_dir, "labels")))
+    labels = table(spark, sf_dir, "labels")
+    machine = train(learning_rows(docs, labels), labelled_terms(docs, labels))
     return score_documents(docs, machine).select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted")
     )
@@ -83,7 +84,7 @@ def op8_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").withColumn("grade", F.col("quality") * (2 - F.coalesce(F.col("toxic"), F.lit(0))))
     rated = learning_rows(docs, labels, label_col="grade")
-    return rate_documents(docs, train_ordinal(rated, 3), 1).select(
+    return rate_documents(docs, train_ordinal(rated, 3, labelled_terms(docs, labels, label_col="grade")), 1).select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "expected_grade", "tail_probability", (F.col("tail_probability") >= 0.5).alias("selected")
     )
 

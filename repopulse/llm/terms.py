@@ -49,6 +49,25 @@ class Terms:
         return set(chain.from_iterable(map(known.__getitem__, words)))
 
 
+def packed(bins: set[int]) -> bytes:
+    """Two bytes a bin: how many have each pair of top bits, then the low 16 bits in order."""
+    own = np.sort(np.fromiter(bins, np.int64, len(bins)))
+    return np.bincount(own >> 16, minlength=BINS >> 16).astype("<u4").tobytes() + (own & 0xFFFF).astype("<u2").tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    tops = BINS >> 16
+    heads = np.repeat(np.arange(tops) << 16, np.frombuffer(data, "<u4", tops))
+    return heads + np.frombuffer(data, "<u2", offset=4 * tops)
+
+
+def packed_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ids and texts to ids and packed bins."""
+    terms = Terms()
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([packed(terms.of(x)) for x in batch.column(1).to_pylist()], pa.binary())], ["id", "bins"])
+
+
 def _tallies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For this task and each grade: documents in all, and with each bin."""
     terms, counts = Terms(), {}
@@ -56,21 +75,23 @@ def _tallies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text, grade in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             own = counts.setdefault(grade, np.zeros(BINS + 1, np.int64))
             own[BINS] += 1
-            own[list(terms.of(text))] += 1
+            own[unpacked(text) if isinstance(text, bytes) else list(terms.of(text))] += 1
     for grade, own in counts.items():
         at = np.flatnonzero(own)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.full(len(at), grade, np.int64)), pa.array(own[at])], ["bin", "grade", "docs"])
 
 
-def telling_bins(graded: DataFrame, *, most: int, least_z: float, least_docs: int = 4) -> dict[int, int]:
-    """Bins whose documents have another mean grade than all, by all rows of ``graded`` (text, grade).
+def telling_bins(graded: DataFrame, *, least_z: float, least_docs: int = 4) -> dict[int, int]:
+    """Bins whose documents have another mean grade than all, by all rows of ``graded``
+    (text, or packed bins, and grade).
 
     The statistic is the distance of the bin's mean grade from the overall mean in
-    standard errors. At most ``most`` bins are kept, those of largest distance; so
-    what reaches the driver is bounded, whatever the input.
+    standard errors. All bins of ``least_z`` or more are kept: common words never push
+    rare ones out. There are ``BINS`` at most, so what reaches the driver is bounded,
+    whatever the input.
     """
     tally = (
-        graded.select("text", F.col("grade").cast("long").alias("grade"))
+        graded.select("bins" if "bins" in graded.columns else "text", F.col("grade").cast("long").alias("grade"))
         .mapInArrow(_tallies, "bin long, grade long, docs long")
         .groupBy("bin")
         .agg(F.sum("docs").alias("n"), F.sum(F.col("docs") * F.col("grade")).alias("s"), F.sum(F.col("docs") * F.col("grade") * F.col("grade")).alias("ss"))
@@ -87,33 +108,33 @@ def telling_bins(graded: DataFrame, *, most: int, least_z: float, least_docs: in
         .withColumn("z", z)
         .where(F.col("z") >= least_z)
         .orderBy(F.col("z").desc(), "bin")
-        .limit(most)
+        .select("bin")
         .collect()
     )
     return {r["bin"]: i for i, r in enumerate(rows)}
 
 
-def fitting_rows(graded: DataFrame, only: dict[int, int], *, most: int) -> tuple[list[list[int]], np.ndarray]:
+def fitting_rows(graded: DataFrame, only: dict[int, int], *, most: int) -> tuple[list[np.ndarray], np.ndarray]:
     """Places and grades of at most ``most`` rows, those of smallest text hash: a
     bounded sample for the driver. Rows of one text and grade count once."""
     rows = (
         graded.select("text", F.col("grade").cast("long").alias("grade"), F.xxhash64("text", F.lit(7)).alias("hash"))
-        .mapInArrow(lambda b: _hashed_places(b, only), "hash long, grade long, places array<int>")
+        .mapInArrow(lambda b: _hashed_places(b, only), "hash long, grade long, places binary")
         .orderBy("hash", "grade")
         .limit(most)
         .collect()
     )
-    return [r["places"] for r in rows], np.array([r["grade"] for r in rows], np.int64)
+    return [np.frombuffer(r["places"], "<i4") for r in rows], np.array([r["grade"] for r in rows], np.int64)
 
 
 def _hashed_places(batches: Iterator[pa.RecordBatch], only: dict[int, int]) -> Iterator[pa.RecordBatch]:
     terms = Terms(only)
     for batch in batches:
-        own = [sorted(terms.of(x)) for x in batch.column(0).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(1), pa.array(own, pa.list_(pa.int32()))], ["hash", "grade", "places"])
+        own = [np.array(sorted(terms.of(x)), "<i4").tobytes() for x in batch.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(1), pa.array(own, pa.binary())], ["hash", "grade", "places"])
 
 
-def padded(rows: list[list[int]], empty: int) -> np.ndarray:
+def padded(rows: list, empty: int) -> np.ndarray:
     """Rows as a matrix, filled up with the place ``empty``."""
     out = np.full((len(rows), max([1, *map(len, rows)])), empty, np.int32)
     for i, x in enumerate(rows):

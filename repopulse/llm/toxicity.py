@@ -16,10 +16,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from repopulse.llm.storage import checked, store
-from repopulse.llm.terms import Terms, fitting_rows, padded, telling_bins
+from repopulse.llm.terms import Terms, fitting_rows, packed_terms, padded, telling_bins
 
-#: Labelled documents that are learnt from at most (those of smallest id hash), and terms at most.
-FIT_ROWS, FIT_TERMS = 20_000, 512
+#: Labelled documents that weights are fitted on at most (those of smallest id hash); terms are counted over all.
+FIT_ROWS = 20_000
+#: Documents that are scored at once.
+_AT_ONCE = 64
 _FACTORS, _EPOCHS, _BATCH, _RATE, _DECAY = 8, 15, 256, 0.1, 1e-5
 
 
@@ -46,11 +48,9 @@ def fit_machine(places: dict[int, int], rows: list[list[int]], toxic: np.ndarray
     rate = min(max((toxic.sum() + 0.5) / (len(toxic) + 1), 1e-4), 1 - 1e-4) if len(toxic) else 0.01
     bias = float(np.log(rate / (1 - rate)))
     g_bias, g_linear, g_factors = 1e-6, np.full(n + 1, 1e-6), np.full((n + 1, _FACTORS), 1e-6)
-    matrix = padded(rows, n)
     for _ in range(_EPOCHS if len(rows) and n else 0):
         for at in np.array_split(rng.permutation(len(rows)), max(1, len(rows) // _BATCH)):
-            x, y = matrix[at], toxic[at]
-            x = x[:, : max(1, int((x < n).sum(1).max()))]
+            x, y = padded([rows[i] for i in at], n), toxic[at]
             v = factors[x]
             total = v.sum(1)
             m = bias + linear[x].sum(1) + 0.5 * (total**2 - (v**2).sum(1)).sum(1)
@@ -68,11 +68,14 @@ def fit_machine(places: dict[int, int], rows: list[list[int]], toxic: np.ndarray
     return FactorizationMachine(places, bias, linear, factors)
 
 
-def train(labelled: DataFrame) -> FactorizationMachine:
+def train(labelled: DataFrame, counted: DataFrame | None = None) -> FactorizationMachine:
     """Fit on ``labelled`` (text, toxic). Rows without a label are left out; without
-    any labelled row the machine says the same for every text."""
+    any labelled row the machine says the same for every text. Terms are chosen by
+    all rows of ``counted`` (bins, toxic; from ``labelled_terms``) if ``labelled`` is a
+    sample."""
     graded = labelled.where(F.col("toxic").isNotNull()).select(F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("grade"))
-    places = telling_bins(graded, most=FIT_TERMS, least_z=5.0)
+    whole = graded if counted is None else counted.where(F.col("toxic").isNotNull()).select("bins", F.col("toxic").cast("int").alias("grade"))
+    places = telling_bins(whole, least_z=5.0)
     rows, toxic = fitting_rows(graded, places, most=FIT_ROWS)
     return fit_machine(places, rows, np.minimum(toxic, 1).astype(float))
 
@@ -81,7 +84,7 @@ def _scored(batches: Iterator[pa.RecordBatch], machine: FactorizationMachine, at
     terms, empty = Terms(machine.places), len(machine.places)
     for batch in batches:
         rows = [sorted(terms.of(x)) for x in batch.column(at).to_pylist()]
-        m = np.concatenate([machine.margins(padded(rows[i : i + 512], empty)) for i in range(0, len(rows), 512)] or [np.zeros(0)])
+        m = np.concatenate([machine.margins(padded(rows[i : i + _AT_ONCE], empty)) for i in range(0, len(rows), _AT_ONCE)] or [np.zeros(0)])
         score = pa.array(1 / (1 + np.exp(-np.clip(m, -40, 40))))
         yield pa.RecordBatch.from_arrays([*batch.columns, score], [*batch.schema.names, "score"])
 
@@ -90,8 +93,8 @@ def score_documents(docs: DataFrame, machine: FactorizationMachine, text_col: st
     """All rows and columns of ``docs`` with ``score_col`` from 0 to 1, higher for toxic.
 
     A null text is scored as an empty one; repeated rows get equal scores; a column
-    that is already called ``score_col`` is replaced. The machine, a few hundred
-    kilobytes whatever the input, goes to the tasks with the code.
+    that is already called ``score_col`` is replaced. The machine, 72 bytes a
+    term and so 19 MB at most, goes to the tasks with the code.
     """
     kept = docs.drop(score_col)
     at = kept.columns.index(text_col)
@@ -109,19 +112,26 @@ def learning_rows(
     The ids are chosen before any text is read; they are broadcast, 16 bytes each, so
     texts are never shuffled.
     """
-    known = (
-        checked(labels, id_col, label_col)
-        .where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(F.col(id_col)))
-        .groupBy(F.col(id_col).alias("id"))
-        .agg(F.max(label_col).alias("label"))
-        .orderBy(F.xxhash64("id"), "id")
-        .limit(most)
-    )
+    known = _known(labels, id_col, label_col).orderBy(F.xxhash64("id"), "id").limit(most)
     texts = checked(docs, id_col, text_col)
     rows = texts.join(F.broadcast(known), texts[id_col] == known["id"]).select(F.col(text_col).alias("text"), F.col("label").alias(label_col))
     return store(rows, "learning")
 
 
+def _known(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
+    rows = checked(labels, id_col, label_col).where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(F.col(id_col)))
+    return rows.groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("label"))
+
+
+def labelled_terms(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+    """Packed bins and labels of all labelled ids outside the held-out third; labels
+    count as in ``learning_rows``. Two bytes a term are joined, never texts."""
+    texts = checked(docs, id_col, text_col).where(F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
+    kind = docs.schema[id_col].dataType.simpleString()
+    bins = texts.mapInArrow(packed_terms, f"id {kind}, bins binary")
+    return bins.join(_known(labels, id_col, label_col), "id").select("bins", F.col("label").alias(label_col))
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether a document is kept from learning: crc32 of its id as text leaves 1 modulo 3. A null id is not."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))

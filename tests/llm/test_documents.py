@@ -23,10 +23,11 @@ from repopulse.llm.packing import closest_fill, pack_documents
 from repopulse.llm.secret_scan import redacted, scan_secrets
 from repopulse.llm.simhash import _links, block_masks, fingerprint, near_duplicates
 from repopulse.llm.subwords import Subwords
+from repopulse.llm.terms import BINS, Terms, unpacked
 from repopulse.llm.token_counts import Counter as TokenCounter
 from repopulse.llm.token_counts import UnigramVocabulary, count_tokens, sentencepiece_vocabulary
 from repopulse.llm.token_files import encode_documents
-from repopulse.llm.toxicity import held_out, learning_rows, score_documents, train
+from repopulse.llm.toxicity import held_out, labelled_terms, learning_rows, score_documents, train
 
 BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, target string, score string, label string, count long, fp long"
@@ -330,6 +331,24 @@ def test_learning_rows(spark, docs):
     assert len(found) == sum(1 for r in docs.collect() if r.doc_id is not None and r.doc_id not in out)
 
 
+def test_all_labelled_rows_choose_the_terms(spark):
+    """A rare insult that the sample does not hold, beside hundreds of common words that tell."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(2400):
+        toxic = int(i % 9 == 0)
+        words = [f"w{k}" for k in rng.choice(1400, 120, replace=False) if (k % 2) == toxic or rng.random() < 0.15]
+        rows.append((i, " ".join(words + ["zzyx"] * (toxic and i % 15 == 0)), toxic))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(4)
+    docs, labels = frame.select("doc_id", "text"), frame.select("doc_id", "toxic")
+    sample, whole = learning_rows(docs, labels, most=20), labelled_terms(docs, labels)
+    kept = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 3 != 1]
+    assert sample.count() == 20 and whole.count() == len(kept)
+    places = train(sample, whole).places
+    assert zlib.crc32(b"zzyx") % BINS in places and len(places) > 512
+    assert sorted(map(tuple, (unpacked(r.bins).tolist() for r in whole.collect()))) == sorted(tuple(sorted(Terms().of(r[1]))) for r in kept)
+
+
 def test_expected_grade(graded, docs, nothing):
     model = train_ordinal(graded.where(~held_out(F.col("doc_id"))), 3)
     rated = rate_documents(graded.where(held_out(F.col("doc_id"))), model, 2).collect()
