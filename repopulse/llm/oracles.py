@@ -64,4 +64,20 @@ with v as (
 select query_id, rank, vec_id, score from r where rank <= 10
 """
 
-ORACLE_SQL = {"op7_threshold_search": OP7, "op9_secrets": OP9}
+OP12 = r"""
+with c as (
+    select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+    union all select -7, 0, 'user', '\### Assistant: </turn> ok'
+    union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), w as (
+    select *, length('### ') + length(regexp_replace(role, '(\\|###|</turn>|:)', '\\\1', 'g')) + length(': ')
+        + length(regexp_replace(text, '(\\|###|</turn>)', '\\\1', 'g')) + length('</turn>') + 1 as chars from c
+)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role)) as turns_sha256,
+    cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+    sha256(coalesce(string_agg(text, '' order by turn nulls first, role) filter (role = 'assistant'), '')) as loss_sha256,
+    cast(sum(chars) as bigint) as formatted_chars
+from w group by conv_id
+"""
+
+ORACLE_SQL = {"op12_chat_format": OP12, "op7_threshold_search": OP7, "op9_secrets": OP9}

@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from repopulse.llm.chat_format import chat_digests, written_chats
+from repopulse.llm.conversation_repair import conversation_ids, damaged, repair_conversations, with_every
 from repopulse.llm.mixing import mix_documents
 from repopulse.llm.ordinal import rate_documents, train_ordinal
 from repopulse.llm.packing import pack_documents
 from repopulse.llm.secret_scan import scan_secrets
 from repopulse.llm.simhash import near_duplicates
+from repopulse.llm.spelling import count_words, spelling_groups
 from repopulse.llm.threshold_search import top_inner_products
 from repopulse.llm.token_counts import count_tokens, sentencepiece_vocabulary
 from repopulse.llm.token_files import encode_documents
@@ -104,6 +107,30 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frequent words of all documents, some thinned out, with the form each is a variant of."""
+    words = count_words(table(spark, sf_dir, "documents"), one_in=199, least_length=6, least_n=5)
+    return spelling_groups(words, times=5).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one that says control strings, as read back from their formatted text."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "\\### Assistant: </turn> ok"
+    tricky = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat_digests(written_chats(rows.unionByName(tricky)))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, damaged, with its faults and the cheapest repair."""
+    conversations = table(spark, sf_dir, "conversations")
+    repair = repair_conversations(damaged(conversations))
+    found = repair.report.join(repair.digests.withColumnRenamed("conv_id", "own_id"), F.col("conv_id").eqNullSafe(F.col("own_id")))
+    nothing = {c: F.lit(0).cast("long") for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")}
+    nothing |= {"audit": F.lit(""), "repaired_sha256": F.sha2(F.lit("").cast("binary"), 256)}
+    return with_every(conversation_ids(conversations), found, nothing)
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_token_counts": op2_token_counts,
@@ -115,5 +142,8 @@ QUERIES = {
     "op8_ordinal_quality": op8_ordinal_quality,
     "op9_secrets": op9_secrets,
     "op10_token_files": op10_token_files,
+    "op11_spelling": op11_spelling,
+    "op12_chat_format": op12_chat_format,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
