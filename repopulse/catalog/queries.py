@@ -11,7 +11,7 @@ from repopulse import vocabulary as V
 from repopulse.catalog import subject as S
 from repopulse.functions import instants
 from repopulse.functions.bands import assign_band, band_label
-from repopulse.functions.presence import count_at, has_key, integer_at, text_at
+from repopulse.functions.presence import count_of, fields_of, has_key, integer_at, text_at
 from repopulse.functions.text import fold
 from repopulse.operators import correlation, grouping, metrics, quality, ranking, reconcile, summary
 from repopulse.plans.collect import CORRELATIONS, STATUSES, run_metadata, summarise_records
@@ -122,15 +122,17 @@ def closed_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def presence_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = F.col("raw")
-    prs, releases = count_at(raw, "pullRequestsAceitos"), count_at(raw, "releases")
-    return S.nodes(spark, sf_dir).select(
+    names = ("pullRequestsAceitos", "releases", "issues")
+    walked = S.nodes(spark, sf_dir).select("pos", fields_of(F.col("raw"), names).alias("node"))
+    counted = walked.select("pos", *[count_of(F.col("node")[n]).alias(n) for n in names])
+    prs, releases = F.col("pullRequestsAceitos"), F.col("releases")
+    return counted.select(
         "pos",
         prs.alias("merged_prs_api"),
         metrics.count_status(prs).alias("merged_prs_status"),
         releases.alias("releases_api"),
         metrics.count_status(releases).alias("releases_status"),
-        count_at(raw, "issues").alias("issues"),
+        "issues",
     )
 
 

@@ -7,6 +7,8 @@ NULL and the second a variant null.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,6 +23,16 @@ def has_key(raw: Column, key: str) -> Column:
     return object_key(raw, key).isNotNull()
 
 
+def fields_of(raw: Column, names: Iterable[str]) -> Column:
+    """The named top-level fields as a struct of variants, in one walk over the node.
+
+    A field is SQL NULL where its key is absent and a variant null where it came back
+    null; anything but an object has no fields. Put the struct in a column of its own,
+    so that it is extracted once for all that is read from it.
+    """
+    return F.try_variant_get(raw, "$", f"struct<{','.join(f'`{n}`:variant' for n in dict.fromkeys(names))}>")
+
+
 def text_at(raw: Column, path: str) -> Column:
     """Scalar under a nested path as text; a null anywhere on the way gives null."""
     return F.try_variant_get(raw, f"$.{path}", "string")
@@ -37,6 +49,16 @@ def integer_at(raw: Column, path: str) -> Column:
     return F.when(is_integer, F.try_variant_get(raw, f"$.{path}", "bigint"))
 
 
+def integer_of(value: Column) -> Column:
+    """The integer that a variant is; any other kind of value gives null."""
+    return F.when(F.schema_of_variant(value) == "BIGINT", value.try_cast("bigint"))
+
+
+def text_of(value: Column) -> Column:
+    """A scalar variant as text."""
+    return F.try_variant_get(value, "$", "string")
+
+
 def number_at(raw: Column, path: str) -> Column:
     """Number under a path as double; text and booleans give null."""
     kind = F.schema_of_variant(object_key(raw, path))
@@ -44,12 +66,17 @@ def number_at(raw: Column, path: str) -> Column:
     return F.when(numeric, F.try_variant_get(raw, f"$.{path}", "double"))
 
 
-def count_at(raw: Column, key: str) -> Column:
-    """Presence-aware count of a ``{totalCount}`` object.
+def count_of(value: Column) -> Column:
+    """Presence-aware count of a ``{totalCount}`` object taken from its node.
 
-    Absent key: null. Present but null, empty or not an integer: 0.
+    Absent: null. Present but null, empty or not an integer: 0.
     """
-    return F.when(has_key(raw, key), F.coalesce(integer_at(raw, f"{key}.totalCount"), F.lit(0).cast("long")))
+    return F.when(value.isNotNull(), F.coalesce(integer_at(value, "totalCount"), F.lit(0).cast("long")))
+
+
+def count_at(raw: Column, key: str) -> Column:
+    """As :func:`count_of`, for a single field; read several by :func:`fields_of`."""
+    return count_of(object_key(raw, key))
 
 
 def is_empty_node(raw: Column) -> Column:

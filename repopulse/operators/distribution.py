@@ -1,15 +1,16 @@
 """Exact distribution statistics of many metrics per group.
 
 The built-in exact ``median`` keeps every distinct value of a group in the
-memory of one task. Here the rows are first reduced to a histogram ``(keys,
-metric, value) -> rows``, dealt out by value, so that a group holding most rows is
-spread over all tasks. Everything else starts from that shuffle; the input is
-evaluated once. The median is found in three steps: the bucket of about 0.07 % of
-the value's size that holds the middle ranks, then one of 4,096 equal parts of
-what that bucket really spans, then the position among the values of that part.
-Both kinds of counts are partial aggregates. The parts adapt to the data, so
-values in a narrow band (points in time) or far below one (small shares) are split
-as well as any others; what the last window ranks is a few distinct values.
+memory of one task. Here it is selected between splitters. A first aggregate
+gives every group its counts, sums and ends, and from a mergeable quantile summary
+two values of the group that its middle ranks certainly lie between. A second one
+counts the rows below them and, by value, those between; no other value is
+shuffled, and only those between are ranked: the distinct values among a thousandth
+of a group's rows, or less with a larger ``accuracy``.
+
+The summary's ranks are off by ``rows / ACCURACY`` at most and the splitters lie four
+times that apart from the middle, whatever the values and the partitions. Should
+they ever miss it, the query fails instead of giving another value.
 
 Values are ordered as Spark orders them: NaN counts as a value and is the
 greatest, after infinity. A mean that includes either is NaN or infinite.
@@ -24,10 +25,10 @@ from pyspark.sql import functions as F
 
 from repopulse.functions.rounding import half_even
 
-#: Buckets for each doubling of the value; beyond the span of all doubles lie infinity and NaN.
-_BUCKETS_PER_DOUBLING, _SPAN = 1024, 1_200_000
-#: Equal parts of the bucket that holds a middle rank.
-_PARTS = 4096
+#: Rows over the largest error of a rank in the quantile summary, and how many such errors the splitters keep from the middle.
+ACCURACY, _MARGIN = 10_000, 4
+#: Where a row lies: without a value, below the splitters, between them.
+_NOWHERE, _BELOW, _BETWEEN = range(3)
 
 
 def _long_form(df: DataFrame, keys: Sequence[str], metrics: Mapping[str, Column | str]) -> DataFrame:
@@ -40,32 +41,18 @@ def _long_form(df: DataFrame, keys: Sequence[str], metrics: Mapping[str, Column
     return df.select(*keys, F.inline(F.array(*pairs)))
 
 
-def _bucket(value: Column) -> Column:
-    # Monotone in the value, so buckets are ordered like their values.
-    size = F.abs(value)
-    own = F.floor(F.log2(size) * F.lit(_BUCKETS_PER_DOUBLING)).cast("long") + F.lit(_SPAN)
-    return (
-        F.when(F.isnan(value), F.lit(3 * _SPAN))
-        .when(size == F.lit(float("inf")), F.signum(value).cast("long") * F.lit(2 * _SPAN + 1))
-        .when(value == F.lit(0.0), F.lit(0))
-        .when(value.isNotNull(), F.signum(value).cast("long") * own)
-    )
-
-
-def _part(value: Column, low: Column, high: Column) -> Column:
-    """Which of the equal parts of ``low`` to ``high`` a value lies in; monotone too."""
-    share = F.try_divide(value - low, high - low)
-    inside = F.least(F.floor(share * F.lit(_PARTS)).cast("long"), F.lit(_PARTS - 1).cast("long"))
-    return F.when((high > low) & (value > low), inside).otherwise(F.lit(0).cast("long"))
-
+def _splitters(value: Column, accuracy: int) -> Column:
+    """Two values of a group that its middle ranks lie between, as an array."""
+    # Infinity stands for NaN here: the order of the two does not matter for a splitter.
+    ordered = F.when(F.isnan(value), F.lit(float("inf"))).otherwise(value)
+    margin = min(_MARGIN / accuracy, 0.5)
+    return F.percentile_approx(ordered, F.array(F.lit(0.5 - margin), F.lit(0.5 + margin)), accuracy)
 
-def _holds(rank: str, start: str, end: str) -> Column:
-    return (F.col(start) < F.col(rank)) & (F.col(rank) <= F.col(end))
 
-
-def _middle(start: str, end: str) -> Column:
-    """Whether ranks after ``start`` up to ``end`` include a middle one; a group without values keeps its only row."""
-    return _holds("low_rank", start, end) | _holds("high_rank", start, end) | (F.col("n") == 0)
+def _place(value: Column, low: Column, high: Column) -> Column:
+    """Where a value lies; null above the splitters."""
+    between = (value <= high) | (high == F.lit(float("inf")))
+    return F.when(value.isNull(), F.lit(_NOWHERE)).when(value < low, F.lit(_BELOW)).when(between, F.lit(_BETWEEN))
 
 
 def describe(
@@ -74,6 +61,7 @@ def describe(
     metrics: Mapping[str, Column | str],
     digits: int | Mapping[str, int] = 4,
     scale: int | None = None,
+    accuracy: int = ACCURACY,
 ) -> DataFrame:
     """Exact statistics per group and metric, in long form.
 
@@ -85,87 +73,68 @@ def describe(
     large for that, are summed as doubles beside them; none is ever rounded.
     Without keys an empty input still gives one row per metric.
 
-    There is one plan for any number of groups; building it starts no job.
+    There is one plan for any number of groups; building it starts no job. The
+    input is evaluated twice from its last shuffle or table on; store it first where
+    that is dear. ``accuracy`` changes how many rows are ranked, never the result.
     """
     keys = list(keys)
     group = [*keys, "metric"]
-    counted = _long_form(df, keys, metrics).groupBy(*group, "value").agg(F.count(F.lit(1)).alias("rows"))
-    counted = counted.withColumn("bucket", _bucket(F.col("value")))
-
-    addends = _addends(F.col("value"), F.col("rows"), scale)
-    per_bucket = counted.groupBy(*group, "bucket").agg(
-        F.sum("rows").alias("rows"),
-        F.sum(F.when(F.col("value").isNotNull(), F.col("rows")).otherwise(F.lit(0))).alias("valued"),
-        *[F.sum(part).alias(name) for name, part in addends.items()],
-        F.min("value").alias("low"),
-        F.max("value").alias("high"),
-    )
+    long_form = _long_form(df, keys, metrics)
+    stats = _group_stats(long_form, group, scale, accuracy)
+    counted = _counted_between(long_form, stats, group)
+
+    # Only what lies between the splitters reaches this window, and a row or two per group for the rest.
+    upto = Window.partitionBy(*group).orderBy("place", "value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = counted.withColumn("end", F.sum("valued").over(upto)).withColumn("start", F.col("end") - F.col("valued"))
+    ranks = {"low_value": F.floor((F.col("n") + 1) / 2), "high_value": F.floor(F.col("n") / 2) + 1}
+    # A row without a value or below ends before the middle, unless the splitters missed it: then its null is an error below.
+    middle = {name: F.max(F.when((F.col("start") < rank) & (rank <= F.col("end")), F.col("value"))) for name, rank in ranks.items()}
+    carried = [c for c in counted.columns if c not in (*group, "place", "value", "valued")]
+    finished = ranked.groupBy(*group).agg(*[F.first(c).alias(c) for c in carried], *[m.alias(name) for name, m in middle.items()])
+    finished = finished.select(*group, F.col("group_rows").alias("rows"), "n", F.try_divide(_total(scale), "n").alias("mean"), _median().alias("median"), "min", "max")
+    if not keys:
+        every = _metric_table(df, metrics).join(finished, "metric", "left")
+        finished = every.withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in ("rows", "n")})
+    return finished.withColumns({c: _rounded(F.col(c), digits) for c in ("mean", "median")})
 
-    # A bounded number of buckets per group reaches this window, not its rows.
-    whole = Window.partitionBy(*group)
-    running = whole.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = per_bucket.withColumns(
-        {
-            "bucket_end": F.sum("valued").over(running),
-            "n": F.sum("valued").over(whole),
-            "group_rows": F.sum("rows").over(whole),
-            **{name: F.sum(name).over(whole) for name in addends},
-            "min": F.min("low").over(whole),
-            "max": F.max("high").over(whole),
-        }
-    ).withColumns(
-        {
-            "bucket_start": F.col("bucket_end") - F.col("valued"),
-            "low_rank": F.floor((F.col("n") + 1) / 2),
-            "high_rank": F.floor(F.col("n") / 2) + 1,
-            "total": _total(scale),
-        }
-    )
-    # One or two buckets per group go on.
-    carried = ("low_rank", "high_rank", "group_rows", "n", "total", "min", "max")
-    picked = placed.where(_middle("bucket_start", "bucket_end")).select(
-        *[F.col(c).alias(f"picked_{c}") for c in [*group, "bucket"]], "bucket_start", "low", "high", *carried
-    )
-    same_bucket = [F.col(c).eqNullSafe(F.col(f"picked_{c}")) for c in [*group, "bucket"]]
-    near = counted.join(picked, same_bucket).withColumn("part", _part(F.col("value"), F.col("low"), F.col("high")))
 
-    # The same once more, over the parts of those buckets.
-    parts = near.groupBy(*group, "bucket", "part").agg(
-        F.sum("rows").alias("part_rows"), *[F.first(c).alias(c) for c in ("bucket_start", *carried)]
-    )
-    upto = Window.partitionBy(*group, "bucket").orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    parts = parts.withColumn("part_end", F.col("bucket_start") + F.sum("part_rows").over(upto))
-    parts = parts.withColumn("part_start", F.col("part_end") - F.col("part_rows")).where(_middle("part_start", "part_end"))
-    picked_parts = parts.select(
-        *[F.col(c).alias(f"at_{c}") for c in [*group, "bucket", "part"]], "part_start", *[F.col(c).alias(f"at_{c}") for c in carried]
-    )
-    same_part = [F.col(c).eqNullSafe(F.col(f"at_{c}")) for c in [*group, "bucket", "part"]]
-    candidates = near.select(*group, "bucket", "part", "value", "rows").join(picked_parts, same_part)
-    candidates = candidates.select(*group, "bucket", "part", "value", "rows", "part_start", *[F.col(f"at_{c}").alias(c) for c in carried])
-
-    inside = Window.partitionBy(*group, "bucket", "part").orderBy("value")
-    reached = F.sum("rows").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranked = candidates.withColumn("upto", F.col("part_start") + reached).withColumn("from", F.col("upto") - F.col("rows"))
-    merged = ranked.groupBy(*group).agg(
-        *[F.max(c).alias(c) for c in ("group_rows", "n", "total", "min", "max")],
-        F.max(F.when(_holds("low_rank", "from", "upto"), F.col("value"))).alias("low_value"),
-        F.max(F.when(_holds("high_rank", "from", "upto"), F.col("value"))).alias("high_value"),
+def _group_stats(long_form: DataFrame, group: Sequence[str], scale: int | None, accuracy: int) -> DataFrame:
+    """A row for each group: what it returns but the median, and the splitters ``low`` and ``high``."""
+    value = F.col("value")
+    stats = long_form.groupBy(*group).agg(
+        F.count(F.lit(1)).alias("group_rows"),
+        F.count("value").alias("n"),
+        *[F.sum(part).alias(name) for name, part in _addends(value, scale).items()],
+        F.min("value").alias("min"),
+        F.max("value").alias("max"),
+        _splitters(value, accuracy).alias("splitters"),
     )
-    if not keys:
-        merged = _metric_table(df, metrics).join(merged, "metric", "left")
+    ends = {"low": F.element_at("splitters", 1), "high": F.element_at("splitters", 2)}
+    return stats.withColumns(ends).drop("splitters")
+
+
+def _counted_between(long_form: DataFrame, stats: DataFrame, group: Sequence[str]) -> DataFrame:
+    """``group, place, value, valued`` and the group's statistics: how many rows without a
+    value (none counts) and below the splitters, in a row each, and those between by value."""
+    beside = stats.select(*[F.col(c).alias(f"_{c}") for c in group], *[c for c in stats.columns if c not in group])
+    placed = long_form.join(beside, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in group])
+    placed = placed.withColumn("place", _place(F.col("value"), F.col("low"), F.col("high"))).where(F.col("place").isNotNull())
+    carried = [c for c in stats.columns if c not in (*group, "low", "high")]
+    by_value = F.when(F.col("place") == _BETWEEN, F.col("value")).alias("value")
+    return placed.groupBy(*group, "place", by_value).agg(F.count(placed["value"]).alias("valued"), *[F.first(c).alias(c) for c in carried])
+
+
+def _median() -> Column:
     # Half of each first, or the sum of two large values is infinite; halves of tiny ones are not exact.
     low, high = F.col("low_value"), F.col("high_value")
     large = F.greatest(F.abs(low), F.abs(high)) > F.lit(1e300)
-    finished = merged.select(
-        *group,
-        F.coalesce("group_rows", F.lit(0)).cast("long").alias("rows"),
-        F.coalesce("n", F.lit(0)).cast("long").alias("n"),
-        F.try_divide("total", "n").alias("mean"),
-        F.when(low == high, low).when(large, low / 2.0 + high / 2.0).otherwise((low + high) / 2.0).alias("median"),
-        "min",
-        "max",
+    missed = (F.col("n") > 0) & (low.isNull() | high.isNull())
+    return (
+        F.when(missed, F.raise_error(F.lit("the middle of a group lies outside of its splitters")).cast("double"))
+        .when(low == high, low)
+        .when(large, low / 2.0 + high / 2.0)
+        .otherwise((low + high) / 2.0)
     )
-    return finished.withColumns({c: _rounded(F.col(c), digits) for c in ("mean", "median")})
 
 
 #: Values of a known scale are added up as integers in two parts, so that the
@@ -173,16 +142,16 @@ def describe(
 _PART, _LARGEST = 1_000_000, 1e12
 
 
-def _addends(value: Column, rows: Column, scale: int | None) -> dict[str, Column]:
+def _addends(value: Column, scale: int | None) -> dict[str, Column]:
     if scale is None:
-        return {"sum": value * rows}
+        return {"sum": value}
     shift = F.lit(10.0**scale)
     fits = (F.abs(value) < F.lit(_LARGEST / 10.0**scale)) & (F.rint(value * shift) / shift == value)
     units = F.when(fits, F.rint(value * shift)).otherwise(F.lit(0.0)).cast("long")
     return {
-        "sum_high": F.call_function("div", units, F.lit(_PART)) * rows,
-        "sum_low": (units % F.lit(_PART)) * rows,
-        "sum_rest": F.when(~fits, value * rows),
+        "sum_high": F.call_function("div", units, F.lit(_PART)),
+        "sum_low": units % F.lit(_PART),
+        "sum_rest": F.when(~fits, value),
     }
 
 

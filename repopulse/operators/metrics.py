@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from repopulse import vocabulary as V
 from repopulse.functions.instants import elapsed_seconds, parse_instant, whole_days
-from repopulse.functions.presence import count_at, has_key, integer_at, string_at, text_at
+from repopulse.functions.presence import count_of, fields_of, has_key, integer_of, object_key, string_at, text_at, text_of
 from repopulse.functions.rounding import half_even
 from repopulse.functions.text import has_text, lookup_key
 
@@ -196,11 +196,15 @@ def with_popularity(df: DataFrame, ranking: DataFrame, source: str, language: st
 # --- metrics of a raw node --------------------------------------------------------
 
 
+#: A top-level field of a node by its name, as variant.
+Field = Callable[[str], Column]
+
+
 @dataclass(frozen=True)
 class Metric:
     """One metric: what to read from the node, what to derive, what it means."""
 
-    read: Callable[[Column], Columns]
+    read: Callable[[Field], Columns]
     derive: Callable[[Column], Steps]
     columns: tuple[str, ...]
     question: str
@@ -209,27 +213,21 @@ class Metric:
     missing: str
 
 
-def merged_prs_at(raw: Column) -> Column:
+def merged_prs_in(field: Field) -> Column:
     """Merged pull requests under any of their names in a node."""
-    return first_present(
-        integer_at(raw, V.EXTERNAL_MERGED_PRS_KEY),
-        integer_at(raw, V.DOCUMENT_KEYS["merged_prs"]),
-        count_at(raw, "pullRequestsAceitos"),
-    )
+    names = V.EXTERNAL_MERGED_PRS_KEY, V.DOCUMENT_KEYS["merged_prs"]
+    return first_present(*[integer_of(field(n)) for n in names], count_of(field("pullRequestsAceitos")))
 
 
-def releases_at(raw: Column) -> Column:
+def releases_in(field: Field) -> Column:
     """Releases under any of their names in a node."""
-    return first_present(
-        integer_at(raw, V.EXTERNAL_RELEASES_KEY),
-        integer_at(raw, V.DOCUMENT_KEYS["releases"]),
-        count_at(raw, "releases"),
-    )
+    names = V.EXTERNAL_RELEASES_KEY, V.DOCUMENT_KEYS["releases"]
+    return first_present(*[integer_of(field(n)) for n in names], count_of(field("releases")))
 
 
 METRICS: dict[str, Metric] = {
     "age": Metric(
-        lambda raw: {"created_at_raw": text_at(raw, "createdAt")},
+        lambda field: {"created_at_raw": text_of(field("createdAt"))},
         lambda reference: age_steps("created_at_raw", reference),
         ("created_at_raw", "age_days", "age_years", "age_status"),
         "Are popular systems mature?",
@@ -238,10 +236,10 @@ METRICS: dict[str, Metric] = {
         "null: sem_data_criacao; unreadable: data_invalida; row kept, left out of statistics",
     ),
     "staleness": Metric(
-        lambda raw: {
-            "pushed_at_raw": text_at(raw, "pushedAt"),
-            "updated_at_raw": text_at(raw, "updatedAt"),
-            "last_commit_raw": text_at(raw, "defaultBranchRef.target.committedDate"),
+        lambda field: {
+            "pushed_at_raw": text_of(field("pushedAt")),
+            "updated_at_raw": text_of(field("updatedAt")),
+            "last_commit_raw": text_at(field("defaultBranchRef"), "target.committedDate"),
         },
         lambda reference: (*staleness_steps("pushed_at_raw", reference), {"reference_at": reference}),
         (
@@ -254,7 +252,7 @@ METRICS: dict[str, Metric] = {
         "null: sem_push; unreadable: data_invalida; later than reference: 0.0 and data_futura",
     ),
     "language": Metric(
-        lambda raw: {"_name": string_at(raw, "primaryLanguage.name")},
+        lambda field: {"_name": string_at(field("primaryLanguage"), "name")},
         lambda _: language_steps("_name"),
         ("language", "language_category", "has_language"),
         "Are popular systems written in popular languages?",
@@ -263,7 +261,7 @@ METRICS: dict[str, Metric] = {
         "null or blank: placeholder category, row kept as a group of its own",
     ),
     "issues": Metric(
-        lambda raw: {"_issues": count_at(raw, "issues"), "_closed": count_at(raw, "issuesFechadas")},
+        lambda field: {"_issues": count_of(field("issues")), "_closed": count_of(field("issuesFechadas"))},
         lambda _: closed_ratio_steps("_issues", "_closed"),
         ("issues_total", "issues_closed", "closed_ratio", "issues_status"),
         "What share of issues is closed?",
@@ -272,7 +270,7 @@ METRICS: dict[str, Metric] = {
         "total 0: null and sem_issues; not requested: null and dados_ausentes",
     ),
     "merged_prs": Metric(
-        lambda raw: {"merged_prs": merged_prs_at(raw), "merged_prs_api": count_at(raw, "pullRequestsAceitos")},
+        lambda field: {"merged_prs": merged_prs_in(field), "merged_prs_api": count_of(field("pullRequestsAceitos"))},
         lambda _: ({"merged_prs_status": count_status(F.col("merged_prs_api"))},),
         ("merged_prs", "merged_prs_api", "merged_prs_status"),
         "Do popular systems receive outside contributions?",
@@ -281,7 +279,7 @@ METRICS: dict[str, Metric] = {
         "not requested: null and dados_ausentes, never zero",
     ),
     "releases": Metric(
-        lambda raw: {"releases": releases_at(raw), "releases_api": count_at(raw, "releases")},
+        lambda field: {"releases": releases_in(field), "releases_api": count_of(field("releases"))},
         lambda _: ({"releases_status": count_status(F.col("releases_api"))},),
         ("releases", "releases_api", "releases_status"),
         "Do popular systems release often?",
@@ -293,20 +291,40 @@ METRICS: dict[str, Metric] = {
 
 
 def derive_metrics(
-    nodes: DataFrame, reference: Column, metrics: Sequence[str], absent: Sequence[str] = (), keep: Sequence[str] = ()
+    nodes: DataFrame,
+    reference: Column,
+    metrics: Sequence[str],
+    absent: Sequence[str] = (),
+    keep: Sequence[str] = (),
+    identity: Callable[[Field], Columns] | None = None,
 ) -> DataFrame:
-    """``keep``, the columns of ``metrics`` read from ``raw``, and ``raw``.
+    """``keep``, the columns of ``identity`` and ``metrics`` read from ``raw``, and ``raw``.
 
-    Metrics in ``absent`` are computed as for a node without their fields.
+    The node is walked once: its fields become a struct, and every column is read
+    from that. Metrics in ``absent`` are computed as for a node without their fields.
     """
-    raw, nothing = F.col("raw"), F.lit(None).cast("variant")
+    asked: list[str] = []
+
+    def field(name: str) -> Column:
+        asked.append(name)
+        return F.col("_node")[name]
+
+    def nothing(name: str) -> Column:
+        return F.lit(None).cast("variant")
+
     wanted = [name for name in METRICS if name in metrics or name in absent]
-    read: Columns = {}
+    named = identity(field) if identity else {}
+    read: Columns = dict(named)
     for name in wanted:
-        read.update(METRICS[name].read(raw if name in metrics else nothing))
-    df = nodes.select(*keep, "raw", *[c.alias(n) for n, c in read.items()])
+        read.update(METRICS[name].read(field if name in metrics else nothing))
+    df = nodes.select(*keep, "raw", *([fields_of(F.col("raw"), asked).alias("_node")] if asked else []))
+    df = df.select(*keep, "raw", *[c.alias(n) for n, c in read.items()])
     df = apply_steps(df, *[METRICS[name].derive(reference) for name in wanted])
-    return df.select(*keep, *[c for name in wanted for c in METRICS[name].columns], "raw")
+    return df.select(*keep, *named, *[c for name in wanted for c in METRICS[name].columns], "raw")
+
+
+def _identity(field: Field) -> Columns:
+    return {"repo_key": text_of(field("nameWithOwner")), "url": text_of(field("url")), "stars": integer_of(field("stargazerCount"))}
 
 
 def profile(
@@ -326,16 +344,9 @@ def profile(
     unknown = set(metrics) - set(METRICS)
     if unknown:
         raise ValueError(f"unknown metrics: {sorted(unknown)}")
-    raw = F.col("raw")
-    identity = {
-        "repo_key": text_at(raw, "nameWithOwner"),
-        "url": text_at(raw, "url"),
-        "stars": integer_at(raw, "stargazerCount"),
-    }
     absent = [name for name in METRICS if name not in metrics] if full_schema else []
-    others = [c for c in nodes.columns if c != "raw" and c not in identity]
-    identified = nodes.select(*others, *[c.alias(n) for n, c in identity.items()], "raw")
-    records = derive_metrics(identified, instant_literal(reference_at), metrics, absent, keep=[*others, *identity])
+    others = [c for c in nodes.columns if c not in ("raw", "repo_key", "url", "stars")]
+    records = derive_metrics(nodes, instant_literal(reference_at), metrics, absent, keep=others, identity=_identity)
     if "language" in records.columns:
         records = with_popularity(records, default_ranking(nodes) if ranking is None else ranking, ranking_source)
     return records
@@ -394,4 +405,4 @@ def _trusted(records: DataFrame) -> list[Column]:
     raw = F.col("raw") if "raw" in records.columns else F.lit(None).cast("variant")
     none = F.lit(None).cast("long")
     sources = (("merged_prs", V.EXTERNAL_MERGED_PRS_KEY, "pullRequestsAceitos"), ("releases", V.EXTERNAL_RELEASES_KEY, "releases"))
-    return [with_provenance(raw.isNotNull(), external(key), count_at(raw, field), F.col(name), none) for name, key, field in sources]
+    return [with_provenance(raw.isNotNull(), external(key), count_of(object_key(raw, field)), F.col(name), none) for name, key, field in sources]

@@ -109,11 +109,22 @@ def test_values_in_a_narrow_band_are_split(spark, value):
     digits = 12 if max(values) < 1e3 else 4
     (row,) = rows_of(describe(df, ["g"], {"v": "v"}, digits=digits))
     assert row["median"] == round(statistics.median(values), digits)
-    bucketed = df.withColumn("bucket", distribution._bucket(F.col("v")))
-    edges = bucketed.groupBy("bucket").agg(F.min("v").alias("low"), F.max("v").alias("high"))
-    parts = bucketed.join(edges, "bucket").groupBy("bucket", distribution._part(F.col("v"), F.col("low"), F.col("high")).alias("part"))
-    # Of different values; equal ones are one row of the histogram.
-    assert parts.agg(F.count_distinct("v").alias("n")).agg(F.max("n")).first()[0] <= 40
+    # What is ranked: little, however the values crowd.
+    for accuracy in (100, 10_000):
+        long_form = df.select("g", F.lit("v").alias("metric"), F.col("v").alias("value"))
+        stats = distribution._group_stats(long_form, ["g", "metric"], None, accuracy)
+        counted = distribution._counted_between(long_form, stats, ["g", "metric"])
+        assert counted.count() <= 1 + max(10, 12 * 4000 // accuracy)
+
+
+@pytest.mark.parametrize("order", ["v desc", "hash(v)"])
+@pytest.mark.parametrize("n", [1, 2, 3, 10, 21, 20_000])
+def test_splitters_never_miss(spark, order, n):
+    df = spark.range(n).selectExpr("cast(id * 3 % 1009 as double) as v", "id % 2 as g").orderBy(F.expr(order)).repartitionByRange(11, "v")
+    values = sorted(float(i * 3 % 1009) for i in range(n))
+    for accuracy in (10, 50):
+        (row,) = rows_of(describe(df, [], {"v": "v"}, accuracy=accuracy))
+        assert row["median"] == round(statistics.median(values), 4)
 
 
 def test_building_a_query_starts_no_job(spark):
