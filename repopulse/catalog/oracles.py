@@ -368,7 +368,8 @@ def oracle_sql() -> dict[str, str]:
     narrow = (("shipped", "CAST(epoch_us(l_shipdate) AS DOUBLE)"), ("discount", "(l_discount / 1e4)"))
     sql["stats_narrow"] = _union(
         [
-            f"SELECT l_returnflag, count(*) AS n, '{name}' AS metric, count({x}) AS with_value, {_median(x, 9)} AS median, "
+            f"SELECT l_returnflag, count(*) AS n, '{name}' AS metric, count({x}) AS with_value, "
+            f"{f'round(avg({x}), 9)' if name == 'discount' else 'CAST(NULL AS DOUBLE)'} AS mean, {_median(x, 9)} AS median, "
             f"min({x}) AS min, max({x}) AS max FROM lineitem GROUP BY l_returnflag"
             for name, x in narrow
         ]
@@ -456,6 +457,19 @@ def oracle_sql() -> dict[str, str]:
         "SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS rank "
         "FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 1000"
     )
+    sql["document_split"] = (
+        "SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS pos, 'o/' || o_orderkey AS repo_key, CAST(floor(o_totalprice) AS BIGINT) AS stars, "
+        "o_orderpriority || chr(10) || '    {' AS language FROM orders"
+    )
+    sql["document_sections"] = (
+        "SELECT 'metadata' AS part, 'quantidade_solicitada' AS name, '1000' AS value UNION ALL "
+        "SELECT 'summary', 'com_issues', CAST(count(*) AS VARCHAR) FROM orders"
+    )
+    sql["rank_all"] = "SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders"
+    sql["report_order"] = (
+        "SELECT language_category, metric, n, dense_rank() OVER (ORDER BY n DESC, lower(language_category), language_category) AS report_rank "
+        f"FROM ({sql['stats_by_language']})"
+    )
     complete = "merged_prs IS NOT NULL AND releases IS NOT NULL AND stale_days IS NOT NULL"
     sql["top_groups"] = _with_subject(
         f"SELECT language, count(*) FILTER ({complete}) AS n, "
@@ -542,6 +556,27 @@ def oracle_sql() -> dict[str, str]:
         "count(*) AS returned, count(*) >= 1000 AS complete, CAST(3 AS BIGINT) AS n_definitions FROM orders"
     )
 
+    told = [
+        ("age", "Are popular systems mature?", "createdAt", "(reference - createdAt) / 86400 days; / 365.25 years; 2 decimals",
+         "null: sem_data_criacao; unreadable: data_invalida; row kept, left out of statistics"),
+        ("issues", "What share of issues is closed?", "issues.totalCount, issuesFechadas.totalCount", "closed / total, 4 decimals",
+         "total 0: null and sem_issues; not requested: null and dados_ausentes"),
+        ("age_closed_ratio", "Do older systems close a larger share of issues?", "createdAt, issues.totalCount, issuesFechadas.totalCount",
+         "Pearson coefficient over complete pairs, 4 decimals; share by age band", "pairs with a null are dropped and counted"),
+    ]
+    sql["run_definitions"] = _union(
+        [
+            f"SELECT count(*) AS returned, '{m}' AS metric, '{q}' AS question, '{f}' AS fields, '{x}' AS formula, '{n}' AS missing FROM orders"
+            for m, q, f, x, n in told
+        ]
+    )
+    sql["ranking_provenance"] = (
+        "SELECT 'Documents' AS source, CAST(max(first) AS VARCHAR) AS edition, 'Sources by age' AS title, '' AS url, '2001-01-01' AS published_at, "
+        "'2001-01-02' AS accessed_at, 'first document' AS metric, 'one list for all' AS reason, count(*) AS n_names, "
+        "string_agg(source, ', ' ORDER BY first, source) AS names "
+        "FROM (SELECT source, min(doc_id) AS first FROM documents WHERE source IS NOT NULL GROUP BY source)"
+    )
+
     # data quality
     sql["dq_rows"] = (
         "SELECT 'row_count' AS rule, count(*) AS checked, CAST(CASE WHEN count(*) = 1000 THEN 0 ELSE 1 END AS BIGINT) "

@@ -19,6 +19,7 @@ from repopulse.schemas import RELEASES_TABLE
 from repopulse.sinks.tables import consolidated, metric_table, with_week
 from repopulse.sources import documents as docs
 from repopulse.sources import pages as page_source
+from repopulse.sources import ranking as ranking_source
 from repopulse.sources.tables import parse_metric_lines, quality_columns
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -302,7 +303,8 @@ def stats_narrow(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = S.table(spark, sf_dir, "lineitem")
     shipped = F.unix_micros(F.col("l_shipdate").cast("timestamp"))
     stats = grouping.stats_by_group(lines, "l_returnflag", {"shipped": shipped, "discount": F.col("l_discount") / 1e4}, digits=9)
-    return stats.drop("mean")
+    # The sum of so many points in time is no exact double; the shares' mean has all its decimals.
+    return stats.withColumn("mean", F.when(F.col("metric") == "discount", F.col("mean")))
 
 
 @query
@@ -423,6 +425,20 @@ def top_k_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.withColumn("rank", F.col("rank").cast("long"))
 
 
+@query
+def rank_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order with its place by price: no task sees more than its range."""
+    orders = S.table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    return ranking.ranked_rows(orders, [F.desc("o_totalprice"), F.col("o_orderkey")])
+
+
+@query
+def report_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group rows in the order of the report, as they are stored."""
+    stats = stats_by_language(spark, sf_dir)
+    return grouping.with_report_rank(stats, "language_category").select("language_category", "metric", "n", "report_rank")
+
+
 @query
 def top_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = _language(_stale(S.typed(spark, sf_dir)))
@@ -564,6 +580,47 @@ def consolidated_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.consolidated_from_document(docs.document_records(_documents(spark, sf_dir)))
 
 
+def _indented(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One indented document of all orders, as lines in blocks that cut records anywhere."""
+    orders = S.table(spark, sf_dir, "orders")
+    keys = V.DOCUMENT_KEYS
+    records = orders.select(
+        F.col("o_orderkey").alias("at"),
+        F.array(
+            F.lit("    {"),
+            F.concat(F.lit(f'      "{keys["repo_key"]}": "o/'), F.col("o_orderkey").cast("string"), F.lit('",')),
+            F.concat(F.lit(f'      "{keys["stars"]}": '), F.floor("o_totalprice").cast("string"), F.lit(",")),
+            F.concat(F.lit(f'      "{keys["language"]}": "'), F.col("o_orderpriority"), F.lit('\\n    {"')),
+            F.lit("    },"),
+        ).alias("values"),
+    )
+    head = ["{", f'  "{V.DOCUMENT_METADATA}": {{', '    "quantidade_solicitada": 1000,', '    "ordens": [', "      {}", "    ]", "  },", f'  "{V.DOCUMENT_RECORDS}": [']
+    first = orders.agg(F.lit(-1).cast("long").alias("at"), F.array(*[F.lit(x) for x in head]).alias("values"))
+    counted = F.concat(F.lit('      "com_issues": '), F.count(F.lit(1)).cast("string"))
+    tail = ["  ],", f'  "{V.DOCUMENT_SUMMARY}": {{', '    "rq06": {'], ["    }", "  }", "}"]
+    last = orders.agg(F.max("o_orderkey").alias("at"), counted.alias("n")).select(
+        (F.col("at") + 1).alias("at"), F.array(*[F.lit(x) for x in tail[0]], F.col("n"), *[F.lit(x) for x in tail[1]]).alias("values")
+    )
+    lines = first.unionByName(records).unionByName(last).select("at", F.posexplode("values").alias("i", "value"))
+    place = F.col("at") * 16 + F.col("i")
+    return lines.select(F.lit("orders.json").alias("file"), F.floor(place / 1000).alias("block"), place.alias("line"), "value")
+
+
+@query
+def document_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of one large document that many tasks read."""
+    records = docs.records_of_parts(docs.document_parts(_indented(spark, sf_dir))).drop("file")
+    return docs.records_from_document(records).select(F.col("pos").cast("long").alias("pos"), "repo_key", "stars", "language")
+
+
+@query
+def document_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata and summary of the same document."""
+    whole = docs.document_of_parts(docs.document_parts(_indented(spark, sf_dir)))
+    told = docs.document_metadata(whole, "quantidade_solicitada").select(F.lit("metadata").alias("part"), F.lit("quantidade_solicitada").alias("name"), F.col("quantidade_solicitada").alias("value"))
+    return told.unionByName(docs.document_summary(whole, "rq06").select(F.lit("summary").alias("part"), "name", "value"))
+
+
 def _as_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A consolidated table as it is read back: text, with sentinels and junk.
 
@@ -622,6 +679,28 @@ def run_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def run_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the stored run says of each of its metrics, field by field."""
+    row = run_metadata(S.table(spark, sf_dir, "orders"), S.REFERENCE_AT, "all orders", None, metrics=("age", "issues"))
+    told = row.select("returned", F.inline("definitions"))
+    return told.withColumn("fields", F.concat_ws(", ", "fields"))
+
+
+@query
+def ranking_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All that a ranking says of itself; the ranked names are the sources of documents."""
+    named = S.table(spark, sf_dir, "documents").groupBy("source").agg(F.min("doc_id").alias("first"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("first", "source"))), lambda x: x["source"])
+    document = named.where(F.col("source").isNotNull()).agg(
+        F.lit("Documents").alias("fonte"), F.max("first").cast("string").alias("edicao"), F.lit("Sources by age").alias("titulo"),
+        F.lit(None).cast("string").alias("url"), F.lit("2001-01-01").alias("publicado_em"), F.lit("2001-01-02").alias("acessado_em"),
+        F.lit("first document").alias("metrica"), F.lit("one list for all").alias("justificativa"), listed.alias("linguagens"),
+    )
+    told = ranking_source.ranking_provenance(document)
+    return told.withColumn("names", F.concat_ws(", ", "names"))
+
+
 # --- data quality ----------------------------------------------------------------
 
 

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from repopulse.functions.bands import Band, assign_band, band_table
 from repopulse.functions.text import fold
 from repopulse.operators.distribution import describe
+from repopulse.operators.ranking import ranked_rows
 
 #: Metrics divided by language.
 GROUPED_METRICS = ("merged_prs", "releases", "stale_days")
@@ -24,7 +25,8 @@ def stats_by_group(
 ) -> DataFrame:
     """Long form: ``group, n, metric, with_value, mean, median, min, max``.
 
-    ``n`` counts all rows of the group; the statistics ignore nulls per metric.    """
+    ``n`` counts all rows of the group; the statistics ignore nulls per metric.
+    """
     stats = describe(df, [group], metrics, digits=digits, scale=scale)
     return stats.select(
         group, F.col("rows").alias("n"), "metric", F.col("n").alias("with_value"), "mean", "median", "min", "max"
@@ -36,12 +38,15 @@ def in_report_order(stats: DataFrame, group: str) -> DataFrame:
     return stats.orderBy(F.desc("n"), fold(F.col(group)), group, "metric")
 
 
-def with_report_rank(stats: DataFrame, group: str) -> DataFrame:
+def with_report_rank(stats: DataFrame, group: str, metrics: int = len(GROUPED_METRICS)) -> DataFrame:
     """The report's order as a column ``report_rank``, so that it survives storage.
 
-    The window is over one row for each group and metric."""
-    order = Window.orderBy(F.desc("n"), fold(F.col(group)), group)
-    return stats.withColumn("report_rank", F.dense_rank().over(order))
+    Every group has a row for each of its ``metrics``, so its place is that of its rows
+    divided by their number. The rows are written once and ranked by ranges
+    (:func:`~repopulse.operators.ranking.ranked_rows`), however many groups there are."""
+    order = [F.desc("n"), fold(F.col(group)).asc_nulls_first(), F.col(group).asc_nulls_first(), F.col("metric")]
+    ranked = ranked_rows(stats, order, "report_rank")
+    return ranked.withColumn("report_rank", F.floor((F.col("report_rank") - 1) / metrics) + 1)
 
 
 def banded_stats(

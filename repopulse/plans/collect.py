@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from repopulse import vocabulary as V
@@ -30,6 +30,7 @@ from repopulse.operators.summary import (
     status_counts,
 )
 from repopulse.sinks.tables import write_tables
+from repopulse.sources.ranking import PROVENANCE, ranking_from_document, ranking_provenance
 
 STATUSES = {
     "age": "age_status",
@@ -91,7 +92,7 @@ class Collection:
 
 
 def summarise_records(records: DataFrame) -> Collection:
-    """All summaries the columns of ``records`` allow."""
+    """All summaries the columns of ``records`` allow. Nothing runs yet."""
     have = set(records.columns)
     statuses = {name: F.col(column) for name, column in STATUSES.items() if column in have}
     requested = issues_flag(records)
@@ -107,7 +108,6 @@ def summarise_records(records: DataFrame) -> Collection:
             language = F.col("language") if "language" in have else F.lit(None).cast("string")
             keyed = trusted_counts(records).withColumn("language_group", group_key(F.col("language_category"), language))
             groups = stats_by_group(keyed, "language_group", {m: m for m in GROUPED_METRICS}, scale=4)
-            groups = with_report_rank(groups, "language_group")
 
     pairs = {name: spec for name, spec in CORRELATIONS.items() if set(spec[:2]) <= have}
     correlations = correlate_pairs(records, {name: spec[:2] for name, spec in pairs.items()}) if pairs else None
@@ -129,25 +129,47 @@ def collect(
     criterion: str = "all landed nodes",
     requested: int | None = None,
     available: int | None = None,
+    ranking_document: DataFrame | None = None,
 ) -> Collection:
     """Profile the nodes and summarise them.
 
+    A ``ranking_document`` takes the place of ``ranking`` and ``ranking_source``, and all
+    that it says of itself is stored with the run.
+
     With ``output`` the records are written first and every summary reads the
     written table: the nodes are parsed once, and what summaries need of a node is
     stored beside it, so none of them reads the nodes again; losing an executor never
     repeats the parsing. ``run_metadata`` is written with them: the ``criterion`` of
     the run, how many records were ``requested`` (default: all) and ``available``.
+    Rows are counted as they are written. Group summaries are stored in the order of the report.
     """
+    ranked = None
+    if ranking_document is not None:
+        # One row; its list of names is what a run's ranking consists of.
+        ranked = ranking_provenance(ranking_document).first()
+        ranking, ranking_source = ranking_from_document(ranking_document), f"{ranked['source']} {ranked['edition']}".strip()
     records = profile(nodes, reference_at, metrics, ranking, ranking_source)
     if output is None:
         return summarise_records(records)
-    write_tables({"repositories": with_summary_columns(records)}, output)
+    written = write_tables({"repositories": with_summary_columns(records)}, output)["repositories"]
     stored = summarise_records(nodes.sparkSession.read.parquet(f"{output.rstrip('/')}/repositories"))
-    about = run_metadata(stored.records, reference_at, criterion, requested, available, metrics)
-    write_tables(stored.tables() | {"run_metadata": about.withColumn("ranking_source", F.lit(ranking_source))}, output)
+    if stored.group_summary is not None:
+        stored = replace(stored, group_summary=with_report_rank(stored.group_summary, "language_group"))
+    about = run_metadata(stored.records, reference_at, criterion, requested, available, metrics, returned=written)
+    about = about.withColumns({"ranking_source": F.lit(ranking_source), "ranking": ranking_struct(ranked)})
+    write_tables(stored.tables() | {"run_metadata": about}, output)
     return stored
 
 
+def ranking_struct(row: Row | None) -> Column:
+    """The provenance of a ranking as a struct of literals; a null one for the built-in ranking."""
+    fields = {f.name: f.dataType.simpleString() for f in PROVENANCE}
+    if row is None:
+        return F.lit(None).cast(PROVENANCE)
+    names = {"names": F.array(*[F.lit(n) for n in row["names"]])}
+    return F.struct(*[names.get(f, F.lit(row[f])).cast(kind).alias(f) for f, kind in fields.items()])
+
+
 def run_metadata(
     records: DataFrame,
     reference_at: datetime,
@@ -155,8 +177,11 @@ def run_metadata(
     requested: int | None,
     total_available: int | None = None,
     metrics: Sequence[str] = tuple(METRICS),
+    returned: int | None = None,
 ) -> DataFrame:
-    """One row of provenance: when, what, how many, and what each metric means."""
+    """One row of provenance: when, what, how many, and what each metric means.
+
+    Rows are counted here unless ``returned`` says how many were written."""
     meanings = [(name, m.question, m.fields, m.formula, m.missing) for name, m in METRICS.items() if name in metrics]
     for name, (needed, question, formula, missing) in SUMMARY_DEFINITIONS.items():
         if set(needed) <= set(metrics):
@@ -173,7 +198,11 @@ def run_metadata(
             for name, question, fields, formula, missing in meanings
         ]
     )
-    return records.agg(F.count(F.lit(1)).alias("returned")).select(
+    if returned is None:
+        counted = records.agg(F.count(F.lit(1)).alias("returned"))
+    else:
+        counted = records.sparkSession.range(1).select(F.lit(returned).cast("long").alias("returned"))
+    return counted.select(
         instant_literal(reference_at).alias("collected_at"),
         F.lit(criterion).alias("criterion"),
         F.lit(V.MAX_PAGE_ROWS).alias("page_limit"),

@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repopulse.operators.reconcile import divergence_counts, match_counts, reconcile, reconcile_summary
+from repopulse.operators.metrics import with_summary_columns
+from repopulse.operators.reconcile import divergence_counts, match_counts, reconcile, reconcile_summary, without_raw
 from repopulse.plans.collect import Collection, summarise_records
 from repopulse.sinks.tables import write_tables
 
@@ -40,6 +41,10 @@ def unify(
     if output is not None:
         write_tables({"reconciled": merged}, output)
         merged = a.sparkSession.read.parquet(f"{output.rstrip('/')}/reconciled")
+        if counts_from == "a":
+            # Its summaries read a stored table too, never the nodes again.
+            write_tables({"collection_a": without_raw(with_summary_columns(a))}, output)
+            a = a.sparkSession.read.parquet(f"{output.rstrip('/')}/collection_a")
     unified = Unified(
         merged,
         match_counts(merged),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import SparkSession
 
 #: Settings that matter for results or for skewed input. Sizes (partitions,
@@ -34,6 +36,13 @@ def build_session(app_name: str = "repopulse", master: str | None = None, **sett
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path that driver and executors share: below ``spark.checkpoint.dir``, or
+    in the warehouse where that is not set."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root.rstrip('/')}/repopulse-{name}-{uuid.uuid4().hex}"
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by the cluster for stream checkpoints."""
     root = spark.conf.get("spark.checkpoint.dir", None)

@@ -6,10 +6,11 @@ to one partition stay spread over tasks (``rebalance`` splits what is too large)
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import uuid
+from collections.abc import Callable, Mapping
 from datetime import datetime, timezone
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,10 +19,37 @@ from repopulse.functions.instants import iso_week
 from repopulse.operators.reconcile import without_raw
 
 
-def write_tables(tables: Mapping[str, DataFrame], path: str, fmt: str = "parquet") -> None:
-    """Each table under its name, in ``fmt`` (Parquet or JSON lines)."""
-    for name, table in tables.items():
-        table.write.mode("overwrite").format(fmt).save(f"{path.rstrip('/')}/{name}")
+def counted_write(df: DataFrame, save: Callable[[DataFrame], None]) -> int:
+    """Write ``df`` by ``save`` and return how many rows were written, counted on their way."""
+    seen = Observation()
+    save(df.observe(seen, F.count(F.lit(1)).alias("rows")))
+    return seen.get.get("rows", 0)
+
+
+def write_tables(tables: Mapping[str, DataFrame], path: str, fmt: str = "parquet") -> dict[str, int]:
+    """Each table under its name, in ``fmt`` (Parquet or JSON lines); the rows of each."""
+
+    def save(name: str) -> Callable[[DataFrame], None]:
+        return lambda df: df.write.mode("overwrite").format(fmt).save(f"{path.rstrip('/')}/{name}")
+
+    return {name: counted_write(table, save(name)) for name, table in tables.items()}
+
+
+def _replace_unless_empty(df: DataFrame, path: str, save: Callable[[DataFrame, str], None]) -> int:
+    """Write beside ``path`` and take its place, in one pass; a table without rows leaves
+    what was there as it was."""
+    incoming = f"{path.rstrip('/')}.incoming-{uuid.uuid4().hex}"
+    rows = counted_write(df, lambda counted: save(counted, incoming))
+    jvm = df.sparkSession._jvm.org.apache.hadoop.fs
+    source, target = jvm.Path(incoming), jvm.Path(path.rstrip("/"))
+    files = source.getFileSystem(df.sparkSession._jsc.hadoopConfiguration())
+    if not rows:
+        files.delete(source, True)
+        return 0
+    files.delete(target, True)
+    if not files.rename(source, target):
+        raise OSError(f"{incoming} cannot be moved to {path}")
+    return rows
 
 
 def with_document_keys(records: DataFrame) -> DataFrame:
@@ -100,12 +128,14 @@ def as_csv_text(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return df.select(*columns)
 
 
+def _save_csv(df: DataFrame, path: str) -> None:
+    df.write.options(**_CSV_OPTIONS).csv(path)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """CSV with a header; missing cells are empty. No rows is an error."""
-    table = without_raw(df)
-    if table.isEmpty():
+    if not _replace_unless_empty(as_csv_text(without_raw(df)), path, _save_csv):
         raise ValueError("there are no rows to export as CSV")
-    as_csv_text(table).write.mode("overwrite").options(**_CSV_OPTIONS).csv(path)
 
 
 def consolidated_columns(
@@ -144,10 +174,7 @@ def consolidated(records: DataFrame) -> DataFrame:
 
 def write_consolidated(table: DataFrame, path: str) -> bool:
     """Write the consolidated table; nothing is written for no rows."""
-    if table.isEmpty():
-        return False
-    table.write.mode("overwrite").options(**_CSV_OPTIONS).csv(path)
-    return True
+    return _replace_unless_empty(table, path, _save_csv) > 0
 
 
 def metric_table(ranked: DataFrame, columns: Mapping[str, str]) -> DataFrame:

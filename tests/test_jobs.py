@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from datetime import datetime, timezone
 
 import pytest
@@ -188,6 +189,30 @@ def test_document_parts(spark, document):
     assert [r["raw"] is None for r in records] == [False, True, True, True]
 
 
+@pytest.mark.parametrize("block", [60, 400, 1 << 20])
+def test_an_indented_document_is_split(spark, tmp_path, block):
+    body = {**DOCUMENT, "repositorios": [{**r, "n": i, "x": ["    {", {"y": [{}]}]} for i in range(40) for r in DOCUMENT["repositorios"]], "lista": [{"a": 1}, {"b": "  \\n"}]}
+    (tmp_path / "docs").mkdir()
+    (tmp_path / "docs" / "a.json").write_text(json.dumps(body, indent=2, ensure_ascii=False), "utf-8")
+    (tmp_path / "docs" / "b.json").write_text(json.dumps({**DOCUMENT, "repositorios": []}, indent=2), "utf-8")
+    (tmp_path / "docs" / "c.json").write_text(json.dumps(DOCUMENT, indent=2).replace("\n", "\r\n"), "utf-8")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(block))
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        parts = docs.read_document_parts(spark, str(tmp_path / "docs"))
+        split = sorted((r["pos"], str(r["record"])) for r in docs.records_of_parts(parts).collect())
+        heads = docs.document_of_parts(parts)
+        requested = [r[0] for r in docs.document_metadata(heads, "quantidade_solicitada").collect()]
+        summary = [tuple(r) for r in docs.document_summary(heads, "rq06").collect()]
+    finally:
+        for key, value in old.items():
+            spark.conf.set(key, value)
+    whole = docs.document_records(docs.read_document(spark, str(tmp_path / "docs")))
+    assert split == sorted((r["pos"], str(r["record"])) for r in whole.collect())
+    assert (requested, summary) == (["4"] * 3, [("com_issues", "2")] * 3)
+
+
 def test_document_without_records(spark, tmp_path):
     (tmp_path / "d.json").write_text("{}", "utf-8")
     assert docs.document_records(docs.read_document(spark, str(tmp_path / "d.json"))).count() == 0
@@ -275,8 +300,12 @@ def test_no_summary_of_a_stored_run_reads_a_node(spark, landed, tmp_path):
     for name, table in stored.tables().items():
         plan = table._jdf.queryExecution().executedPlan().toString()
         assert "raw#" not in plan, name
+        table = table.drop("report_rank")
         assert sorted(map(str, table.collect())) == sorted(map(str, plain.tables()[name].collect())), name
+    groups = sorted(spark.read.parquet(f"{out}/group_summary").collect(), key=lambda r: (r["report_rank"], r["metric"]))
+    assert [(r["report_rank"], r["language_group"]) for r in groups[::3]] == [(1, "Go"), (2, V.NO_LANGUAGE)]
     about = spark.read.parquet(f"{out}/run_metadata").first()
+    assert about.ranking is None
     assert {"group_summary", "age_closed_ratio", "prs_releases"} <= {d.metric for d in about.definitions}
     assert (about.criterion, about.requested, about.returned, about.total_available, about.complete) == ("stars", 5, 3, 77, False)
 
@@ -294,3 +323,59 @@ def test_a_stored_union_has_its_counts(spark, landed, tmp_path):
     assert spark.read.parquet(f"{out}/reconciled").count() == 4
     about = spark.read.parquet(f"{out}/run_metadata").first()
     assert (about.criterion_a, about.counts_from, about.n_union) == ("stars of a", "reconciled", 4)
+
+
+def jobs_of(spark, run):
+    """How many jobs an action starts."""
+    group = f"count-{uuid.uuid4().hex}"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        run()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_rows_are_counted_as_they_are_written(spark, tmp_path):
+    df = spark.range(1000).selectExpr("id", "id % 7 as g")
+    assert sinks.write_tables({"a": df, "b": df.limit(0), "c": df.where("g = 3")}, str(tmp_path)) == {"a": 1000, "b": 0, "c": 143}
+    # One scan and no shuffle: one job each, as without counting.
+    assert jobs_of(spark, lambda: sinks.write_tables({"a": df}, str(tmp_path))) == 1
+    assert jobs_of(spark, lambda: sinks.write_csv(df, str(tmp_path / "csv"))) == 1
+    assert jobs_of(spark, lambda: sinks.write_consolidated(df, str(tmp_path / "all"))) == 1
+    assert spark.read.csv(str(tmp_path / "csv"), header=True).count() == 1000
+    # Nothing to write leaves what is there.
+    with pytest.raises(ValueError, match="no rows"):
+        sinks.write_csv(df.where("g > 9"), str(tmp_path / "csv"))
+    assert sinks.write_consolidated(df.where("g > 9"), str(tmp_path / "all")) is False
+    assert spark.read.csv(str(tmp_path / "all"), header=True).count() == spark.read.csv(str(tmp_path / "csv"), header=True).count() == 1000
+    sinks.write_csv(df.where("g = 1"), str(tmp_path / "csv"))
+    assert spark.read.csv(str(tmp_path / "csv"), header=True).count() == 143
+    assert not [p for p in tmp_path.iterdir() if "incoming" in p.name]
+
+
+def test_a_run_stores_what_its_ranking_says(spark, landed, tmp_path):
+    body = {"fonte": "Survey", "edicao": "2025", "titulo": "T", "url": "https://example.org", "publicado_em": "2025-01-01",
+            "acessado_em": "2026-01-01", "metrica": "m", "justificativa": "j", "linguagens": ["Go", "C#"]}
+    (tmp_path / "r.json").write_text(json.dumps(body), "utf-8")
+    document = ranking_source.read_ranking_document(spark, str(tmp_path / "r.json"))
+    nodes = page_source.explode_nodes(page_source.read_pages(spark, str(landed)))
+    out = str(tmp_path / "run")
+    collect(nodes, REF, output=out, ranking_document=document)
+    about = spark.read.parquet(f"{out}/run_metadata").first()
+    assert (about.returned, about.complete, about.ranking_source) == (3, True, "Survey 2025")
+    assert list(about.ranking.asDict().values()) == [*list(body.values())[:8], 2, ["Go", "C#"]]
+    assert {r["popularity_rank"] for r in spark.read.parquet(f"{out}/repositories").collect()} == {1, None}
+
+
+def test_a_union_reads_stored_records(spark, landed, tmp_path):
+    nodes = page_source.explode_nodes(page_source.read_pages(spark, str(landed)))
+    a = M.profile(nodes.withColumn("pos", F.col("pos").cast("long")), REF)
+    b = spark.createDataFrame(
+        [("a/1", 0, 90, 2422, 6.63, 11, 2)],
+        "repo_key string, pos long, stars long, age_whole_days long, age_years double, merged_prs long, releases long",
+    )
+    lazy, stored = unify(a, b), unify(a, b, output=str(tmp_path / "u"))
+    for name, table in stored.collection.tables().items():
+        assert "raw#" not in table._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(str, table.collect())) == sorted(map(str, lazy.collection.tables()[name].collect())), name

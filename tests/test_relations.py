@@ -180,3 +180,18 @@ def test_difference_and_conservation(spark):
     assert as_map(quality.conservation("sum", stored, "n", total, "t")) == {"sum": (3, 0)}
     assert as_map(quality.conservation("sum", fresh, "n", total, "t")) == {"sum": (3, 1)}
     assert as_map(quality.conservation("none", stored.limit(0), "n", total.limit(0), "t")) == {"none": (0, 0)}
+
+
+@pytest.mark.parametrize("coalesce", ["true", "false"])
+def test_ranked_rows_have_every_place_once(spark, coalesce):
+    df = spark.range(5000).selectExpr("id", "cast(if(id % 3 = 0, 1, id % 11) as double) as v", "if(id % 5 = 0, null, id) as t", "1 as _x").repartition(9)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
+    try:
+        found = ranking.ranked_rows(df, [F.desc("v"), F.col("t").asc_nulls_last(), F.col("id")], "place")
+        assert found.columns == ["id", "v", "t", "_x", "place"]
+        rows = found.collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    plain = sorted(rows, key=lambda r: (-r["v"], r["t"] is None, r["t"] or 0, r["id"]))
+    assert [r["place"] for r in plain] == list(range(1, 5001))
+    assert ranking.ranked_rows(df.limit(0), [F.col("id")]).count() == 0
