@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repopulse.llm.terms import Terms, fitting_rows, padded, telling_bins
+from repopulse.llm.terms import Terms, fitting_rows, picked, placed_texts, ragged, sums, telling_bins
 
 #: Rated documents the model is fitted on at most (those of smallest text hash); terms are counted over all.
 FIT_ROWS = 20_000
@@ -32,9 +32,10 @@ class OrdinalModel:
     weights: np.ndarray
     thresholds: np.ndarray
 
-    def exceeding(self, rows: np.ndarray) -> np.ndarray:
-        """P(grade > k) for each k below the top grade."""
-        return _sigmoid(self.weights[rows].sum(1)[:, None] - self.thresholds[None, :])
+    def exceeding(self, flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """P(grade > k) for each k below the top grade; the terms of documents follow one
+        another, ``counts`` of them each."""
+        return _sigmoid(sums(self.weights[flat], counts)[:, None] - self.thresholds[None, :])
 
 
 def _ordered(free: np.ndarray) -> np.ndarray:
@@ -53,26 +54,15 @@ def fit_ordinal(places: dict[int, int], rows: list[list[int]], grades: np.ndarra
     first = np.log(share / (1 - share))
     steps = np.maximum(np.diff(first), 1e-3)
     free = np.concatenate([first[:1], np.log(steps)])
-    w = np.zeros(n + 1)
-    g_w, g_free = np.full(n + 1, 1e-6), np.full(len(free), 1e-6)
+    w = np.zeros(n)
+    g_w, g_free = np.full(n, 1e-6), np.full(len(free), 1e-6)
+    flat, counts = ragged(rows)
     rng = np.random.default_rng(seed)
     for _ in range(_EPOCHS if len(rows) and n else 0):
         for at in np.array_split(rng.permutation(len(rows)), max(1, len(rows) // _BATCH)):
-            x, y = padded([rows[i] for i in at], n), grades[at]
-            t = _ordered(free)
-            cum = _sigmoid(np.concatenate([np.full((len(y), 1), -np.inf), t[None, :] - w[x].sum(1)[:, None], np.full((len(y), 1), np.inf)], 1))
-            i = np.arange(len(y))
-            low, high = cum[i, y], cum[i, y + 1]
-            p = np.maximum(high - low, 1e-9)
-            slope_low, slope_high = low * (1 - low), high * (1 - high)
-            e = (slope_high - slope_low) / p / len(y)  # of minus the log likelihood, by x.w
-            d_w = np.bincount(x.ravel(), np.repeat(e, x.shape[1]), n + 1) + _DECAY * w
-            d_w[n] = 0
-            d_t = np.zeros(levels + 1)
-            np.add.at(d_t, y + 1, -slope_high / p / len(y))
-            np.add.at(d_t, y, slope_low / p / len(y))
-            tail = np.cumsum(d_t[1:levels][::-1])[::-1]
-            d_free = tail * np.concatenate([[1.0], np.exp(free[1:])])
+            x, own = picked(flat, counts, at)
+            d_w, d_free = gradient(w, free, x, own, grades[at])
+            d_w += _DECAY * w
             g_w += d_w**2
             g_free += d_free**2
             w -= _RATE * d_w / np.sqrt(g_w)
@@ -80,6 +70,23 @@ def fit_ordinal(places: dict[int, int], rows: list[list[int]], grades: np.ndarra
     return OrdinalModel(places, w, _ordered(free))
 
 
+def gradient(w: np.ndarray, free: np.ndarray, flat: np.ndarray, counts: np.ndarray, grades: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the mean of minus the log likelihood, by the weights and by what the thresholds are made of."""
+    levels, y = len(free) + 1, grades
+    inner = _ordered(free)[None, :] - sums(w[flat], counts)[:, None]
+    cum = _sigmoid(np.concatenate([np.full((len(y), 1), -np.inf), inner, np.full((len(y), 1), np.inf)], 1))
+    i = np.arange(len(y))
+    low, high = cum[i, y], cum[i, y + 1]
+    p = np.maximum(high - low, 1e-9)
+    slope_low, slope_high = low * (1 - low), high * (1 - high)
+    e = (slope_high - slope_low) / p / len(y)
+    d_t = np.zeros(levels + 1)
+    np.add.at(d_t, y + 1, -slope_high / p / len(y))
+    np.add.at(d_t, y, slope_low / p / len(y))
+    tail = np.cumsum(d_t[1:levels][::-1])[::-1]
+    return np.bincount(flat, np.repeat(e, counts), len(w)), tail * np.concatenate([[1.0], np.exp(free[1:])])
+
+
 def train_ordinal(rated: DataFrame, levels: int, counted: DataFrame | None = None) -> OrdinalModel:
     """Fit on ``rated`` (text, grade from 0 to ``levels`` - 1); rows without a grade
     are left out, grades beyond the range count as its ends. Terms are chosen by all
@@ -93,11 +100,10 @@ def train_ordinal(rated: DataFrame, levels: int, counted: DataFrame | None = Non
 
 
 def _rated(batches: Iterator[pa.RecordBatch], model: OrdinalModel, wanted: int, at: int) -> Iterator[pa.RecordBatch]:
-    terms, empty = Terms(model.places), len(model.places)
+    terms = Terms(model.places)
     for batch in batches:
-        rows = [sorted(terms.of(x)) for x in batch.column(at).to_pylist()]
-        above = [model.exceeding(padded(rows[i : i + 512], empty)) for i in range(0, len(rows), 512)]
-        above = np.concatenate(above or [np.zeros((0, len(model.thresholds)))])
+        above = [model.exceeding(*own) for own in placed_texts(terms, batch.column(at))]
+        above = np.concatenate([np.zeros((0, len(model.thresholds))), *above])
         yield pa.RecordBatch.from_arrays(
             [*batch.columns, pa.array(above.sum(1)), pa.array(np.ascontiguousarray(above[:, wanted - 1]))],
             [*batch.schema.names, "expected_grade", "tail_probability"],

@@ -60,7 +60,7 @@ def fingerprint(text: str | None, words: int = 4) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        values = np.array([fingerprint(x, words) for x in batch.column(1).to_pylist()], np.uint64)
+        values = np.fromiter((fingerprint(x.as_py(), words) for x in batch.column(1)), np.uint64, batch.num_rows)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], ["doc_id", "fp"])
 
 

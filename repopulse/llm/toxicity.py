@@ -16,12 +16,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from repopulse.llm.storage import checked, store
-from repopulse.llm.terms import Terms, fitting_rows, packed_terms, padded, telling_bins
+from repopulse.llm.terms import Terms, fitting_rows, id_bit, id_map, packed_terms, picked, placed_texts, ragged, sums, telling_bins
 
 #: Labelled documents that weights are fitted on at most (those of smallest id hash); terms are counted over all.
 FIT_ROWS = 20_000
-#: Documents that are scored at once.
-_AT_ONCE = 64
 _FACTORS, _EPOCHS, _BATCH, _RATE, _DECAY = 8, 15, 256, 0.1, 1e-5
 
 
@@ -32,42 +30,50 @@ class FactorizationMachine:
     linear: np.ndarray
     factors: np.ndarray
 
-    def margins(self, rows: np.ndarray) -> np.ndarray:
-        """Log odds of padded rows; the last place stands for no term."""
-        v = self.factors[rows]
-        pairs = 0.5 * (v.sum(1) ** 2 - (v**2).sum(1)).sum(1)
-        return self.bias + self.linear[rows].sum(1) + pairs
+    def margins(self, flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Log odds of documents; their terms follow one another, ``counts`` of them each."""
+        v = self.factors[flat]
+        pairs = 0.5 * ((sums(v, counts) ** 2).sum(1) - sums((v * v).sum(1), counts))
+        return self.bias + sums(self.linear[flat], counts) + pairs
 
 
 def fit_machine(places: dict[int, int], rows: list[list[int]], toxic: np.ndarray, seed: int = 11) -> FactorizationMachine:
     """AdaGrad on the logistic loss, both classes weighing as they occur."""
     n = len(places)
     rng = np.random.default_rng(seed)
-    linear, factors = np.zeros(n + 1), rng.normal(0, 0.02, (n + 1, _FACTORS))
-    factors[n] = 0
+    linear, factors = np.zeros(n), rng.normal(0, 0.02, (n, _FACTORS))
+    flat, counts = ragged(rows)
     rate = min(max((toxic.sum() + 0.5) / (len(toxic) + 1), 1e-4), 1 - 1e-4) if len(toxic) else 0.01
     bias = float(np.log(rate / (1 - rate)))
-    g_bias, g_linear, g_factors = 1e-6, np.full(n + 1, 1e-6), np.full((n + 1, _FACTORS), 1e-6)
+    g_bias, g_linear, g_factors = 1e-6, np.full(n, 1e-6), np.full((n, _FACTORS), 1e-6)
     for _ in range(_EPOCHS if len(rows) and n else 0):
         for at in np.array_split(rng.permutation(len(rows)), max(1, len(rows) // _BATCH)):
-            x, y = padded([rows[i] for i in at], n), toxic[at]
-            v = factors[x]
-            total = v.sum(1)
-            m = bias + linear[x].sum(1) + 0.5 * (total**2 - (v**2).sum(1)).sum(1)
-            e = (1 / (1 + np.exp(-np.clip(m, -30, 30))) - y) / len(y)
-            d_linear = np.bincount(x.ravel(), np.repeat(e, x.shape[1]), n + 1) + _DECAY * linear
-            d_v = (e[:, None, None] * (total[:, None, :] - v)).reshape(-1, _FACTORS)
-            d_factors = np.stack([np.bincount(x.ravel(), d_v[:, k], n + 1) for k in range(_FACTORS)], 1) + _DECAY * factors
-            d_linear[n] = d_factors[n] = 0
+            (x, own), y = picked(flat, counts, at), toxic[at]
+            d_bias, d_linear, d_factors = gradient(bias, linear, factors, x, own, y)
+            d_linear += _DECAY * linear
+            d_factors += _DECAY * factors
             g_linear += d_linear**2
             g_factors += d_factors**2
-            g_bias += e.sum() ** 2
+            g_bias += d_bias**2
             linear -= _RATE * d_linear / np.sqrt(g_linear)
             factors -= 0.5 * _RATE * d_factors / np.sqrt(g_factors)
-            bias -= _RATE * e.sum() / np.sqrt(g_bias)
+            bias -= _RATE * d_bias / np.sqrt(g_bias)
     return FactorizationMachine(places, bias, linear, factors)
 
 
+def gradient(
+    bias: float, linear: np.ndarray, factors: np.ndarray, flat: np.ndarray, counts: np.ndarray, toxic: np.ndarray
+) -> tuple[float, np.ndarray, np.ndarray]:
+    """Of the mean logistic loss of documents by bias, linear weights and factors."""
+    v = factors[flat]
+    total = sums(v, counts)
+    m = bias + sums(linear[flat], counts) + 0.5 * ((total**2).sum(1) - sums((v * v).sum(1), counts))
+    e = (1 / (1 + np.exp(-np.clip(m, -30, 30))) - toxic) / len(toxic)
+    d_v = np.repeat(e, counts)[:, None] * (np.repeat(total, counts, axis=0) - v)
+    by_term = [np.bincount(flat, d_v[:, k], len(linear)) for k in range(factors.shape[1])]
+    return e.sum(), np.bincount(flat, np.repeat(e, counts), len(linear)), np.stack(by_term, 1)
+
+
 def train(labelled: DataFrame, counted: DataFrame | None = None) -> FactorizationMachine:
     """Fit on ``labelled`` (text, toxic). Rows without a label are left out; without
     any labelled row the machine says the same for every text. Terms are chosen by
@@ -81,10 +87,9 @@ def train(labelled: DataFrame, counted: DataFrame | None = None) -> Factorizatio
 
 
 def _scored(batches: Iterator[pa.RecordBatch], machine: FactorizationMachine, at: int) -> Iterator[pa.RecordBatch]:
-    terms, empty = Terms(machine.places), len(machine.places)
+    terms = Terms(machine.places)
     for batch in batches:
-        rows = [sorted(terms.of(x)) for x in batch.column(at).to_pylist()]
-        m = np.concatenate([machine.margins(padded(rows[i : i + _AT_ONCE], empty)) for i in range(0, len(rows), _AT_ONCE)] or [np.zeros(0)])
+        m = np.concatenate([np.zeros(0), *[machine.margins(*own) for own in placed_texts(terms, batch.column(at))]])
         score = pa.array(1 / (1 + np.exp(-np.clip(m, -40, 40))))
         yield pa.RecordBatch.from_arrays([*batch.columns, score], [*batch.schema.names, "score"])
 
@@ -125,11 +130,18 @@ def _known(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
 
 def labelled_terms(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """Packed bins and labels of all labelled ids outside the held-out third; labels
-    count as in ``learning_rows``. Two bytes a term are joined, never texts."""
-    texts = checked(docs, id_col, text_col).where(F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
+    count as in ``learning_rows``. Two bytes a term are joined, never texts.
+
+    Texts that a map of the labelled ids (two megabytes at any size) shows to have no label
+    are left out before their terms are made; the join decides on the rest. It is
+    a merge join at any size, so a larger table brings no other plan.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
-    bins = texts.mapInArrow(packed_terms, f"id {kind}, bins binary")
-    return bins.join(_known(labels, id_col, label_col), "id").select("bins", F.col("label").alias(label_col))
+    known = store(_known(labels, id_col, label_col).select(F.col("id").cast(kind).alias("id"), "label"), "known")
+    wanted = id_map(known.select("id"))
+    texts = checked(docs, id_col, text_col).where(F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
+    bins = texts.select(id_col, text_col, id_bit(F.col(id_col)).alias("bit")).mapInArrow(lambda b: packed_terms(b, wanted), f"id {kind}, bins binary")
+    return bins.join(known.hint("merge"), "id").select("bins", F.col("label").alias(label_col))
 
 
 def held_out(doc_id: Column) -> Column:

@@ -27,7 +27,10 @@ from repopulse.llm.terms import BINS, Terms, unpacked
 from repopulse.llm.token_counts import Counter as TokenCounter
 from repopulse.llm.token_counts import UnigramVocabulary, count_tokens, sentencepiece_vocabulary
 from repopulse.llm.token_files import encode_documents
-from repopulse.llm.toxicity import held_out, labelled_terms, learning_rows, score_documents, train
+from repopulse.llm import ordinal, toxicity
+from repopulse.llm.subwords import Parts
+from repopulse.llm.terms import id_map, ragged
+from repopulse.llm.toxicity import FactorizationMachine, held_out, labelled_terms, learning_rows, score_documents, train
 
 BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, target string, score string, label string, count long, fp long"
@@ -324,6 +327,65 @@ def test_pairs_of_terms_are_learnt(graded, docs, nothing):
     assert len({r.score for r in score_documents(docs, blind).collect()}) == 1
 
 
+def test_margins_and_gradients_are_those_of_plain_loops():
+    rng = np.random.default_rng(4)
+    rows = [sorted(rng.choice(12, rng.integers(0, 9), replace=False).tolist()) for _ in range(15)] + [[], list(range(12))]
+    flat, counts = ragged(rows)
+    toxic, grades = rng.integers(0, 2, len(rows)).astype(float), rng.integers(0, 3, len(rows))
+    bias, linear, factors = 0.3, rng.normal(0, 0.5, 12), rng.normal(0, 0.5, (12, 3))
+
+    def plain(b, w, v):
+        pairs = [sum(float(v[i] @ v[j]) for k, i in enumerate(x) for j in x[k + 1 :]) for x in rows]
+        return np.array([b + sum(w[i] for i in x) + p for x, p in zip(rows, pairs, strict=True)])
+
+    machine = FactorizationMachine({}, bias, linear, factors)
+    np.testing.assert_allclose(machine.margins(flat, counts), plain(bias, linear, factors), atol=1e-12)
+
+    def loss(b, w, v):
+        m = plain(b, w, v)
+        return np.mean(np.log1p(np.exp(m)) - toxic * m)
+
+    def likelihood(w, free):
+        t = np.concatenate([[-40.0], np.cumsum([free[0], *np.exp(free[1:])]), [40.0]])
+        s = np.array([sum(w[i] for i in x) for x in rows])
+        return -np.mean(np.log(1 / (1 + np.exp(s - t[grades + 1])) - 1 / (1 + np.exp(s - t[grades]))))
+
+    def slope(f, x):
+        out = np.zeros_like(x)
+        for i in np.ndindex(x.shape):
+            step = np.zeros_like(x)
+            step[i] = 1e-6
+            out[i] = (f(x + step) - f(x - step)) / 2e-6
+        return out
+
+    d_bias, d_linear, d_factors = toxicity.gradient(bias, linear, factors, flat, counts, toxic)
+    np.testing.assert_allclose(d_bias, slope(lambda b: loss(b[0], linear, factors), np.array([bias]))[0], atol=1e-7)
+    np.testing.assert_allclose(d_linear, slope(lambda w: loss(bias, w, factors), linear), atol=1e-7)
+    np.testing.assert_allclose(d_factors, slope(lambda v: loss(bias, linear, v), factors), atol=1e-7)
+    free = np.array([-0.4, 0.2])
+    d_w, d_free = ordinal.gradient(linear, free, flat, counts, grades)
+    np.testing.assert_allclose(d_w, slope(lambda w: likelihood(w, free), linear), atol=1e-7)
+    np.testing.assert_allclose(d_free, slope(lambda f: likelihood(linear, f), free), atol=1e-7)
+
+
+def test_only_labelled_texts_are_cut_into_terms(spark):
+    ids = spark.range(0, 5000, 7).withColumn("toxic", (F.col("id") % 2).cast("int"))
+    docs = spark.range(6000).selectExpr("id as doc_id", "concat('word', id) as text")
+    found = labelled_terms(docs, ids.withColumnRenamed("id", "doc_id"))
+    assert found.count() == ids.where(~held_out(F.col("id"))).count()
+    bits = id_map(ids.select("id"))
+    assert int(np.unpackbits(bits).sum()) >= ids.count() - 2
+
+
+def test_words_are_forgotten_by_generation():
+    parts = Parts(3)
+    for i in range(10):
+        parts.put(str(i), bytes([i]))
+        assert parts.get("0") == (b"\0" if i < 9 else parts.get("0"))
+    assert parts.of(["9", "x"]) == [b"\x09", None]
+    assert len(parts._new) + len(parts._old) <= 6
+
+
 def test_learning_rows(spark, docs):
     labels = spark.createDataFrame([(i, i % 2, "x") for i in range(17)] + [(4, 1, "x"), (None, 1, "x"), (6, None, "x")], "doc_id long, toxic int, text string")
     out = {i for i in range(17) if zlib.crc32(str(i).encode()) % 3 == 1}
