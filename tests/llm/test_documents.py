@@ -28,7 +28,6 @@ from repopulse.llm.token_counts import Counter as TokenCounter
 from repopulse.llm.token_counts import UnigramVocabulary, count_tokens, sentencepiece_vocabulary
 from repopulse.llm.token_files import encode_documents
 from repopulse.llm import ordinal, toxicity
-from repopulse.llm.subwords import Parts
 from repopulse.llm.terms import id_map, ragged
 from repopulse.llm.toxicity import FactorizationMachine, held_out, labelled_terms, learning_rows, score_documents, train
 
@@ -377,15 +376,6 @@ def test_only_labelled_texts_are_cut_into_terms(spark):
     assert int(np.unpackbits(bits).sum()) >= ids.count() - 2
 
 
-def test_words_are_forgotten_by_generation():
-    parts = Parts(3)
-    for i in range(10):
-        parts.put(str(i), bytes([i]))
-        assert parts.get("0") == (b"\0" if i < 9 else parts.get("0"))
-    assert parts.of(["9", "x"]) == [b"\x09", None]
-    assert len(parts._new) + len(parts._old) <= 6
-
-
 def test_learning_rows(spark, docs):
     labels = spark.createDataFrame([(i, i % 2, "x") for i in range(17)] + [(4, 1, "x"), (None, 1, "x"), (6, None, "x")], "doc_id long, toxic int, text string")
     out = {i for i in range(17) if zlib.crc32(str(i).encode()) % 3 == 1}
