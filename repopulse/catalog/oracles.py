@@ -675,4 +675,30 @@ def oracle_sql() -> dict[str, str]:
         "SELECT 'groups_add_up' AS rule, count(*) AS checked, CAST(0 AS BIGINT) AS failed FROM subject UNION ALL "
         f"SELECT 'bands_add_up', {n_pairs}, 0 FROM subject UNION ALL SELECT 'pairs_add_up', count(*), 0 FROM subject"
     )
+    sql["dq_parts_lost"] = (
+        "SELECT 'flags_add_up' AS rule, count(*) AS checked, count(*) FILTER (l_returnflag IS NULL) AS failed FROM lineitem "
+        "UNION ALL SELECT 'bands_lose_large', count(*), count(*) FILTER (l_quantity >= 40) FROM lineitem "
+        "UNION ALL SELECT 'returned_bands_lose_large', count(*), count(*) FILTER (l_quantity >= 40) FROM lineitem "
+        "WHERE l_returnflag = 'R'"
+    )
+    cell = "SELECT '{t}' AS table_name, {key} AS key, '{c}' AS column_name, '{kind}' AS difference, {old} AS stored, {new} AS fresh FROM {of}"
+    group_key = "'[\"' || l_returnflag || '\",\"quantity\"]'"
+    text = "CAST({} AS VARCHAR)".format
+    gone = [
+        cell.format(t="groups", key=group_key, c=c, kind="missing_in_stored", old="NULL", new=text(c), of="groups") + " WHERE l_returnflag = 'A'"
+        for c in ("n", "with_value", "mean", "median", "min", "max")
+    ]
+    changed = [
+        cell.format(t="groups", key=group_key, c="n", kind="value", old=text("n + 1"), new=text("n"), of="groups") + " WHERE l_returnflag = 'R'",
+        cell.format(t="bands", key="'[\"3\"]'", c="median", kind="value", old="NULL", new=text("median"), of="bands")
+        + " WHERE band_no = 3 AND median IS NOT NULL",
+        cell.format(t="correlations", key="'[\"quantity_price\"]'", c="strength", kind="value", old="'?'", new=_strength("r"), of="pair"),
+        cell.format(t="summary", key="'[\"quantity\"]'", c="max", kind="value", old=text("max + 0.5"), new=text("max"), of="whole"),
+    ]
+    sql["summary_cells"] = (
+        f"WITH groups AS ({_grouped('l_returnflag', 'l_quantity', 'lineitem', scale=2)}), "
+        f"bands AS ({_banded('l_quantity', 'l_extendedprice', _RELEASES, 'lineitem')}), "
+        f"pair AS (SELECT {_corr('l_quantity', 'l_extendedprice')} AS r FROM lineitem), "
+        f"whole AS ({_summary('l_quantity', 4, 'lineitem')}) " + _union(gone + changed)
+    )
     return sql

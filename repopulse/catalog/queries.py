@@ -786,18 +786,52 @@ def dq_summary_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def dq_conservation(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = _records(spark, sf_dir).select("language_category", "age_years", "closed_ratio")
-    groups = summary.category_histogram(records, "language_category")
-    pairs = correlation.correlate(records, "age_years", "closed_ratio")
-    bands = grouping.banded_stats(records, F.col("age_years"), F.col("closed_ratio"), V.AGE_BANDS, scale=4)
-    return (
-        quality.conservation("groups_add_up", groups, "n", pairs, "total")
-        .unionByName(quality.conservation("bands_add_up", bands, "n", pairs, "pairs_used"))
-        .unionByName(
-            quality.conservation(
-                "pairs_add_up",
-                pairs.select((F.col("pairs_used") + F.col("pairs_dropped")).alias("n")), "n", pairs, "total",
-            )
-        )
+    used = F.col("age_years").isNotNull() & F.col("closed_ratio").isNotNull()
+    return quality.conserved(
+        records,
+        {
+            "groups_add_up": (F.lit(True), F.col("language_category")),
+            "bands_add_up": (used, assign_band(F.col("age_years"), V.AGE_BANDS)),
+            "pairs_add_up": (F.lit(True), used),
+        },
+    )
+
+
+@query
+def dq_parts_lost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three divisions of the order lines, two of which lose the large quantities."""
+    lines = S.table(spark, sf_dir, "lineitem")
+    few = F.when(F.col("l_quantity") < 40, F.floor(F.col("l_quantity") / 10))
+    return quality.conserved(
+        lines,
+        {
+            "flags_add_up": (F.lit(True), F.col("l_returnflag")),
+            "bands_lose_large": (F.lit(True), few),
+            "returned_bands_lose_large": (F.col("l_returnflag") == "R", few),
+        },
+    )
+
+
+@query
+def summary_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored summaries of four kinds against recomputed ones, cell by cell. The stored ones are
+    changed in known places: a group's row is gone, a median is null, a label and a maximum differ."""
+    lines = S.table(spark, sf_dir, "lineitem").select("l_returnflag", "l_quantity", "l_extendedprice")
+    quantity, price = F.col("l_quantity"), F.col("l_extendedprice")
+    groups = grouping.stats_by_group(lines, "l_returnflag", {"quantity": quantity}, scale=2)
+    bands = grouping.banded_stats(lines, quantity, price, V.RELEASE_BANDS, scale=2)
+    pairs = correlation.correlate_pairs(lines, {"quantity_price": ("l_quantity", "l_extendedprice")})
+    whole = summary.summarise(lines, {"quantity": quantity}, scale=2)
+
+    stored_groups = groups.where("l_returnflag <> 'A'").withColumn("n", F.col("n") + F.when(F.col("l_returnflag") == "R", 1).otherwise(0))
+    stored_bands = bands.withColumn("median", F.when(F.col("band_no") != 3, F.col("median")))
+    return quality.differing_cells(
+        {
+            "groups": (stored_groups, groups, ["l_returnflag", "metric"]),
+            "bands": (stored_bands, bands, ["band_no"]),
+            "correlations": (pairs.withColumn("strength", F.lit("?")), pairs, ["pair"]),
+            "summary": (whole.withColumn("max", F.col("max") + 0.5), whole, ["metric"]),
+        }
     )
 
 

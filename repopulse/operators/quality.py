@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from repopulse import vocabulary as V
@@ -159,6 +159,80 @@ def difference(stored: DataFrame, recomputed: DataFrame) -> DataFrame:
     return missing.unionByName(recomputed.select(*columns).exceptAll(stored).withColumn("only_in", F.lit("recomputed")))
 
 
+def cells(table: str, summary: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """A summary cell by cell: ``table_name, key, column_name, value``.
+
+    ``key`` is a JSON list of the row's key values (nulls stay null), ``value`` the cell as text.
+    A key that occurs again has the number of the occurrence behind it, so that repeated rows
+    do not hide each other."""
+    values = [c for c in summary.columns if c not in keys]
+    texts = [F.col(c).cast("string") for c in values]
+    key = F.to_json(F.array(*[F.col(k).cast("string") for k in keys])) if keys else F.lit("[]")
+    turn = F.row_number().over(Window.partitionBy("_key").orderBy("_values"))
+    rows = summary.select(key.alias("_key"), F.array(*texts).alias("_values")).withColumn("_turn", turn)
+    named = F.when(F.col("_turn") > 1, F.concat("_key", F.lit("#"), F.col("_turn"))).otherwise(F.col("_key"))
+    pairs = F.arrays_zip(F.array(*[F.lit(c) for c in values]).alias("column_name"), F.col("_values").alias("value"))
+    return rows.select(F.lit(table).alias("table_name"), named.alias("key"), F.inline(pairs).alias("column_name", "value"))
+
+
+def differing_cells(summaries: Mapping[str, tuple[DataFrame, DataFrame, Sequence[str]]]) -> DataFrame:
+    """Every cell in which a stored summary is not the recomputed one.
+
+    ``summaries`` gives for each name the stored table, the recomputed one and the key columns.
+    Both are compared as values of the recomputed table's types, null equal to null, by one
+    full outer join over all tables. ``table_name, key, column_name, difference, stored,
+    fresh``; ``difference`` is ``value``, or says on which side the row or column is missing.
+    """
+
+    def union(parts: list[DataFrame], value: str) -> DataFrame:
+        result = parts[0]
+        for part in parts[1:]:
+            result = result.unionByName(part)
+        return result.withColumnRenamed("value", value).withColumn(f"_{value}", F.lit(True))
+
+    old, new = [], []
+    for name, (stored, fresh, keys) in summaries.items():
+        types = dict(fresh.dtypes)
+        typed = stored.select(*[F.col(c).cast(types[c]).alias(c) if c in types else F.col(c) for c in stored.columns])
+        old.append(cells(name, typed, keys))
+        new.append(cells(name, fresh, keys))
+    both = union(old, "stored").join(union(new, "fresh"), ["table_name", "key", "column_name"], "full_outer")
+    kind = (
+        F.when(F.col("_stored").isNull(), F.lit("missing_in_stored"))
+        .when(F.col("_fresh").isNull(), F.lit("missing_in_fresh"))
+        .when(~F.col("stored").eqNullSafe(F.col("fresh")), F.lit("value"))
+    )
+    found = both.withColumn("difference", kind).where(F.col("difference").isNotNull())
+    return found.select("table_name", "key", "column_name", "difference", "stored", "fresh")
+
+
+def conserved(df: DataFrame, rules: Mapping[str, tuple[Column, Column]]) -> DataFrame:
+    """Parts against their whole, for several divisions of ``df`` at once.
+
+    A rule is which rows it divides and the part each of them falls into; a row whose part is
+    null is in none. All divisions are grouping sets of one aggregate, so ``df`` is evaluated
+    once, and each row is counted with its part before anything is shuffled. ``rule, checked``
+    (the whole), ``failed`` (how many rows the parts miss)."""
+    n = len(rules)
+    ins, parts = [f"in_{i}" for i in range(n)], [f"part_{i}" for i in range(n)]
+    typed = df.select(
+        *[F.coalesce(applies, F.lit(False)).alias(c) for c, (applies, _) in zip(ins, rules.values())],
+        *[F.when(applies, part.cast("string")).alias(c) for c, (applies, part) in zip(parts, rules.values())],
+    )
+    counted = typed.groupingSets([[F.col(p)] for p in parts] + [[]], *[F.col(p) for p in parts]).agg(
+        F.grouping_id().alias("level"), *[F.count_if(F.col(c)).alias(f"n_{c}") for c in ins]
+    )
+    everything = 2**n - 1
+    totals = []
+    for i, name in enumerate(rules):
+        own = (F.col("level") == everything - 2 ** (n - 1 - i)) & F.col(parts[i]).isNotNull()
+        totals.append(F.coalesce(F.max(F.when(F.col("level") == everything, F.col(f"n_in_{i}"))), F.lit(0)).alias(f"checked:{name}"))
+        totals.append(F.coalesce(F.sum(F.when(own, F.col(f"n_in_{i}"))), F.lit(0)).alias(f"parts:{name}"))
+    summed = counted.agg(*totals)
+    failed = {f"failed:{name}": F.abs(F.col(f"`checked:{name}`") - F.col(f"`parts:{name}`")) for name in rules}
+    return _as_rows(summed.withColumns(failed), list(rules))
+
+
 def conservation(name: str, parts: DataFrame, part: str, whole: DataFrame, total: str) -> DataFrame:
     """The parts add up to the whole (both reduced to one row first)."""
     none = F.lit(None).cast("long")

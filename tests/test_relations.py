@@ -182,6 +182,36 @@ def test_difference_and_conservation(spark):
     assert as_map(quality.conservation("none", stored.limit(0), "n", total.limit(0), "t")) == {"none": (0, 0)}
 
 
+def test_differing_cells_name_the_cell(spark):
+    fresh = spark.createDataFrame([("a", 1, 0.5), (None, 2, None), ("b", 3, float("nan"))], "k string, n long, v double")
+    stored = spark.createDataFrame([("a", "1", 0.5, 7), (None, "2", 1.0, 7), ("c", "3", None, 7)], "k string, n string, v double, more int")
+    found = quality.differing_cells({"t": (stored, fresh, ["k"]), "same": (fresh, fresh, ["k"]), "whole": (fresh.agg(F.max("n").alias("n")), fresh.agg(F.min("n").alias("n")), [])})
+    got = {(r["table_name"], r["key"], r["column_name"]): (r["difference"], r["stored"], r["fresh"]) for r in found.collect()}
+    assert got == {
+        ("t", '["a"]', "more"): ("missing_in_fresh", "7", None),
+        ("t", "[null]", "more"): ("missing_in_fresh", "7", None),
+        ("t", "[null]", "v"): ("value", "1.0", None),
+        ("t", '["b"]', "n"): ("missing_in_stored", None, "3"),
+        ("t", '["b"]', "v"): ("missing_in_stored", None, "NaN"),
+        ("t", '["c"]', "n"): ("missing_in_fresh", "3", None),
+        ("t", '["c"]', "v"): ("missing_in_fresh", None, None),
+        ("t", '["c"]', "more"): ("missing_in_fresh", "7", None),
+        ("whole", "[]", "n"): ("value", "3", "1"),
+    }
+    twice = fresh.where("n = 1").unionAll(fresh.where("n = 1"))
+    lost = quality.differing_cells({"t": (fresh.where("n = 1"), twice, ["k"])}).collect()
+    assert sorted((r["key"], r["column_name"], r["difference"]) for r in lost) == [('["a"]#2', "n", "missing_in_stored"), ('["a"]#2', "v", "missing_in_stored")]
+
+
+def test_conserved_counts_rows_without_a_part(spark):
+    df = spark.createDataFrame([("a", 1, True), (None, 2, True), ("b", None, None), ("b", 4, False)], "g string, n int, w boolean")
+    rules = {"groups": (F.lit(True), F.col("g")), "some": (F.col("w"), F.col("g")), "none": (F.col("n") > 9, F.col("g")), "all": (F.lit(True), F.lit(1))}
+    assert as_map(quality.conserved(df, rules)) == {"groups": (4, 1), "some": (2, 1), "none": (0, 0), "all": (4, 0)}
+    assert as_map(quality.conserved(df.limit(0), rules)) == dict.fromkeys(rules, (0, 0))
+    scans = quality.conserved(df, rules)._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD")
+    assert scans == 1
+
+
 @pytest.mark.parametrize("coalesce", ["true", "false"])
 def test_ranked_rows_have_every_place_once(spark, coalesce):
     df = spark.range(5000).selectExpr("id", "cast(if(id % 3 = 0, 1, id % 11) as double) as v", "if(id % 5 = 0, null, id) as t", "1 as _x").repartition(9)
