@@ -70,6 +70,24 @@ def test_a_hot_group_keeps_all_links(spark, size):
     assert found == expected
 
 
+def test_lists_verify_few_pairs_and_the_exact_way_finds_all(spark):
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(2000, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    other = rng.normal(size=(2000, 64))
+    other -= (other * base).sum(1, keepdims=True) * base
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    # Pairs just above the least cosine, the hardest to find.
+    x = np.concatenate([base, 0.931 * base + np.sqrt(1 - 0.931**2) * other])
+    frame = spark.createDataFrame([(i, v, 0) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>, label int")
+    found = {r.vec_id: r for r in link_vectors(frame).collect()}
+    assert sum(r.n_links for r in found.values()) >= 0.99 * len(x)
+    assert all(r.n_links <= 1 and r.component_id in (r.vec_id, r.vec_id - 2000) for r in found.values())
+    assert sum(r.n_compared for r in found.values()) < 0.1 * len(x) ** 2
+    exact = link_vectors(frame, exact=True).collect()
+    assert all(r.n_links == 1 and r.component_id == r.vec_id % 2000 for r in exact)
+
+
 def test_pivots_are_far_apart():
     unit = np.array([[1, 0], [np.cos(0.1), np.sin(0.1)], [0, 1], [0, 1]], float)
     assert far_apart(unit, 0.3).tolist() == [[1, 0], [0, 1]]
