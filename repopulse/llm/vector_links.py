@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from repopulse.llm.components import connected_components
 from repopulse.llm.storage import checked, store
 
-#: Vectors that pivots are chosen from: about twice the root of their number, within these bounds; each vector's nearest pivots.
+#: Vectors that pivots are chosen from: about four times the root of their number, within these bounds; each vector's nearest pivots.
 LEAST_PIVOTS, MOST_PIVOTS, NEAREST = 64, 2048, 12
 #: Pivots that candidates have to share.
 SHARED = 3
@@ -315,7 +315,7 @@ def link_vectors(vectors: DataFrame, *, least: float = 0.93, id_col: str = "vec_
     sound = F.coalesce(sound, F.lit(False))
     classes = rows.where(sound).groupBy("label", "v").agg(F.count("*").alias("n"), F.min("vec_id").alias("least"))
     classes = store(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
-    wanted = min(MOST_PIVOTS, max(LEAST_PIVOTS, int(2 * classes.count() ** 0.5)))
+    wanted = min(MOST_PIVOTS, max(LEAST_PIVOTS, int(4 * classes.count() ** 0.5)))
     sample = [r["v"] for r in classes.select("v", F.xxhash64("v").alias("h")).orderBy("h", "v").limit(wanted).collect()]
     width = max(map(len, sample), default=1)
     pivots = _unit(np.array([x + [0.0] * (width - len(x)) for x in sample], float).reshape(len(sample), width)) if sample else np.ones((1, 1))
