@@ -22,9 +22,9 @@ _SOLID = "!-~¡-¬®-ɏ"
 _ORDINARY = re.compile(rf"[{_SOLID}](?:.*[{_SOLID}])?", re.DOTALL)
 _CUT = re.compile(rf"(?<=[{_SOLID}]) (?=[{_SOLID}])")
 #: A word and the signs behind it are tokens of their own, as long as there is no apostrophe.
-_SIGNED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]+)")
+_SIGNED = r"\A(?P<word>[A-Za-zÀ-ÖØ-öø-ɏ]+)(?P<sign>[!-&(-/:-@\[-`{-~]+)\z"
 #: Longer parts are not kept; how many parts are kept, and how many bytes of text are worked on at once.
-_LONGEST, _KEPT, _AT_ONCE = 48, 200_000, 2_000_000
+_LONGEST, _KEPT, _AT_ONCE = 48, 200_000, 4_000_000
 
 
 class Subwords:
@@ -70,7 +70,7 @@ class Subwords:
         # The first part of a text has no space before it: an entry of its own.
         first, own = np.unique(codes[bounds[:-1]], return_inverse=True)
         heads = [words[i] for i in first.tolist()]
-        ids, odd = self._looked_up(words)
+        ids, odd = self._looked_up(words, coded.dictionary)
         odd_texts = np.zeros(len(texts), bool)
         if odd:
             inner = np.ones(len(codes), bool)
@@ -107,22 +107,22 @@ class Subwords:
         per_text = ends[bounds[1:] + np.arange(len(texts))]
         return flat[steps], np.diff(per_text, prepend=0)
 
-    def _looked_up(self, words: list[str]) -> tuple[list[bytes], list[int]]:
-        """The ids of each part with a space before it, and the places of parts
-        beside which a space is no sure cut."""
+    def _looked_up(self, words: list[str], array: pa.Array) -> tuple[list[bytes], list[int]]:
+        """The ids of each part (``words`` and ``array`` are the same parts) with a space before
+        it, and the places of parts beside which a space is no sure cut."""
         kept = self._kept
         ids = list(map(kept.get, words))
-        missing = [i for i, x in enumerate(ids) if x is None]
-        odd = [i for i in missing if not _ORDINARY.fullmatch(words[i])]
-        unknown = set(odd)
-        plain, signed = [], []
-        for i in missing:
-            if i in unknown:
-                ids[i] = b""
-            elif m := _SIGNED.fullmatch(words[i]):
-                signed.append((i, *m.groups()))
-            else:
-                plain.append(words[i])
+        missing = np.array([i for i, x in enumerate(ids) if x is None], np.int64)
+        unseen = array.take(pa.array(missing))
+        ordinary = pc.match_substring_regex(unseen, rf"(?s)\A[{_SOLID}](?:.*[{_SOLID}])?\z").to_numpy(zero_copy_only=False)
+        halves = pc.extract_regex(unseen, _SIGNED)
+        with_sign = halves.is_valid().to_numpy(zero_copy_only=False)
+        odd = missing[~ordinary].tolist()
+        for i in odd:
+            ids[i] = b""
+        plain = [words[i] for i in missing[ordinary & ~with_sign].tolist()]
+        parts = halves.filter(pa.array(with_sign))
+        signed = list(zip(missing[with_sign].tolist(), parts.field("word").to_pylist(), parts.field("sign").to_pylist(), strict=True))
         stems = [w for w in dict.fromkeys(w for _, w, _ in signed) if w not in kept]
         signs = list({s for _, _, s in signed})
         ends = dict(zip(signs, self._encode(signs), strict=True))
@@ -130,9 +130,8 @@ class Subwords:
         for i, word, sign in signed:
             ids[i] = (kept.get(word) or new[word]) + ends[sign]
             new[words[i]] = ids[i]
-        for i in missing:
-            if ids[i] is None:
-                ids[i] = new[words[i]]
+        for i in missing[ordinary & ~with_sign].tolist():
+            ids[i] = new[words[i]]
         if len(kept) < _KEPT:
             kept.update((k, v) for k, v in new.items() if len(k) <= _LONGEST and "\n" not in k)
         return ids, odd
