@@ -524,6 +524,26 @@ def oracle_sql() -> dict[str, str]:
         "FROM events GROUP BY 1, 2"
     )
 
+    def merged(metric: str, value: str) -> str:
+        mean = f"CASE WHEN count({value}) > 0 THEN {_round(f'avg({value})', 4)} END"
+        return (
+            f"SELECT event_type, '{metric}' AS metric, count(*) AS total, count({value}) AS with_value, count(*) - count({value}) AS without_value, "
+            f"{mean} AS mean, min({value}) AS min, max({value}) AS max FROM events GROUP BY 1"
+        )
+
+    sql["merged_week_metrics"] = _union([merged("value", "value"), merged("high", "CASE WHEN value > 20 THEN value END")])
+    late = "CASE WHEN event_id % 3 > 0 THEN event_id + 1e9 END"
+    sql["merged_week_correlations"] = _union(
+        [
+            f"SELECT '{name}' AS pair, count(*) AS total, count(*) FILTER ({x} IS NOT NULL AND {y} IS NOT NULL) AS pairs_used, "
+            f"count(*) FILTER ({x} IS NULL OR {y} IS NULL) AS pairs_dropped, {_corr(x, y)} AS coefficient FROM events"
+            for name, x, y in (("id_late", "event_id", late), ("value_user", "value", "user_id"))
+        ]
+    )
+    sql["merged_week_distinct"] = _union(
+        [f"SELECT '{c}' AS column_name, count(DISTINCT {c}) AS exact, TRUE AS sketch_is_near FROM events" for c in ("user_id", "event_type")]
+    )
+
     def consolidated(prs: str) -> str:
         return (
             f'SELECT repo_key AS "Repositorio", age_years AS "RQ01_Idade_Anos", {prs} AS "RQ02_PRs_Aceitas", '

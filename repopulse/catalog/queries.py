@@ -13,7 +13,7 @@ from repopulse.functions import instants
 from repopulse.functions.bands import assign_band, band_label
 from repopulse.functions.presence import count_of, fields_of, has_key, integer_at, text_at
 from repopulse.functions.text import fold
-from repopulse.operators import correlation, grouping, metrics, quality, ranking, reconcile, summary
+from repopulse.operators import correlation, grouping, metrics, quality, ranking, reconcile, states, summary
 from repopulse.plans.collect import CORRELATIONS, STATUSES, run_metadata, summarise_records
 from repopulse.schemas import RELEASES_TABLE
 from repopulse.sinks.tables import consolidated, metric_table, with_week
@@ -539,6 +539,39 @@ def weekly_snapshot_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _events_by_week(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stamped = S.table(spark, sf_dir, "events").withColumn("instant", instants.parse_instant(S.iso_text(F.col("ts"))))
+    day = F.to_date(F.date_from_unix_date(F.floor(F.unix_micros("instant") / 86_400_000_000).cast("int")))
+    return with_week(stamped, day)
+
+
+@query
+def merged_week_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summaries of all weeks by type of event, merged from one state a week."""
+    weekly = _events_by_week(spark, sf_dir).withColumn("high", F.when(F.col("value") > 20, F.col("value")))
+    stored = states.metric_states(weekly, ["iso_year", "iso_week", "event_type"], {"value": "value", "high": "high"})
+    return states.merged_metrics(stored, ["event_type"])
+
+
+@query
+def merged_week_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Correlations over all weeks, merged from one state a week."""
+    weekly = _events_by_week(spark, sf_dir).withColumn("late", F.when(F.col("event_id") % 3 > 0, F.col("event_id") + 1e9))
+    stored = states.pair_states(weekly, ["iso_year", "iso_week"], {"id_late": ("event_id", "late"), "value_user": ("value", "user_id")})
+    return states.merged_correlations(stored)
+
+
+@query
+def merged_week_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct users and types over all weeks from stored sketches, held against exact counts."""
+    weekly = _events_by_week(spark, sf_dir)
+    merged = states.merged_distinct(states.distinct_states(weekly, ["iso_year", "iso_week"], ["user_id", "event_type"]))
+    exact = weekly.agg(F.count_distinct("user_id").alias("user_id"), F.count_distinct("event_type").alias("event_type"))
+    exact = exact.unpivot([], ["user_id", "event_type"], "column_name", "exact")
+    near = F.abs(F.col("distinct_values") - F.col("exact")) <= F.ceil(F.col("exact") * 0.08)
+    return exact.join(merged, "column_name", "left").select("column_name", "exact", near.alias("sketch_is_near"))
+
+
 @query
 def consolidated_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consolidated(_records(spark, sf_dir))
