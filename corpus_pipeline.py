@@ -30,12 +30,17 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return score_documents(docs.select(*COLUMNS), machine).where(F.col("score") < TOXIC_FROM).drop("score")
 
 
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """doc_id, component_id: groups of a Jaccard similarity of 0.8 or more of five-word shingles."""
+    return near_copies(docs, words=5, similarity=0.8, id_col=id_col)
+
+
 def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five-word shingles, Jaccard similarity
     of 0.8 or more): that of the smallest id, null ids last; of rows that share it, one.
     All texts without a word are copies of each other, null ones included."""
     numbered = store(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("no")), "numbered")
-    groups = near_copies(numbered, words=5, similarity=0.8, id_col="no").select(F.col("doc_id").alias("no"), "component_id")
+    groups = near_duplicates(numbered, id_col="no").select(F.col("doc_id").alias("no"), "component_id")
     ids = numbered.select("no", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "no").alias("order"))
     first = groups.join(ids, "no").groupBy("component_id").agg(F.min("order")["no"].alias("no"))
     return numbered.join(first.select("no"), "no").select(*COLUMNS)

@@ -1,5 +1,6 @@
 """Near copies of texts at a stated Jaccard similarity of their word shingles: the
-SimHash index in Gray order with a wider radius, and every link verified.
+SimHash index in Gray order with a wider radius, every link verified, and an exact
+search for the links between the groups that the index leaves apart.
 
 A fingerprint has 128 bits, so that a radius wide enough for a similarity of 0.8 still
 tells unrelated texts apart. Upper nodes are masked patterns, ``MASKS`` of them of
@@ -9,18 +10,26 @@ pairs of nodes are left as a whole once their accumulated differences exceed the
 once all of their members are linked already.
 
 Two texts at a similarity of exactly 0.8 differ in 15 % of the bits, agree in a mask
-with probability 0.05 and in one of 80 with 0.98; at 0.85 it is 0.999. Links are tried from
-the nearest on, and each that is kept has been verified by the shingles themselves.
+with probability 0.05 and in one of 80 with 0.98; at 0.85 it is 0.999. Each link
+that is kept has been verified by the shingles themselves; before, the parities of ``SIGN_BITS``
+parts of both sets show that most others differ in too many.
+
+What the index misses, and what an unverified link hides in it, is found by prefixes: two
+sets of a similarity of ``s`` share one of the first ``(1 - s) * n + 1`` of their ``n`` shingles,
+in whatever order all shingles are put. Rare ones come first, by counts of ``SLOTS`` hashed
+slots, so that texts which share no more than a frequent passage do not meet. Texts that
+meet and are not connected yet are verified like the others: no link is lost.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from repopulse.llm.components import connected_components
@@ -36,6 +45,9 @@ _PIECE, _LEAF, _FAN = 16_384, 32, 8
 _HASHES_AT_ONCE = 1 << 15
 #: Links of one text that are verified by one task.
 _OF_A_TASK = 4_096
+#: Slots in which shingles are counted; counts of a row.
+SLOTS, _BLOCK = 1 << 20, 1 << 12
+SIGN_BITS = 2_048
 
 
 def shingles(text: str | None, words: int = 5) -> np.ndarray:
@@ -66,17 +78,81 @@ def wide_fingerprint(hashes: np.ndarray) -> tuple[int, int]:
     return tuple(packed.view("<i8").ravel().tolist())
 
 
+def _slots(hashes: np.ndarray) -> np.ndarray:
+    return (hashes & np.uint64(SLOTS - 1)).astype(np.int64)
+
+
+def signature(hashes: np.ndarray) -> bytes:
+    """How many ``hashes`` there are, and for each part of them whether their number is odd: two
+    sets differ in as many elements as these bits differ, at least."""
+    odd = np.bincount(((hashes >> np.uint64(32)) & np.uint64(SIGN_BITS - 1)).astype(np.int64), minlength=SIGN_BITS) & 1
+    return np.int64(len(hashes)).tobytes() + np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+_PRINTS = "no long, hi long, lo long, shingled binary, sign binary, block int, counts binary"
+
+
 def _prints(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    """A row for each text; after them, in blocks, how many texts have a shingle in each slot."""
+    names = [x.split()[0] for x in _PRINTS.split(", ")]
+    counts = np.zeros(SLOTS, "<u4")
     for batch in batches:
-        hi, lo, keys = [], [], []
+        hi, lo, keys, signs = [], [], [], []
         for x in batch.column(1):
             hashes = shingles(x.as_py(), words)
+            counts[_slots(hashes)] += 1
             a, b = wide_fingerprint(hashes)
             hi.append(a)
             lo.append(b)
             keys.append(xxhash.xxh3_128_digest(hashes.tobytes()))
-        columns = [batch.column(0), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(keys, pa.binary())]
-        yield pa.RecordBatch.from_arrays(columns, ["no", "hi", "lo", "shingled"])
+            signs.append(signature(hashes))
+        columns = [batch.column(0), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(keys, pa.binary()), pa.array(signs, pa.binary())]
+        none = [pa.nulls(len(hi), pa.int32()), pa.nulls(len(hi), pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns + none, names)
+    blocks = [(i, x) for i, x in enumerate(counts.reshape(-1, _BLOCK)) if x.any()]
+    none = [pa.nulls(len(blocks), k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())]
+    made = [pa.array([i for i, _ in blocks], pa.int32()), pa.array([x.tobytes() for _, x in blocks], pa.binary())]
+    yield pa.RecordBatch.from_arrays(none + made, names)
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for i, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            total[i] = total.get(i, 0) + np.frombuffer(x.as_buffer(), "<u4")
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["block", "counts"])
+
+
+def slot_counts(prints: DataFrame) -> np.ndarray:
+    """How many texts have a shingle in each slot, added up over the tasks: 4 MB, whatever the input."""
+    blocks = prints.where("block is not null").select("block", "counts").repartition("block").mapInArrow(_added, "block int, counts binary")
+    counts = np.zeros((SLOTS // _BLOCK, _BLOCK), "<u4")
+    for row in blocks.collect():
+        counts[row["block"]] = np.frombuffer(row["counts"], "<u4")
+    return counts.ravel()
+
+
+def prefix(hashes: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """Those of the sorted ``hashes``, rare slots first, of which another set of this similarity has one in its own."""
+    # A shingle more rather than one less where the product is not exact.
+    size = min(len(hashes), len(hashes) - math.ceil(similarity * len(hashes) - 1e-6) + 1)
+    return hashes[np.argsort(counts[_slots(hashes)], kind="stable")[:size]]
+
+
+def _posted(batches: Iterator[pa.RecordBatch], words: int, similarity: float, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            sets = [shingles(x.as_py(), words) for x in part.column(2)]
+            firsts = [prefix(x, counts, similarity) for x in sets]
+            lengths = np.array([len(x) for x in firsts], np.int64)
+            columns = [
+                np.concatenate([np.zeros(0, "<u8"), *firsts]).view(np.int64),
+                *[np.repeat(np.asarray(part.column(i)), lengths) for i in (0, 1)],
+                np.repeat(np.array([len(x) for x in sets], np.int32), lengths),
+                np.concatenate([np.zeros(0, np.int32), *[np.arange(x, dtype=np.int32) for x in lengths]]),
+            ]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["shingle", "no", "root", "size", "place"])
 
 
 def _sets_of(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
@@ -250,6 +326,15 @@ def candidate_links(distinct: DataFrame) -> DataFrame:
     return links.groupBy("a", "b").agg(F.min("d").alias("d"))
 
 
+def _not_too_far(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        left, right = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.int64).reshape(-1, 1 + SIGN_BITS // 64) for i in (2, 3))
+        apart = np.bitwise_count((left[:, 1:] ^ right[:, 1:]).view(np.uint64)).sum(1, dtype=np.int64)
+        good = apart <= (1 - similarity) / (1 + similarity) * (left[:, 0] + right[:, 0]) + 1e-6
+        kept = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"])
+        yield kept.filter(pa.array(good, pa.bool_()))
+
+
 def _jaccard(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         good = []
@@ -274,10 +359,38 @@ def _with_sets(pairs: DataFrame, side: str, sets: DataFrame) -> DataFrame:
     return dealt.join(copies, [side, "part"]).drop("part")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The ``pairs`` (a, b) whose shingle sets (no, hashes) are as similar."""
-    both = _with_sets(_with_sets(pairs.select("a", "b"), "a", sets), "b", sets)
-    return both.select("a", "b", "hashes_a", "hashes_b").mapInArrow(lambda x: _jaccard(x, similarity), "a long, b long")
+def _both(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    return _with_sets(_with_sets(pairs.select("a", "b"), "a", sets), "b", sets).select("a", "b", "hashes_a", "hashes_b")
+
+
+def verified(pairs: DataFrame, firsts: DataFrame, rows: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The stored ``pairs`` (a, b) whose shingle sets are as similar; ``firsts`` (no, sign) and ``rows`` (no, text) have them all."""
+    signs = firsts.select("no", F.col("sign").alias("hashes"))
+    near = store(_both(pairs, signs).mapInArrow(lambda x: _not_too_far(x, similarity), "a long, b long"), "near")
+    ends = near.select(F.explode(F.array("a", "b")).alias("no")).distinct()
+    sets = rows.join(ends, "no", "left_semi").mapInArrow(lambda b: _sets_of(b, words), "no long, hashes binary").dropDuplicates(["no"])
+    return store(_both(near, store(sets, "sets")).mapInArrow(lambda x: _jaccard(x, similarity), "a long, b long"), "verified")
+
+
+def pairs_apart(rooted: DataFrame, counts: np.ndarray, words: int, similarity: float) -> DataFrame:
+    """(a, b): all pairs of ``rooted`` (no, root, text) of different roots that may be as similar."""
+    posted = rooted.select("no", "root", "text").mapInArrow(
+        lambda x: _posted(x, words, similarity, counts), "shingle long, no long, root long, size int, place int"
+    )
+    own = Window.partitionBy("shingle")
+    apart = posted.withColumns({"least": F.min("root").over(own), "most": F.max("root").over(own)}).where("least < most")
+    apart = store(apart.drop("least", "most"), "apart")
+    x, y = (apart.select("shingle", *[F.col(c).alias(f"{c}_{side}") for c in ("no", "root", "size", "place")]) for side in "xy")
+    # What both may share: as many as lie before the shingle in either, itself, and as many as lie behind it.
+    behind = F.least(F.col("size_x") - F.col("place_x"), F.col("size_y") - F.col("place_y"))
+    needed = similarity / (1 + similarity) * (F.col("size_x") + F.col("size_y")) - 1e-6
+    sized = F.least("size_x", "size_y") >= similarity * F.greatest("size_x", "size_y") - 1e-6
+    enough = sized & (F.least("place_x", "place_y") + behind >= needed)
+    met = x.join(y, (x["shingle"] == y["shingle"]) & (F.col("no_x") < F.col("no_y")) & (F.col("root_x") != F.col("root_y")) & enough)
+    # Up to where the prefix ends that ends first in the order, all that both share has been met.
+    left = F.greatest(*[F.floor(similarity * F.col(c) + 1e-6) for c in ("size_x", "size_y")])
+    met = met.groupBy(F.col("no_x").alias("a"), F.col("no_y").alias("b")).agg(F.count("*").alias("both"), F.first(needed - left).alias("least"))
+    return met.where("both >= least").select("a", "b")
 
 
 def near_copies(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -289,35 +402,23 @@ def near_copies(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, id_
     are copies, those without a word included; ids are whole numbers and should be unique (rows that
     share one share its component); other columns are ignored; an empty table gives no rows.
 
-    Copies are folded first. Of the candidate links each text's nearest is verified
-    first, twice over; links inside what is then connected need no look, and all others are
-    verified. So no link among the candidates is lost and none is kept unverified.
+    Copies are folded first. All candidate links of the index are verified, and then all pairs
+    of texts that are not connected yet and whose prefixes meet. So no link between
+    components is lost and none is kept unverified.
     """
     rows = checked(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("no"), F.col(text_col).alias("text"))
-    prints = store(rows.mapInArrow(lambda b: _prints(b, words), "no long, hi long, lo long, shingled binary"), "prints")
-    distinct = store(prints.groupBy("shingled").agg(F.min("no").alias("no"), F.min("hi").alias("hi"), F.min("lo").alias("lo")), "classes")
-    links = store(candidate_links(distinct.where("no is not null").select("no", "hi", "lo")), "candidates")
-    ends = links.select(F.explode(F.array("a", "b")).alias("no")).distinct()
-    sets = store(rows.join(ends, "no", "left_semi").mapInArrow(lambda b: _sets_of(b, words), "no long, hashes binary").dropDuplicates(["no"]), "sets")
-
-    open_ = links.withColumns({"ra": F.col("a"), "rb": F.col("b")})
-    good = links.select("a", "b").limit(0)
-    roots = good.toDF("node", "root")
-    for last in (False, False, True):
-        if open_.isEmpty():
-            break
-        if last:
-            tried = open_.select("a", "b")
-        else:
-            way = F.explode(F.array("ra", "rb")).alias("node")
-            tried = open_.select(way, "d", "a", "b").groupBy("node").agg(F.min(F.struct("d", "a", "b")).alias("x")).select("x.a", "x.b").distinct()
-        tried = store(tried, "tried")
-        good = good.unionAll(store(verified(tried, sets, similarity), "verified"))
-        roots = connected_components(good)
-        if not last:
-            left = open_.join(tried, ["a", "b"], "left_anti").select("a", "b", "d")
-            for side in ("a", "b"):
-                left = left.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"r{side}")), side, "left").withColumn(f"r{side}", F.coalesce(f"r{side}", side))
-            open_ = store(left.where("ra <> rb").select("a", "b", "d", "ra", "rb"), "open")
+    made = store(rows.mapInArrow(lambda b: _prints(b, words), _PRINTS), "prints")
+    prints = made.where("block is null")
+    least = prints.groupBy("shingled").agg(*[F.min(c).alias(c) for c in ("no", "hi", "lo", "sign")])
+    distinct = store(least, "classes")
+    firsts = distinct.where("no is not null")
+
+    links = store(candidate_links(firsts.select("no", "hi", "lo")), "candidates")
+    good = verified(links, firsts, rows, words, similarity)
+    roots = connected_components(good)
+    grouped = firsts.select("no").join(roots.withColumnRenamed("node", "no"), "no", "left").select("no", F.coalesce("root", "no").alias("root"))
+    apart = store(pairs_apart(rows.join(grouped, "no"), slot_counts(made), words, similarity), "pairs")
+    if not apart.isEmpty():
+        roots = connected_components(good.unionAll(verified(apart, firsts, rows, words, similarity)))
     rooted = distinct.join(roots.withColumnRenamed("node", "no"), "no", "left").select("shingled", F.coalesce("root", "no").alias("component_id"))
-    return prints.join(rooted, "shingled").select(F.col("no").alias("doc_id"), "component_id")
+    return prints.select("no", "shingled").join(rooted, "shingled").select(F.col("no").alias("doc_id"), "component_id")

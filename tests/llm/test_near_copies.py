@@ -117,3 +117,33 @@ def test_pieces_of_one_pattern(monkeypatch):
         if r["a"] is not None:
             sets.join(r["a"], r["b"])
     assert len({sets.find(i) for i in range(70)}) == 1
+
+
+def test_no_link_at_the_threshold_is_lost(spark):
+    """Pairs at a similarity of 0.8 to 0.82, of which the index alone misses some."""
+    rng = np.random.default_rng(8)
+    texts: dict[int, str | None] = {}
+    for _ in range(150):
+        words = [f"w{x}" for x in rng.integers(0, 10**5, int(rng.integers(229, 250)))]
+        texts[len(texts)] = " ".join(words)
+        for _ in range(50):
+            other = changed(rng, words, 5)
+            a, b = (set(N.shingles(x).tolist()) for x in (texts[len(texts) - 1], other))
+            if len(a & b) >= 0.8 * len(a | b):
+                break
+        texts[len(texts)] = other
+    assert result(spark, texts) == plain_components(texts)
+
+
+def test_prefixes_of_similar_sets_meet():
+    """Whatever the order of the slots and however frequent a shared passage."""
+    rng = np.random.default_rng(9)
+    for size in (1, 2, 4, 5, 9, 40, 333):
+        for _ in range(30):
+            counts = rng.integers(0, 4, N.SLOTS).astype("<u4")
+            x = np.unique(rng.integers(0, 2**63, size).astype("<u8"))
+            gone = int(rng.integers(0, len(x) // 5 + 1))
+            y = np.unique(np.concatenate([x[gone:], rng.integers(0, 2**63, int(rng.integers(0, len(x) // 9 + 1))).astype("<u8")]))
+            both = len(np.intersect1d(x, y))
+            if both >= 0.8 * (len(x) + len(y) - both):
+                assert len(np.intersect1d(N.prefix(x, counts, 0.8), N.prefix(y, counts, 0.8)))
