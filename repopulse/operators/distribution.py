@@ -2,11 +2,12 @@
 
 The built-in exact ``median`` keeps every distinct value of a group in the
 memory of one task. Here it is selected between splitters. A first aggregate
-gives every group its counts, sums and ends, and from a mergeable quantile summary
-two values of the group that its middle ranks certainly lie between. A second one
-counts the rows below them and, by value, those between; no other value is
-shuffled, and only those between are ranked: the distinct values among a thousandth
-of a group's rows, or less with a larger ``accuracy``.
+counts every group's rows and takes from a mergeable quantile summary
+two values of the group that its middle ranks certainly lie between. Those of
+groups of more than ``10 * accuracy`` rows, which are few, are broadcast, so that no
+row is shuffled by its group. A second aggregate adds up the rows below, above and, by value,
+between them; only those between are ranked: the distinct values among a thousandth
+of a group's rows, or less with a larger ``accuracy``. Smaller groups are ranked whole.
 
 The summary's ranks are off by ``rows / ACCURACY`` at most and the splitters lie four
 times that apart from the middle, whatever the values and the partitions. Should
@@ -27,8 +28,10 @@ from repopulse.functions.rounding import half_even
 
 #: Rows over the largest error of a rank in the quantile summary, and how many such errors the splitters keep from the middle.
 ACCURACY, _MARGIN = 10_000, 4
-#: Where a row lies: without a value, below the splitters, between them.
-_NOWHERE, _BELOW, _BETWEEN = range(3)
+#: Rows over the accuracy from which on a group is split.
+_LARGE = 10
+#: Where a row lies: without a value, below the splitters, between them, above.
+_NOWHERE, _BELOW, _BETWEEN, _ABOVE = range(4)
 
 
 def _long_form(df: DataFrame, keys: Sequence[str], metrics: Mapping[str, Column | str]) -> DataFrame:
@@ -50,9 +53,9 @@ def _splitters(value: Column, accuracy: int) -> Column:
 
 
 def _place(value: Column, low: Column, high: Column) -> Column:
-    """Where a value lies; null above the splitters."""
-    between = (value <= high) | (high == F.lit(float("inf")))
-    return F.when(value.isNull(), F.lit(_NOWHERE)).when(value < low, F.lit(_BELOW)).when(between, F.lit(_BETWEEN))
+    """Where a value lies; all values of a group without splitters lie between them."""
+    between = low.isNull() | (value <= high) | (high == F.lit(float("inf")))
+    return F.when(value.isNull(), _NOWHERE).when(value < low, _BELOW).when(between, _BETWEEN).otherwise(_ABOVE)
 
 
 def describe(
@@ -81,47 +84,56 @@ def describe(
     group = [*keys, "metric"]
     long_form = _long_form(df, keys, metrics)
     stats = _group_stats(long_form, group, scale, accuracy)
-    counted = _counted_between(long_form, stats, group)
+    counted = _counted_between(long_form, stats, group, scale, _LARGE * accuracy)
 
-    # Only what lies between the splitters reaches this window, and a row or two per group for the rest.
-    upto = Window.partitionBy(*group).orderBy("place", "value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = counted.withColumn("end", F.sum("valued").over(upto)).withColumn("start", F.col("end") - F.col("valued"))
+    # Only what lies between the splitters reaches this window, a few rows of a large group for the rest, and small groups.
+    whole = Window.partitionBy(*group)
+    upto = whole.orderBy("place", "value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = counted.withColumns({"end": F.sum("valued").over(upto), "n": F.sum("valued").over(whole)})
+    ranked = ranked.withColumn("start", F.col("end") - F.col("valued"))
     ranks = {"low_value": F.floor((F.col("n") + 1) / 2), "high_value": F.floor(F.col("n") / 2) + 1}
-    # A row without a value or below ends before the middle, unless the splitters missed it: then its null is an error below.
+    # A row of another place has no value: where the splitters missed the middle, its null is an error below.
     middle = {name: F.max(F.when((F.col("start") < rank) & (rank <= F.col("end")), F.col("value"))) for name, rank in ranks.items()}
-    carried = [c for c in counted.columns if c not in (*group, "place", "value", "valued")]
-    finished = ranked.groupBy(*group).agg(*[F.first(c).alias(c) for c in carried], *[m.alias(name) for name, m in middle.items()])
-    finished = finished.select(*group, F.col("group_rows").alias("rows"), "n", F.try_divide(_total(scale), "n").alias("mean"), _median().alias("median"), "min", "max")
+    finished = ranked.groupBy(*group).agg(
+        F.sum("placed").alias("rows"),
+        F.sum("valued").alias("n"),
+        *[F.sum(name).alias(name) for name in _addends(F.col("value"), scale)],
+        F.min("min").alias("min"),
+        F.max("max").alias("max"),
+        *[m.alias(name) for name, m in middle.items()],
+    )
+    finished = finished.select(*group, "rows", "n", F.try_divide(_total(scale), "n").alias("mean"), _median().alias("median"), "min", "max")
     if not keys:
         every = _metric_table(df, metrics).join(finished, "metric", "left")
         finished = every.withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in ("rows", "n")})
     return finished.withColumns({c: _rounded(F.col(c), digits) for c in ("mean", "median")})
 
 
+def _sums(value: Column, scale: int | None) -> list[Column]:
+    """Counts, sums and ends of ``value``, which add up over parts of a group."""
+    sums = [F.sum(part).alias(name) for name, part in _addends(value, scale).items()]
+    return [F.count("value").alias("valued"), *sums, F.min("value").alias("min"), F.max("value").alias("max")]
+
+
 def _group_stats(long_form: DataFrame, group: Sequence[str], scale: int | None, accuracy: int) -> DataFrame:
-    """A row for each group: what it returns but the median, and the splitters ``low`` and ``high``."""
+    """A row for each group: its number of rows, its sums and the splitters ``low`` and ``high``.
+    Columns that are not read cost nothing."""
     value = F.col("value")
-    stats = long_form.groupBy(*group).agg(
-        F.count(F.lit(1)).alias("group_rows"),
-        F.count("value").alias("n"),
-        *[F.sum(part).alias(name) for name, part in _addends(value, scale).items()],
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-        _splitters(value, accuracy).alias("splitters"),
-    )
+    stats = long_form.groupBy(*group).agg(F.count(F.lit(1)).alias("group_rows"), *_sums(value, scale), _splitters(value, accuracy).alias("splitters"))
     ends = {"low": F.element_at("splitters", 1), "high": F.element_at("splitters", 2)}
     return stats.withColumns(ends).drop("splitters")
 
 
-def _counted_between(long_form: DataFrame, stats: DataFrame, group: Sequence[str]) -> DataFrame:
-    """``group, place, value, valued`` and the group's statistics: how many rows without a
-    value (none counts) and below the splitters, in a row each, and those between by value."""
-    beside = stats.select(*[F.col(c).alias(f"_{c}") for c in group], *[c for c in stats.columns if c not in group])
-    placed = long_form.join(beside, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in group])
-    placed = placed.withColumn("place", _place(F.col("value"), F.col("low"), F.col("high"))).where(F.col("place").isNotNull())
-    carried = [c for c in stats.columns if c not in (*group, "low", "high")]
-    by_value = F.when(F.col("place") == _BETWEEN, F.col("value")).alias("value")
-    return placed.groupBy(*group, "place", by_value).agg(F.count(placed["value"]).alias("valued"), *[F.first(c).alias(c) for c in carried])
+def _counted_between(long_form: DataFrame, stats: DataFrame, group: Sequence[str], scale: int | None = None, large: int = 0) -> DataFrame:
+    """``group, place, value`` with counts, sums and ends: a row each for what has no value, lies
+    below and above the splitters, and a row for each value between. Groups of ``large`` rows or fewer have no splitters."""
+    split = stats.where(F.col("group_rows") > large).select(*[F.col(c).alias(f"_{c}") for c in group], "low", "high")
+    # The hint matters: a join by shuffle sends all rows of a group to one task.
+    placed = long_form.join(F.broadcast(split), [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in group], "left")
+    placed = placed.withColumn("place", _place(F.col("value"), F.col("low"), F.col("high")))
+    by_value = F.when(F.col("place") == _BETWEEN, F.col("value"))
+    grouped = placed.select(*group, "place", by_value.alias("at"), "value").groupBy(*group, "place", "at")
+    return grouped.agg(F.count(F.lit(1)).alias("placed"), *_sums(F.col("value"), scale)).withColumnRenamed("at", "value")
 
 
 def _median() -> Column:

@@ -127,6 +127,23 @@ def test_splitters_never_miss(spark, order, n):
         assert row["median"] == round(statistics.median(values), 4)
 
 
+def test_no_row_is_shuffled_by_its_group(spark):
+    """Nothing but a hint makes this join a broadcast: adaptive execution gives up one of few groups in many partitions."""
+    setting = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "-1")
+    try:
+        df = spark.range(20_000).selectExpr("cast(id % 4099 as double) as v", "if(id % 5 = 0, 1, null) as w")
+        found = describe(df, [], {"v": "v", "w": "w"}, accuracy=100)
+        rows = {r["metric"]: (r["n"], r["median"]) for r in found.collect()}
+        plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    finally:
+        spark.conf.set(setting, before)
+    assert rows == {"v": (20_000, statistics.median(i % 4099 for i in range(20_000))), "w": (4_000, 1.0)}
+    joins = [line for line in plan.splitlines() if "SortMergeJoin" in line]
+    assert not any("_metric" in line for line in joins)
+
+
 def test_building_a_query_starts_no_job(spark):
     df = spark.range(10).select((F.col("id") % 2).alias("g"), F.col("id").alias("v"))
     tracker = spark.sparkContext.statusTracker()
