@@ -144,6 +144,16 @@ def test_no_row_is_shuffled_by_its_group(spark):
     assert not any("_metric" in line for line in joins)
 
 
+@pytest.mark.parametrize("accuracy", [2, 10, 1000])
+def test_large_and_small_groups_together(spark, accuracy):
+    rows = make_rows(11)
+    df = spark.createDataFrame(rows, "g string, v double, w long").repartition(7)
+    got = {(r["g"], r["metric"]): tuple(r[c] for c in ("rows", "n", "mean", "median", "min", "max"))
+           for r in rows_of(describe(df, ["g"], {"v": "v", "w": "w"}, scale=4, accuracy=accuracy))}
+    expected = {(g, m): brute([r[i] for r in rows if r[0] == g], 4) for g in {r[0] for r in rows} for i, m in ((1, "v"), (2, "w"))}
+    assert got == expected
+
+
 def test_building_a_query_starts_no_job(spark):
     df = spark.range(10).select((F.col("id") % 2).alias("g"), F.col("id").alias("v"))
     tracker = spark.sparkContext.statusTracker()
