@@ -45,8 +45,8 @@ _PIECE, _LEAF, _FAN = 16_384, 32, 8
 _HASHES_AT_ONCE = 1 << 15
 #: Links of one text that are verified by one task.
 _OF_A_TASK = 4_096
-#: Slots in which shingles are counted; counts of a row.
-SLOTS, _BLOCK = 1 << 20, 1 << 12
+#: Slots in which shingles are counted; counts of a row, few so that a batch of rows stays small.
+SLOTS, _BLOCK = 1 << 18, 1 << 8
 SIGN_BITS = 2_048
 
 
@@ -124,7 +124,7 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def slot_counts(prints: DataFrame) -> np.ndarray:
-    """How many texts have a shingle in each slot, added up over the tasks: 4 MB, whatever the input."""
+    """How many texts have a shingle in each slot, added up over the tasks: 1 MB, whatever the input."""
     blocks = prints.where("block is not null").select("block", "counts").repartition("block").mapInArrow(_added, "block int, counts binary")
     counts = np.zeros((SLOTS // _BLOCK, _BLOCK), "<u4")
     for row in blocks.collect():
@@ -417,6 +417,8 @@ def near_copies(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, id_
     good = verified(links, firsts, rows, words, similarity)
     roots = connected_components(good)
     grouped = firsts.select("no").join(roots.withColumnRenamed("node", "no"), "no", "left").select("no", F.coalesce("root", "no").alias("root"))
+    # Stored, so that its size is known: the texts are only shuffled where it is large.
+    grouped = store(grouped, "grouped")
     apart = store(pairs_apart(rows.join(grouped, "no"), slot_counts(made), words, similarity), "pairs")
     if not apart.isEmpty():
         roots = connected_components(good.unionAll(verified(apart, firsts, rows, words, similarity)))
