@@ -22,16 +22,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     edges = store(_distinct(edges.where("a is not null and b is not null")), "edges")
     roots: DataFrame | None = None
-    while not edges.isEmpty():
-        pointers = _pointers(edges)
+    nodes = 0
+    while n := edges.count():
+        pointers = _pointers(edges, 2 * n)
         if roots is None:
-            roots = pointers
+            roots, nodes = pointers, 2 * n
         else:
-            roots = store(_followed(roots, "root", pointers), "roots")
+            roots = store(_followed(roots, "root", pointers), "roots", nodes)
         a = pointers.select(F.col("node").alias("a"), F.col("root").alias("ra"))
         b = pointers.select(F.col("node").alias("b"), F.col("root").alias("rb"))
         moved = edges.join(a, "a").join(b, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-        edges = store(_distinct(moved), "edges")
+        edges = store(_distinct(moved), "edges", n)
     return roots if roots is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
@@ -39,14 +40,14 @@ def _distinct(edges: DataFrame) -> DataFrame:
     return edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _pointers(edges: DataFrame) -> DataFrame:
-    """Each node with the end of its chain of smallest neighbours. A node points
-    to a smaller one or to itself, so a chain ends at a node that has no smaller
+def _pointers(edges: DataFrame, nodes: int) -> DataFrame:
+    """Each node, of which there are ``nodes`` at most, with the end of its chain of smallest neighbours.
+    A node points to a smaller one or to itself, so a chain ends at a node that has no smaller
     neighbour."""
     ways = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("near")), F.struct(F.col("b").alias("node"), F.col("a").alias("near")))).alias("w")).select("w.*")
-    pointers = store(ways.groupBy("node").agg(F.least(F.col("node"), F.min("near")).alias("root")), "pointers")
+    pointers = store(ways.groupBy("node").agg(F.least(F.col("node"), F.min("near")).alias("root")), "pointers", nodes)
     while True:
-        nxt = store(_followed(pointers, "root", pointers), "pointers")
+        nxt = store(_followed(pointers, "root", pointers), "pointers", nodes)
         moved = nxt.join(pointers.withColumnRenamed("root", "before"), "node").where("root <> before")
         if moved.isEmpty():
             return nxt

@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from repopulse.llm.components import connected_components
 from repopulse.llm.simhash import _Sets, gray_rank
 from repopulse.llm.storage import checked, store
+from repopulse.llm.subwords import forget
 
 MASKS, MASK_BITS = 80, 18
 #: Differing bits of 128 up to which two texts are candidates: three deviations above the mean at 0.8.
@@ -94,6 +95,7 @@ _PRINTS = "no long, hi long, lo long, shingled binary, sign binary, block int, c
 
 def _prints(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     """A row for each text; after them, in blocks, how many texts have a shingle in each slot."""
+    forget()
     names = [x.split()[0] for x in _PRINTS.split(", ")]
     counts = np.zeros(SLOTS, "<u4")
     for batch in batches:
@@ -317,7 +319,8 @@ def candidate_links(distinct: DataFrame) -> DataFrame:
     patterns = [F.xxhash64(F.col("hi").bitwiseAND(F.lit(hi)), F.col("lo").bitwiseAND(F.lit(lo))) for hi, lo in masks()]
     filed = distinct.select(F.posexplode(F.array(*patterns)).alias("which", "pattern"), "no", "hi", "lo")
     dealt = filed.repartition("which", "pattern").sortWithinPartitions("which", "pattern", gray_rank(F.col("hi")))
-    found = store(dealt.mapInArrow(_search, _FOUND), "searched")
+    # Many tasks find little: rebalanced, it makes few files.
+    found = store(dealt.mapInArrow(_search, _FOUND).hint("rebalance"), "searched")
     pieces = found.where("members is not null")
     x = pieces.select("which", "pattern", F.col("piece").alias("px"), F.col("members").alias("mx"))
     y = pieces.select("which", "pattern", F.col("piece").alias("py"), F.col("members").alias("my"))
@@ -346,11 +349,12 @@ def _jaccard(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[p
         yield kept.filter(pa.array(good, pa.bool_()))
 
 
-def _with_sets(pairs: DataFrame, side: str, sets: DataFrame) -> DataFrame:
-    """``pairs`` with the shingles of ``side``. A text with very many links has its set
+def _with_sets(pairs: DataFrame, side: str, sets: DataFrame, links: DataFrame) -> DataFrame:
+    """``pairs``, which are the stored ``links``, with the shingles of ``side``. A text with very many links has its set
     repeated, so that its links are dealt over tasks."""
-    hot = pairs.groupBy(side).agg(F.count("*").alias("n")).where(F.col("n") > _OF_A_TASK)
-    hot = store(hot.select(F.col(side).alias("hot"), F.ceil(F.col("n") / _OF_A_TASK).cast("int").alias("parts")), "hot")
+    hot = links.groupBy(side).agg(F.count("*").alias("n")).where(F.col("n") > _OF_A_TASK)
+    # Broadcast, a row for each ``_OF_A_TASK`` links at most: by shuffle, all pairs and sets would be sent once more.
+    hot = F.broadcast(hot.select(F.col(side).alias("hot"), F.ceil(F.col("n") / _OF_A_TASK).cast("int").alias("parts")))
     parts = F.coalesce("parts", F.lit(1))
     dealt = pairs.join(hot, F.col(side) == F.col("hot"), "left").withColumn("part", F.pmod(F.xxhash64("a", "b"), parts).cast("int")).drop("hot", "parts")
     copies = sets.join(hot, F.col("no") == F.col("hot"), "left").select(
@@ -360,7 +364,7 @@ def _with_sets(pairs: DataFrame, side: str, sets: DataFrame) -> DataFrame:
 
 
 def _both(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    return _with_sets(_with_sets(pairs.select("a", "b"), "a", sets), "b", sets).select("a", "b", "hashes_a", "hashes_b")
+    return _with_sets(_with_sets(pairs.select("a", "b"), "a", sets, pairs), "b", sets, pairs).select("a", "b", "hashes_a", "hashes_b")
 
 
 def verified(pairs: DataFrame, firsts: DataFrame, rows: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -369,7 +373,7 @@ def verified(pairs: DataFrame, firsts: DataFrame, rows: DataFrame, words: int, s
     near = store(_both(pairs, signs).mapInArrow(lambda x: _not_too_far(x, similarity), "a long, b long"), "near")
     ends = near.select(F.explode(F.array("a", "b")).alias("no")).distinct()
     sets = rows.join(ends, "no", "left_semi").mapInArrow(lambda b: _sets_of(b, words), "no long, hashes binary").dropDuplicates(["no"])
-    return store(_both(near, store(sets, "sets")).mapInArrow(lambda x: _jaccard(x, similarity), "a long, b long"), "verified")
+    return _both(near, store(sets, "sets")).mapInArrow(lambda x: _jaccard(x, similarity), "a long, b long")
 
 
 def pairs_apart(rooted: DataFrame, counts: np.ndarray, words: int, similarity: float) -> DataFrame:
@@ -414,13 +418,17 @@ def near_copies(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, id_
     firsts = distinct.where("no is not null")
 
     links = store(candidate_links(firsts.select("no", "hi", "lo")), "candidates")
-    good = verified(links, firsts, rows, words, similarity)
-    roots = connected_components(good)
+    roots = connected_components(verified(links, firsts, rows, words, similarity))
     grouped = firsts.select("no").join(roots.withColumnRenamed("node", "no"), "no", "left").select("no", F.coalesce("root", "no").alias("root"))
     # Stored, so that its size is known: the texts are only shuffled where it is large.
     grouped = store(grouped, "grouped")
     apart = store(pairs_apart(rows.join(grouped, "no"), slot_counts(made), words, similarity), "pairs")
     if not apart.isEmpty():
-        roots = connected_components(good.unionAll(verified(apart, firsts, rows, words, similarity)))
-    rooted = distinct.join(roots.withColumnRenamed("node", "no"), "no", "left").select("shingled", F.coalesce("root", "no").alias("component_id"))
+        # Links between groups: their roots are the nodes.
+        a, b = (grouped.select(F.col("no").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
+        across = verified(apart, firsts, rows, words, similarity).join(a, "a").join(b, "b")
+        met = connected_components(across.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
+        joined = met.select(F.col("node").alias("root"), F.col("root").alias("least"))
+        grouped = grouped.join(joined, "root", "left").select("no", F.coalesce("least", "root").alias("root"))
+    rooted = distinct.join(grouped, "no", "left").select("shingled", F.coalesce("root", "no").alias("component_id"))
     return prints.select("no", "shingled").join(rooted, "shingled").select(F.col("no").alias("doc_id"), "component_id")

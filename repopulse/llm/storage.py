@@ -21,11 +21,17 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/repopulse-{name}-{uuid.uuid4().hex}"
 
 
-def store(df: DataFrame, name: str) -> DataFrame:
+#: Rows of a file, where their number is known.
+_ROWS = 500_000
+
+
+def store(df: DataFrame, name: str, most: int | None = None) -> DataFrame:
     """Write ``df`` once as Parquet and read it back: later steps start from the
-    stored table, whatever executor is lost."""
+    stored table, whatever executor is lost. Where ``df`` is known to have ``most`` rows
+    at most, its last step takes a task and a file for each half million of them: a local file
+    system starts three processes for each file."""
     path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    (df if most is None else df.coalesce(1 + most // _ROWS)).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from repopulse.llm.storage import store
+from repopulse.llm.subwords import forget
 
 BINS = 1 << 18
 _TERM = re.compile(r"\w+|[^\w\s]+")
@@ -40,6 +41,7 @@ class Terms:
     full, the one before it is forgotten. ``only`` maps the wanted bins to their places."""
 
     def __init__(self, only: dict[int, int] | None = None) -> None:
+        forget()
         self._only, self._new, self._old = only, {}, {}
 
     def _of_word(self, word: str) -> tuple[int, ...]:

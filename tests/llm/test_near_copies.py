@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
+import public_tokenizers
 import pytest
 
 from repopulse.llm import near_copies as N
+from repopulse.llm import subwords
+from repopulse.llm.components import connected_components
+from repopulse.llm.terms import Terms
 
 
 def plain_components(texts: dict[int, str | None], words: int = 5, similarity: float = 0.8) -> dict[int, int]:
@@ -147,3 +151,33 @@ def test_prefixes_of_similar_sets_meet():
             both = len(np.intersect1d(x, y))
             if both >= 0.8 * (len(x) + len(y) - both):
                 assert len(np.intersect1d(N.prefix(x, counts, 0.8), N.prefix(y, counts, 0.8)))
+
+
+def test_later_stages_close_the_tokenizers_of_a_worker():
+    for later in (lambda: list(N._prints(iter([]), 5)), Terms):
+        subwords.subwords(public_tokenizers.path("word_bpe_49k.json"))
+        later()
+        assert not subwords._OPEN
+
+
+def test_small_tables_of_components_are_one_file(spark):
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = connected_components(spark.createDataFrame([(i, i + 1) for i in range(0, 300, 2)], "a long, b long"))
+        assert len(found.inputFiles()) == 1
+        assert sorted(found.collect()) == [(i, i - i % 2) for i in range(300)]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+
+
+def test_links_between_groups_meet_the_links_inside_them(spark):
+    """Chains in which the exact search adds a link to groups of several texts."""
+    rng = np.random.default_rng(10)
+    texts: dict[int, str | None] = {}
+    for _ in range(60):
+        words = [f"w{x}" for x in rng.integers(0, 10**5, 240)]
+        for _ in range(6):
+            texts[1000 - len(texts)] = " ".join(words)
+            words = changed(rng, words, int(rng.integers(1, 6))).split()
+    assert result(spark, texts) == plain_components(texts)
