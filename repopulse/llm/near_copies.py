@@ -23,7 +23,9 @@ meet and are not connected yet are verified like the others: no link is lost.
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,6 +51,8 @@ _OF_A_TASK = 4_096
 #: Slots in which shingles are counted; counts of a row, few so that a batch of rows stays small.
 SLOTS, _BLOCK = 1 << 18, 1 << 8
 SIGN_BITS = 2_048
+#: Words of 64 parities beside a row of the exact search.
+FOLDS = 16
 
 
 def shingles(text: str | None, words: int = 5) -> np.ndarray:
@@ -90,6 +94,18 @@ def signature(hashes: np.ndarray) -> bytes:
     return np.int64(len(hashes)).tobytes() + np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+_FOLDED = ", ".join(["own long", *[f"f{i} long" for i in range(FOLDS)]])
+
+
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The parities of signatures in ``FOLDS`` words: parts are joined, so that sets still differ in as many elements at least."""
+    for batch in batches:
+        signs = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64).reshape(batch.num_rows, -1)
+        words = np.bitwise_xor.reduce(signs[:, 1:].reshape(batch.num_rows, SIGN_BITS // 64 // FOLDS, FOLDS), axis=1)
+        columns = [batch.column(0), *[pa.array(words[:, i]) for i in range(FOLDS)]]
+        yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in _FOLDED.split(", ")])
+
+
 _PRINTS = "no long, hi long, lo long, shingled binary, sign binary, block int, counts binary"
 
 
@@ -376,20 +392,27 @@ def verified(pairs: DataFrame, firsts: DataFrame, rows: DataFrame, words: int, s
     return _both(near, store(sets, "sets")).mapInArrow(lambda x: _jaccard(x, similarity), "a long, b long")
 
 
-def pairs_apart(rooted: DataFrame, counts: np.ndarray, words: int, similarity: float) -> DataFrame:
-    """(a, b): all pairs of ``rooted`` (no, root, text) of different roots that may be as similar."""
+def pairs_apart(rooted: DataFrame, firsts: DataFrame, counts: np.ndarray, words: int, similarity: float) -> DataFrame:
+    """(a, b): all pairs of ``rooted`` (no, root, text) of different roots that may be as similar; ``firsts`` (no, sign) has them all."""
     posted = rooted.select("no", "root", "text").mapInArrow(
         lambda x: _posted(x, words, similarity, counts), "shingle long, no long, root long, size int, place int"
     )
     own = Window.partitionBy("shingle")
     apart = posted.withColumns({"least": F.min("root").over(own), "most": F.max("root").over(own)}).where("least < most")
     apart = store(apart.drop("least", "most"), "apart")
-    x, y = (apart.select("shingle", *[F.col(c).alias(f"{c}_{side}") for c in ("no", "root", "size", "place")]) for side in "xy")
+    ends = apart.select(F.col("no").alias("own")).distinct()
+    folded = store(firsts.select(F.col("no").alias("own"), "sign").join(ends, "own", "left_semi").mapInArrow(_folded, _FOLDED), "folded")
+    rows = apart.join(folded, F.col("no") == F.col("own"))
+    names = ["no", "root", "size", "place", *[f"f{i}" for i in range(FOLDS)]]
+    x, y = (rows.select("shingle", *[F.col(c).alias(f"{c}_{side}") for c in names]) for side in "xy")
     # What both may share: as many as lie before the shingle in either, itself, and as many as lie behind it.
     behind = F.least(F.col("size_x") - F.col("place_x"), F.col("size_y") - F.col("place_y"))
     needed = similarity / (1 + similarity) * (F.col("size_x") + F.col("size_y")) - 1e-6
     sized = F.least("size_x", "size_y") >= similarity * F.greatest("size_x", "size_y") - 1e-6
-    enough = sized & (F.least("place_x", "place_y") + behind >= needed)
+    # Each odd parity is an element that only one has; as many are left at most beside the shared ones.
+    odd = functools.reduce(operator.add, (F.bit_count(F.col(f"f{i}_x").bitwiseXOR(F.col(f"f{i}_y"))) for i in range(FOLDS)))
+    few = odd <= F.col("size_x") + F.col("size_y") - 2 * needed
+    enough = sized & (F.least("place_x", "place_y") + behind >= needed) & few
     met = x.join(y, (x["shingle"] == y["shingle"]) & (F.col("no_x") < F.col("no_y")) & (F.col("root_x") != F.col("root_y")) & enough)
     # Up to where the prefix ends that ends first in the order, all that both share has been met.
     left = F.greatest(*[F.floor(similarity * F.col(c) + 1e-6) for c in ("size_x", "size_y")])
@@ -422,7 +445,7 @@ def near_copies(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, id_
     grouped = firsts.select("no").join(roots.withColumnRenamed("node", "no"), "no", "left").select("no", F.coalesce("root", "no").alias("root"))
     # Stored, so that its size is known: the texts are only shuffled where it is large.
     grouped = store(grouped, "grouped")
-    apart = store(pairs_apart(rows.join(grouped, "no"), slot_counts(made), words, similarity), "pairs")
+    apart = store(pairs_apart(rows.join(grouped, "no"), firsts, slot_counts(made), words, similarity), "pairs")
     if not apart.isEmpty():
         # Links between groups: their roots are the nodes.
         a, b = (grouped.select(F.col("no").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
