@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +31,8 @@ from repopulse.llm.storage import checked, store
 SEGMENTS = 3
 #: Words of one block, words and code points of one piece, ways that pairs of pieces are spread.
 _BLOCK, _PIECE, _CODES, _SALTS = 96, 4096, 1 << 20, 16
+#: Filed words take a task for each this part of the rows of a file.
+_FINER = 5
 #: Runs of Latin letters (and the two signs between them).
 RUNS = re.compile("[A-Za-zÀ-ÿ]+")
 #: Characters of a text that are read at once, and words counted before they are passed on.
@@ -193,12 +195,12 @@ _PIECES = "word string, near long, rank long, best string, kind long, tile long,
 def _pieces(batches: Iterator[pa.RecordBatch], piece: int) -> Iterator[pa.RecordBatch]:
     """Sorted rows (kind, tile, word, n) to near words inside pieces, and the words of the
     tiles that may go on beyond a piece: its first and its last one."""
-    task, made, best = TaskContext.get().partitionId(), 0, _Best()
+    best = _Best()
     held: list[tuple[int, np.ndarray, list[str], np.ndarray]] = []
     rows = codes = 0
 
     def close() -> pa.RecordBatch:
-        nonlocal held, rows, codes, made
+        nonlocal held, rows, codes
         kind = held[0][0]
         tile = Tile(kind, np.concatenate([h[1] for h in held]), [w for h in held for w in h[2]], np.concatenate([h[3] for h in held]))
         held, rows, codes = [], 0, 0
@@ -206,12 +208,13 @@ def _pieces(batches: Iterator[pa.RecordBatch], piece: int) -> Iterator[pa.Record
         near = best.batch()
         ends = list(dict.fromkeys((int(tile.tiles[0]), int(tile.tiles[-1]))))
         spans = [np.flatnonzero(tile.tiles == t) for t in ends]
-        made += 1
+        # A word is filed once under a kind, so the first one names the piece, whatever task it is in.
+        no = xxhash.xxh64_intdigest(f"{kind}:{tile.words[0]}".encode("utf-8", "surrogatepass")) >> 1
         none = [pa.nulls(len(ends), t) for t in near.schema.types]
         open_tiles = [
             pa.array([kind] * len(ends), pa.int64()),
             pa.array(ends, pa.int64()),
-            pa.array([(task << 32) + made] * len(ends), pa.int64()),
+            pa.array([no] * len(ends), pa.int64()),
             pa.array([tile.words[s[0] : s[-1] + 1] for s in spans], pa.list_(pa.string())),
             pa.array([tile.n[s].tolist() for s in spans], pa.list_(pa.int64())),
         ]
@@ -248,13 +251,14 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield best.batch()
 
 
-def near_words(words: DataFrame, *, piece: int = _PIECE) -> DataFrame:
+def near_words(words: DataFrame, *, piece: int = _PIECE, most: int | None = None) -> DataFrame:
     """``word, n_near, best, best_n`` of the words of ``words`` (word, n; distinct) that have
     a near word: how many, and the one of largest n, of these the first in code-point order.
-    ``piece`` is how many words of a tile are held at once."""
+    ``piece`` is how many words of a tile are held at once. Of ``most`` words, where known, few
+    take few tasks and files."""
     rows = filed(checked(words, "word", "n"))
     sorted_ = rows.repartitionByRange("kind", "tile", "word").sortWithinPartitions("kind", "tile", "word")
-    found = store(sorted_.select("kind", "tile", "word", F.col("n").cast("long").alias("n")).mapInArrow(lambda b: _pieces(b, piece), _PIECES), "tiles")
+    found = store(sorted_.select("kind", "tile", "word", F.col("n").cast("long").alias("n")).mapInArrow(lambda b: _pieces(b, piece), _PIECES), "tiles", most and most * 2 * SEGMENTS * _FINER)
     # Most open tiles are whole: only those in two pieces or more go on, in pairs spread over salts.
     pieces = found.where("words is not null").select("kind", "tile", "no", "words", "counts")
     several = pieces.groupBy("kind", "tile").agg(F.count(F.lit(1)).alias("pieces")).where("pieces > 1").select("kind", "tile")
@@ -268,13 +272,13 @@ def near_words(words: DataFrame, *, piece: int = _PIECE) -> DataFrame:
     return best.select("word", "n_near", F.col("first.best").alias("best"), (-F.col("first.rank")).alias("best_n"))
 
 
-def _roots(forms: DataFrame) -> DataFrame:
-    """``word, root`` for the words of ``forms`` (word, form): where the chain of forms ends.
+def _roots(forms: DataFrame, most: int) -> DataFrame:
+    """``word, root`` for the words of ``forms`` (word, form), ``most`` at most: where the chain of forms ends.
     Chains are halved in each round; n grows along them by a factor, so they are short."""
     roots = forms.select("word", F.col("form").alias("root"))
     while True:
         onward = roots.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        moved = store(roots.join(onward, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
+        moved = store(roots.join(onward, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots", most)
         roots = moved.select("word", "root")
         if moved.where("moved").isEmpty():
             return roots
@@ -290,11 +294,12 @@ def spelling_groups(words: DataFrame, *, times: int = 5, piece: int = _PIECE) ->
     words give no rows; a null or empty word comes back without near words.
     """
     words = store(checked(words, "word", "n"), "words")
+    most = words.count()
     real = words.where(F.char_length("word") > 0)
     is_form = F.col("best_n") >= F.col("n") * F.lit(times)
-    joined = words.join(near_words(real, piece=piece), "word", "left").select(
+    joined = words.join(near_words(real, piece=piece, most=most), "word", "left").select(
         "word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(is_form, F.col("best")).alias("form"), F.when(is_form, F.col("best_n")).alias("form_n")
     )
-    joined = store(joined, "forms")
-    roots = _roots(joined.where("form is not null").select("word", "form"))
+    joined = store(joined, "forms", most)
+    roots = _roots(joined.where("form is not null").select("word", "form"), most)
     return joined.join(roots, "word", "left").select("word", "n", "n_near", "form", "form_n", F.coalesce("root", "word").alias("root"))

@@ -149,3 +149,24 @@ def test_the_query_equals_all_pairs(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text").collect()]
     found = {r["word"]: (r["n"], r["n_near"], r["form"], r["form_n"], r["root"]) for r in QUERIES["op11_spelling"](spark, SF_DIR).collect()}
     assert found == plain_groups(plain_counts(rows, 199))
+
+
+def test_few_words_are_few_files(spark, monkeypatch):
+    """Whatever the number of partitions; pieces of tiles that run through several of them still meet."""
+    files, stored = {}, spelling.store
+
+    def store(df, name, *rest):
+        table = stored(df, name, *rest)
+        files[name] = len(table.inputFiles())
+        return table
+
+    monkeypatch.setattr(spelling, "store", store)
+    counts = {f"wor{a}{b}{c}": 5 + 40 * (a == b == "x") for a in "dpqx" for b in "dpqx" for c in "dpqx"}
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = groups(spark.createDataFrame(list(counts.items()), "word string, n long").repartition(8), piece=3)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert found == plain_groups(counts)
+    assert {n: files[n] for n in ("tiles", "forms", "roots")} == {"tiles": 1, "forms": 1, "roots": 1}
