@@ -25,7 +25,7 @@ _CUT = re.compile(rf"(?<=[{_SOLID}]) (?=[{_SOLID}])")
 #: A word and the signs behind it are tokens of their own, as long as there is no apostrophe.
 _SIGNED = r"\A(?P<word>[A-Za-zÀ-ÖØ-öø-ɏ]+)(?P<sign>[!-&(-/:-@\[-`{-~]+)\z"
 #: Longer parts are not kept; how many parts are kept, and how many bytes of text are worked on at once.
-_LONGEST, _KEPT, _AT_ONCE = 48, 200_000, 4_000_000
+_LONGEST, _KEPT, _AT_ONCE = 48, 600_000, 4_000_000
 
 
 class Subwords:
@@ -96,17 +96,12 @@ class Subwords:
             mixed[~single], mixed[single] = codes[keep], whole_code
             codes, bounds = mixed, starts
         codes = np.insert(codes, bounds[1:], end_code)
-        # Gather the ids of all parts.
-        width = self.dtype.itemsize
-        sizes = np.array([len(x) for x in ids], np.int64) // width
-        flat = np.frombuffer(b"".join(ids), self.dtype)
-        places = np.cumsum(sizes) - sizes
-        taken = sizes[codes]
-        ends = np.cumsum(taken)
-        steps = np.repeat(places[codes] - (ends - taken), taken)
-        steps += np.arange(len(steps))
+        # Gather the ids of all parts; Arrow copies each part's bytes as a whole.
+        taken = pa.array(ids, pa.large_binary()).take(pa.array(codes))
+        ends = np.frombuffer(taken.buffers()[1], np.int64, len(codes) + 1)[1:] // self.dtype.itemsize
+        found = np.frombuffer(taken.buffers()[2], self.dtype, int(ends[-1]) if len(ends) else 0)
         per_text = ends[bounds[1:] + np.arange(len(texts))]
-        return flat[steps], np.diff(per_text, prepend=0)
+        return found, np.diff(per_text, prepend=0)
 
     def _looked_up(self, words: list[str], array: pa.Array) -> tuple[list[bytes], list[int]]:
         """The ids of each part (``words`` and ``array`` are the same parts) with a space before
@@ -151,11 +146,12 @@ class Subwords:
         plain = [x for x in parts if x[:1] == " " and self._mark[-1] not in x]
         ids = self._tokenizer.encode_batch_fast(["".join(x + self._mark for x in plain)], add_special_tokens=False)[0].ids
         ids = np.array(ids, self.dtype)
-        ends = np.flatnonzero(ids == self._mark_id)
+        width, every = self.dtype.itemsize, ids.tobytes()
+        ends = np.flatnonzero(ids == self._mark_id) * width
         found, begin = {}, 0
         for x, end in zip(plain, ends.tolist(), strict=True):
-            found[x] = ids[begin:end].tobytes()
-            begin = end + 1
+            found[x] = every[begin:end]
+            begin = end + width
         rest = [x for x in parts if x not in found]
         for x, e in zip(rest, self._tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
             found[x] = np.array(e.ids, self.dtype).tobytes()
